@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def rnd(c, digits: int = 4) -> Column:
+def rnd(c, digits: int = 6) -> Column:
     """Rounded double without negative zero."""
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c, digits) + F.lit(0.0)
@@ -62,7 +62,7 @@ def season_means(spark, sf):
     out = rows.groupBy("l_returnflag", "season", "season_year").agg(
         F.count("l_extendedprice").alias("n"), F.avg("l_extendedprice").alias("mean_price")
     )
-    return rounded(out, 4, "mean_price")
+    return rounded(out, 6, "mean_price")
 
 
 @query
@@ -75,7 +75,7 @@ def column_patterns(spark, sf):
     out = joins.null_safe_join(
         agg.means(li, ["year"], span, "_mean"), agg.maxima(li, ["year"], chosen), ["year"]
     )
-    return rounded(out, 4, *[f"{c}_mean" for c in span])
+    return rounded(out, 6, *[f"{c}_mean" for c in span])
 
 
 @query
@@ -95,7 +95,7 @@ def name_decode(spark, sf):
     out = out.groupBy("site", "label", "depth", "type", "unit").agg(
         F.count(F.lit(1)).alias("n"), F.avg("p_retailprice").alias("mean_price")
     )
-    return rounded(out, 4, "mean_price")
+    return rounded(out, 6, "mean_price")
 
 
 @query
@@ -127,7 +127,7 @@ def pivot_periods(spark, sf):
     """Means per period side by side."""
     li = table(spark, sf, "lineitem").withColumn("period", reshape.bins(F.year("l_shipdate"), PERIODS))
     out = reshape.early_to_late(li, ["l_returnflag", "l_linestatus"], "period", PERIODS[0][2], PERIODS[1][2], MEASURES)
-    return rounded(out, 4, *[c for c in out.columns if c.startswith(tuple(MEASURES))])
+    return rounded(out, 6, *[c for c in out.columns if c.startswith(tuple(MEASURES))])
 
 
 @query
@@ -139,7 +139,7 @@ def long_to_wide(spark, sf):
     wide = reshape.to_wide(m, ["year"], "o_orderpriority", ["o_totalprice"], labels)
     wide = reshape.rename(wide, urgent=labels[0], high=labels[1], medium=labels[2])
     long = reshape.to_long(wide, ["year"], ["urgent", "high", "medium"])
-    return rounded(long, 4, "value")
+    return rounded(long, 6, "value")
 
 
 @query
@@ -161,7 +161,7 @@ def stacked_tables(spark, sf):
     out = reshape.stack(c, s).groupBy("nation", "c_mktsegment").agg(
         F.count(F.lit(1)).alias("n"), F.avg("balance").alias("mean_balance")
     )
-    return rounded(out, 4, "mean_balance")
+    return rounded(out, 6, "mean_balance")
 
 
 @query
@@ -196,7 +196,7 @@ def parsed_dates(spark, sf):
     out = d.groupBy("notation", F.year("d").alias("year"), padded(F.month("d")).alias("month")).agg(
         F.count("d").alias("dates"), F.count("v").alias("numbers"), F.avg("v").alias("mean")
     )
-    return rounded(out, 4, "mean")
+    return rounded(out, 6, "mean")
 
 
 @query
@@ -235,7 +235,7 @@ def multi_summary(spark, sf):
     a = agg.means_and_sds(li, ["l_returnflag"], MEASURES)
     b = agg.mean_min_max(li, ["l_returnflag"], "l_quantity", "l_discount", "l_extendedprice", "mix_")
     out = joins.null_safe_join(a, b, ["l_returnflag"])
-    return rounded(out, 4, *[c for c in out.columns if c != "l_returnflag"])
+    return rounded(out, 6, *[c for c in out.columns if c != "l_returnflag"])
 
 
 @query
@@ -245,7 +245,7 @@ def annual_copy_summary(spark, sf):
     stat = F.element_at(F.array(F.lit("avg"), F.lit("min"), F.lit("max")), (F.col("o_orderkey") % 3 + 1).cast("int"))
     long = o.select("o_orderpriority", "o_orderdate", stat.alias("stat"), F.col("o_totalprice").alias("value"))
     out = temperature.seasonal_summary(long, ["o_orderpriority"], "o_orderdate")
-    return rounded(out, 4, "mean_value", "min_value", "max_value")
+    return rounded(out, 6, "mean_value", "min_value", "max_value")
 
 
 @query
@@ -253,7 +253,7 @@ def five_number(spark, sf):
     """Exact quartiles, whiskers and outlier counts per group."""
     o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
     out = agg.five_numbers(o, ["o_orderpriority", "year"], "o_totalprice", 0.75)
-    return rounded(out, 3, *[c for c in out.columns if c.startswith(("q", "med", "fence", "whisk"))])
+    return rounded(out, 6, *[c for c in out.columns if c.startswith(("q", "med", "fence", "whisk"))])
 
 
 @query
@@ -270,7 +270,7 @@ def exact_quantiles(spark, sf):
     probs = {"p05": 0.05, "p50": 0.5, "p975": 0.975}
     whole = ordered.quantiles(li, [], "l_extendedprice", probs).withColumn("l_returnflag", F.lit("all"))
     parts = ordered.quantiles(li, ["l_returnflag"], "l_extendedprice", probs)
-    return rounded(whole.unionByName(parts), 3, *probs)
+    return rounded(whole.unionByName(parts), 6, *probs)
 
 
 @query
@@ -283,7 +283,7 @@ def threshold_band(spark, sf):
         F.sum(F.col("outside").cast("long")).alias("outside")
     )
     out = joins.null_safe_join(band, flagged, keys)
-    return rounded(out, 4, "mean", "sd", "thresh_low", "thresh_high")
+    return rounded(out, 6, "mean", "sd", "thresh_low", "thresh_high")
 
 
 # --- joins -------------------------------------------------------------------------------------
@@ -305,7 +305,7 @@ def history_join(spark, sf):
     o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
     hist = o.filter("year <> 2000").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("mean"))
     cur = o.filter("year = 2000 and o_orderpriority <> '5-LOW'").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("mean"))
-    return rounded(agg.with_history(hist, cur, ["o_orderpriority"]), 4, "history", "current", "percent_diff")
+    return rounded(agg.with_history(hist, cur, ["o_orderpriority"]), 6, "history", "current", "percent_diff")
 
 
 # --- ranks and scaling -------------------------------------------------------------------------
@@ -332,7 +332,7 @@ def fdr_adjust(spark, sf):
     """Benjamini-Hochberg over all p values and per family, with ties and gaps."""
     part = table(spark, sf, "part")
     h = (F.col("p_partkey") * 7919 + F.col("p_size") * 104729) % 2000
-    p = F.when(h % 13 != 0, h * h / 4.0e6)
+    p = F.when(h % 13 != 0, F.sqrt(h) / 45)
     rows = part.select("p_partkey", "p_brand", p.alias("p"))
     out = ranking.adjust_fdr(rows, "p", "p_all")
     out = ranking.adjust_fdr(out, "p", "p_family", ["p_brand"])
@@ -354,7 +354,7 @@ def drop_partial_years(spark, sf):
     inner = ranking.drop_edges(m, "season_year", ["o_orderpriority", "season"], True, True)
     rest = ranking.drop_edges(m, "season_year", first=True)
     a = inner.select(F.lit("inner").alias("kind"), *m.columns)
-    return rounded(a.unionByName(rest.select(F.lit("rest").alias("kind"), *m.columns)), 4, "value")
+    return rounded(a.unionByName(rest.select(F.lit("rest").alias("kind"), *m.columns)), 6, "value")
 
 
 @query
@@ -463,7 +463,7 @@ def year_vs_history_tests(spark, sf):
     """Current year against all others: means, percent difference, F test, chosen t test."""
     o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
     out = survey.year_report(o, ["o_orderpriority"], "o_totalprice", "year", 2000)
-    return rounded(out, 4, "history", "current", "percent_diff", "f", "p_f", "t", "df", "p")
+    return rounded(out, 6, "history", "current", "percent_diff", "f", "p_f", "t", "df", "p")
 
 
 @query
@@ -472,7 +472,7 @@ def both_mean_tests(spark, sf):
     p = table(spark, sf, "part")
     sums = twosample.sample_sums(p, ["p_brand"], "p_retailprice", F.col("p_size") > 25)
     out = twosample.mean_tests(twosample.variance_test(sums))
-    return rounded(out, 4, *[c for c in out.columns if c not in ("p_brand", "n_c", "n_t")])
+    return rounded(out, 6, *[c for c in out.columns if c not in ("p_brand", "n_c", "n_t")])
 
 
 # --- resampling --------------------------------------------------------------------------------

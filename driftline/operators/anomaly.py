@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import row_mean
+from ..session import materialize
 from .aggregate import add_deviation, pooled_mean
 from .ranking import average_rank
 
@@ -34,5 +35,5 @@ def ranked_years(df: DataFrame, year: str, value, name: str = "value", descendin
     ``value`` is a column name or a list of names; with a list, each row's mean over them is taken first.
     """
     one = F.col(value) if isinstance(value, str) else row_mean([F.col(c) for c in value])
-    yearly = df.groupBy(year).agg(F.avg(one).alias(name))
+    yearly = materialize(df.groupBy(year).agg(F.avg(one).alias(name)))
     return average_rank(add_deviation(yearly, name), [], name, descending=descending, blocks=blocks)

@@ -9,27 +9,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import let, normal_density
+from ..session import materialize
 from .joins import attach, null_safe_join
-from .ordered import quantiles
+from .ordered import quantiles_of_ranks, ranks_of_counts, value_counts
 
 
-def bandwidths(df: DataFrame, keys: Sequence[str], value: str, blocks: int | None = None) -> DataFrame:
-    """``n, lo, hi, bw`` per group; bw is 0.9 times the smaller of sd and IQR / 1.34, times n to the -1/5."""
-    q = quantiles(df, keys, value, {"__q1": 0.25, "__q3": 0.75}, blocks).drop("n")
-    stats = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.stddev_samp(value).alias("__sd")
+def bandwidths(counts: DataFrame, keys: Sequence[str], value: str, blocks: int | None = None) -> DataFrame:
+    """``n, lo, hi, bw`` per group of counted values; bw is 0.9 times the smaller of sd and IQR / 1.34, times n to the -1/5."""
+    cnt, v = F.col("cnt"), F.col(value)
+    centre = counts.agg(F.sum(cnt * v) / F.sum(cnt)).scalar()
+    d = v - centre
+    stats = counts.groupBy(*keys).agg(
+        F.sum(cnt).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+        F.sum(cnt * d).alias("__s1"), F.sum(cnt * d * d).alias("__s2"),
     )
+    ranked = ranks_of_counts(counts, keys, value, blocks)
+    q = quantiles_of_ranks(ranked, keys, value, {"__q1": 0.25, "__q3": 0.75}).drop("n")
     both = null_safe_join(stats, q, list(keys))
-    sd, iqr = F.coalesce(F.col("__sd"), F.lit(0.0)), (F.col("__q3") - F.col("__q1")) / 1.34
+    n = F.col("n")
+    spread = F.greatest(F.lit(0.0), F.col("__s2") - F.col("__s1") * F.col("__s1") / n)
+    sd = F.coalesce(F.sqrt(F.try_divide(spread, n - 1)), F.lit(0.0))
+    iqr = (F.col("__q3") - F.col("__q1")) / 1.34
     width = (
         F.when(F.least(sd, iqr) > 0, F.least(sd, iqr))
         .when(sd > 0, sd)
         .when(F.col("lo") != 0, F.abs(F.col("lo")))
         .otherwise(1.0)
     )
-    return both.withColumn("bw", 0.9 * width * F.pow(F.col("n").cast("double"), F.lit(-0.2))).select(
-        *keys, "n", "lo", "hi", "bw"
-    )
+    return both.withColumn("bw", 0.9 * width * F.pow(n.cast("double"), F.lit(-0.2))).select(*keys, "n", "lo", "hi", "bw")
 
 
 def kernel_density(df: DataFrame, keys: Sequence[str], value: str, points: int = 512, cut: float = 3.0,
@@ -39,9 +46,11 @@ def kernel_density(df: DataFrame, keys: Sequence[str], value: str, points: int =
     Values are spread linearly over the two nearest of ``points`` grid positions, which reaches 4 bandwidths
     beyond the output range, and only those at most ``points`` sums per group are kept. The kernel
     is applied to the sums inside one row per group, and y is read off linearly between grid positions.
+    The data rows are read once, to count equal values.
     """
     last = points - 1
-    params = bandwidths(df, keys, value, blocks).withColumns(
+    counts = materialize(value_counts(df, keys, value))
+    params = bandwidths(counts, keys, value, blocks).withColumns(
         {
             "x0": F.col("lo") - cut * F.col("bw"),
             "step": (F.col("hi") - F.col("lo") + 2 * cut * F.col("bw")) / last,
@@ -49,19 +58,17 @@ def kernel_density(df: DataFrame, keys: Sequence[str], value: str, points: int =
             "gstep": (F.col("hi") - F.col("lo") + 2 * (cut + 4) * F.col("bw")) / last,
         }
     ).select(*keys, "n", "bw", "x0", "step", "g0", "gstep")
-    rows = attach(df.filter(F.col(value).isNotNull()).select(*keys, value), params, keys, "inner")
+    rows = attach(counts, params, keys, "inner")
     at = (F.col(value) - F.col("g0")) / F.col("gstep")
     share = at - F.floor(at)
     shape = ["n", "bw", "x0", "step", "g0", "gstep"]
-    # equal values first: fewer rows to spread
-    counted = rows.groupBy(*keys, *shape, value).agg(F.count(F.lit(1)).alias("__c"))
-    spread = counted.select(
+    spread = rows.select(
         *keys,
         *shape,
         F.inline(
             F.array(
-                F.struct(F.floor(at).cast("int").alias("ix"), (F.col("__c") * (1 - share)).alias("w")),
-                F.struct((F.floor(at) + 1).cast("int").alias("ix"), (F.col("__c") * share).alias("w")),
+                F.struct(F.floor(at).cast("int").alias("ix"), (F.col("cnt") * (1 - share)).alias("w")),
+                F.struct((F.floor(at) + 1).cast("int").alias("ix"), (F.col("cnt") * share).alias("w")),
             )
         ),
     )

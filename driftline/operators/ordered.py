@@ -20,6 +20,7 @@ from ..session import materialize
 from .joins import null_safe_join
 
 BLOCK = "__block"
+ONE_BLOCK_ROWS = 100_000
 # A running aggregate is one of these; each can be continued from the same aggregate of the earlier blocks.
 _COMBINE = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -28,11 +29,15 @@ _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None = None) -> DataFrame:
     """Rows with a block number that never decreases in (keys, order).
 
-    Rows equal in keys and order share a block, so give ``order`` enough columns, or
-    aggregate equal rows first.
+    The rows are written first: range partitioning reads them twice, once to sample its bounds. A table of at
+    most ``ONE_BLOCK_ROWS`` rows stays as it is and gets no block column, unless ``blocks`` asks for a number.
+    Rows equal in keys and order share a block, so give ``order`` enough columns, or aggregate equal rows first.
     """
+    written = materialize(df)
+    if blocks is None and written.limit(ONE_BLOCK_ROWS + 1).count() <= ONE_BLOCK_ROWS:
+        return written
     by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
-    ranged = df.repartitionByRange(blocks, *by) if blocks else df.repartitionByRange(*by)
+    ranged = written.repartitionByRange(blocks, *by) if blocks else written.repartitionByRange(*by)
     return materialize(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 
@@ -48,35 +53,42 @@ def running(
     the start of the group to the row, ``down`` the row to the end of the group. NULLs are skipped.
     """
     keys = list(keys)
-    asc = [F.col(c).asc_nulls_first() for c in order]
-    desc = [F.col(c).desc_nulls_last() for c in order]
-    inputs = {f"__in_{n}": e for n, (_, e, _) in spec.items()}
-    rows = df.withColumns(inputs)
-
-    totals = rows.groupBy(*keys, BLOCK).agg(*[_AGG[kind](f"__in_{n}").alias(f"__tot_{n}") for n, (kind, _, _) in spec.items()])
-    first_to_here = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    here_to_last = Window.partitionBy(*keys).orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cut = [BLOCK] if BLOCK in df.columns else []
+    rows = df.withColumns({f"__in_{n}": e for n, (_, e, _) in spec.items()})
+    up = Window.partitionBy(*keys, *cut).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    down = Window.partitionBy(*keys, *cut).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    to_here = {"up": up.rowsBetween(Window.unboundedPreceding, 0), "down": down.rowsBetween(Window.unboundedPreceding, 0)}
+    local = rows.withColumns(
+        {f"__loc_{n}": _AGG[kind](f"__in_{n}").over(to_here[way]) for n, (kind, _, way) in spec.items()}
+    )
+    if not cut:
+        return local.withColumns({n: F.col(f"__loc_{n}") for n in spec}).drop(
+            *[f"__{part}_{n}" for part in ("in", "loc") for n in spec]
+        )
+
+    totals = rows.groupBy(*keys, BLOCK).agg(
+        *[_AGG[kind](f"__in_{n}").alias(f"__tot_{n}") for n, (kind, _, _) in spec.items()]
+    )
+    earlier = {
+        "up": Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1),
+        "down": Window.partitionBy(*keys).orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1),
+    }
     carry = totals.withColumns(
-        {
-            f"__carry_{n}": _AGG[kind](f"__tot_{n}").over(first_to_here if way == "up" else here_to_last)
-            for n, (kind, _, way) in spec.items()
-        }
+        {f"__carry_{n}": _AGG[kind](f"__tot_{n}").over(earlier[way]) for n, (kind, _, way) in spec.items()}
     )
     reached = reduce(lambda a, b: a | b, [F.col(f"__carry_{n}").isNotNull() for n in spec])
     carry = carry.filter(reached).select(*keys, BLOCK, *[f"__carry_{n}" for n in spec])
-
-    up = Window.partitionBy(*keys, BLOCK).orderBy(*asc).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys, BLOCK).orderBy(*desc).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumns(
-        {f"__loc_{n}": _AGG[kind](f"__in_{n}").over(up if way == "up" else down) for n, (kind, _, way) in spec.items()}
-    )
     joined = null_safe_join(local, carry, [*keys, BLOCK], "left", small=True)
     out = {}
     for n, (kind, _, _) in spec.items():
         loc, car = F.col(f"__loc_{n}"), F.col(f"__carry_{n}")
         out[n] = F.when(loc.isNull(), car).when(car.isNull(), loc).otherwise(_COMBINE[kind](loc, car))
-    scratch = [f"__{part}_{n}" for part in ("in", "loc", "carry") for n in spec]
-    return joined.withColumns(out).drop(*scratch)
+    return joined.withColumns(out).drop(*[f"__{part}_{n}" for part in ("in", "loc", "carry") for n in spec])
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """One row per distinct non-NULL value with the number of rows ``cnt``."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def distinct_ranks(df: DataFrame, keys: Sequence[str], value: str, blocks: int | None = None) -> DataFrame:
@@ -84,44 +96,50 @@ def distinct_ranks(df: DataFrame, keys: Sequence[str], value: str, blocks: int |
 
     Counting equal values first means that a value which holds most of a group travels as one row.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    return ranks_of_counts(value_counts(df, keys, value), keys, value, blocks)
+
+
+def ranks_of_counts(counts: DataFrame, keys: Sequence[str], value: str, blocks: int | None = None) -> DataFrame:
+    """:func:`distinct_ranks` of values that are already counted."""
+    cnt = F.col("cnt")
     ranked = running(
         ordered_blocks(counts, keys, [value], blocks),
         keys,
         [value],
-        {"__up": ("sum", F.col("cnt"), "up"), "__down": ("sum", F.col("cnt"), "down")},
+        {"__up": ("sum", cnt, "up"), "__down": ("sum", cnt, "down")},
+    )
+    return ranked.withColumns({"below": F.col("__up") - cnt, "total": F.col("__up") + F.col("__down") - cnt}).drop(
+        "__up", "__down"
     )
-    return ranked.withColumns(
-        {"below": F.col("__up") - F.col("cnt"), "total": F.col("__up") + F.col("__down") - F.col("cnt")}
-    ).drop("__up", "__down")
-
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], blocks: int | None = None
-) -> DataFrame:
-    """Exact quantiles per group, linear between the two nearest order statistics.
 
-    ``probs`` maps output names to probabilities. No group is gathered: the order statistics are picked from
-    :func:`distinct_ranks` by a partial aggregate.
-    """
-    ranked = distinct_ranks(df, keys, value, blocks)
+def quantiles_of_ranks(ranked: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Quantiles from :func:`distinct_ranks`: the order statistics are picked by a partial aggregate."""
     holds = lambda pos: (F.col("below") <= pos) & (pos < F.col("below") + F.col("cnt"))
     aggs = [F.max("total").alias("n")]
     for name, p in probs.items():
-        at = (F.col("total") - 1) * F.lit(float(p))
-        low = F.floor(at)
+        low = F.floor((F.col("total") - 1) * F.lit(float(p)))
         high = F.least(low + 1, F.col("total") - 1)
         aggs += [
             F.max(F.when(holds(low), F.col(value))).alias(f"__lo_{name}"),
             F.max(F.when(holds(high), F.col(value))).alias(f"__hi_{name}"),
         ]
-    picked = ranked.groupBy(*keys).agg(*aggs)
     result = {}
     for name, p in probs.items():
         at = (F.col("n") - 1) * F.lit(float(p))
         share = at - F.floor(at)
         result[name] = F.col(f"__lo_{name}") + share * (F.col(f"__hi_{name}") - F.col(f"__lo_{name}"))
-    return picked.withColumns(result).select(*keys, "n", *probs)
+    return ranked.groupBy(*keys).agg(*aggs).withColumns(result).select(*keys, "n", *probs)
+
+
+def quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], blocks: int | None = None
+) -> DataFrame:
+    """Exact quantiles per group, linear between the two nearest order statistics; no group is gathered.
+
+    ``probs`` maps output names to probabilities.
+    """
+    return quantiles_of_ranks(distinct_ranks(df, keys, value, blocks), keys, value, probs)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", blocks: int | None = None):

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .aggregate import scalar
 from .joins import attach, null_safe_join
-from .ordered import distinct_ranks, ordered_blocks, running
+from .ordered import distinct_ranks, ordered_blocks, running, value_counts
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank", descending: bool = False,
@@ -23,8 +24,7 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "ra
 
 def adjust_fdr(df: DataFrame, p: str, name: str = "p_adj", family: Sequence[str] = (), blocks: int | None = None):
     """Benjamini-Hochberg adjusted p, over all rows or per family; NULL p stays NULL and does not count."""
-    counts = df.filter(F.col(p).isNotNull()).groupBy(*family, p).agg(F.count(F.lit(1)).alias("cnt"))
-    cut = ordered_blocks(counts, family, [p], blocks)
+    cut = ordered_blocks(value_counts(df, family, p), family, [p], blocks)
     cnt = F.col("cnt")
     ranked = running(cut, family, [p], {"__up": ("sum", cnt, "up"), "__down": ("sum", cnt, "down")})
     tests = F.col("__up") + F.col("__down") - cnt
@@ -56,7 +56,9 @@ def drop_edges(df: DataFrame, order: str, keys: Sequence[str] = (), first: bool
     """Leave out the rows of the first and / or last value of ``order``, overall or per key.
 
     These are the incomplete years at the ends of a record. Nothing is left where there are too few values.
+    ``df`` holds aggregates; it is written, since it is read for the ends and for the rows.
     """
+    df = materialize(df)
     ends = [F.min(order).alias("__first"), F.max(order).alias("__last")]
     if keys:
         rows = attach(df, df.groupBy(*keys).agg(*ends), keys)

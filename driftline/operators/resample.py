@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import if_else
 from ..session import materialize
-from .ordered import numbered
+from .ordered import BLOCK, numbered
 
 LANES = 4  # 32-bit draws per digest
 MAX_CELLS = 10_000
@@ -113,7 +113,7 @@ def permuted_factors(df: DataFrame, row_key: str, factors: Sequence[str], featur
     The order of the digests of (permutation, row key) is a random permutation; rows are numbered along it in
     blocks, and number i receives the factors of row i.
     """
-    base = numbered(df.select(row_key, *factors, *features), [], [row_key], "__pos", blocks).drop("__block")
+    base = numbered(df.select(row_key, *factors, *features), [], [row_key], "__pos", blocks).drop(BLOCK)
     labels = base.select(F.col("__pos").alias("__at"), *factors)
     draws = base.select(
         row_key, *features, F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import if_else
 from ..functions.tails import t_two_sided
+from ..session import materialize
 from .joins import attach
 from .ranking import adjust_fdr
 
@@ -67,8 +68,11 @@ def yes_no(test: Column) -> Column:
 
 
 def add_fdr(fits: DataFrame, family: Sequence[str] = (), alpha: float = 0.05, blocks: int | None = None) -> DataFrame:
-    """``p_adj`` over all fits (or per family) and ``sig_fdr``. Filter the fits afterwards, not before."""
-    out = adjust_fdr(fits, "p_value", "p_adj", family, blocks)
+    """``p_adj`` over all fits (or per family) and ``sig_fdr``. Filter the fits afterwards, not before.
+
+    The fits are written first, so the data rows behind them are read once.
+    """
+    out = adjust_fdr(materialize(fits), "p_value", "p_adj", family, blocks)
     return out.withColumn("sig_fdr", yes_no(F.col("p_adj") < alpha))
 
 

@@ -11,7 +11,7 @@ from .operators.resample import poisson_limits
 ORACLES: dict[str, str] = {}
 
 
-def rnd(expr: str, digits: int = 4, name: str | None = None) -> str:
+def rnd(expr: str, digits: int = 6, name: str | None = None) -> str:
     return f"round({expr}, {digits}) + 0.0 AS {name or expr}"
 
 
@@ -117,13 +117,13 @@ def fdr_flag(source: str) -> str:
 
 ORACLES["season_means"] = f"""
 SELECT l_returnflag, {season("l_shipdate")} AS season, {season_year("l_shipdate")} AS season_year,
-       count(*) AS n, {rnd("avg(l_extendedprice)", 4, "mean_price")}
+       count(*) AS n, {rnd("avg(l_extendedprice)", 6, "mean_price")}
 FROM lineitem GROUP BY ALL"""
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 ORACLES["column_patterns"] = f"""
-SELECT CAST(year(l_shipdate) AS INT) AS year, {", ".join(rnd(f"avg({c})", 4, f"{c}_mean") for c in MEASURES)},
+SELECT CAST(year(l_shipdate) AS INT) AS year, {", ".join(rnd(f"avg({c})", 6, f"{c}_mean") for c in MEASURES)},
        max(l_extendedprice) AS l_extendedprice, max(l_discount) AS l_discount
 FROM lineitem GROUP BY year(l_shipdate)"""
 
@@ -136,7 +136,7 @@ d AS (SELECT *, substr(variable, 1, 3) AS site, nullif(regexp_extract(variable,
     nullif(regexp_extract(variable, '_(temp)_', 1), '') AS unit FROM v)
 SELECT site, upper(substr(site, 1, 1)) || substr(site, 2) AS label,
        CASE WHEN raw IN (0, 150) THEN raw ELSE -raw END AS depth, type, unit,
-       count(*) AS n, {rnd("avg(p_retailprice)", 4, "mean_price")}
+       count(*) AS n, {rnd("avg(p_retailprice)", 6, "mean_price")}
 FROM d GROUP BY ALL"""
 
 ORACLES["recode_split"] = """
@@ -155,14 +155,14 @@ EARLY, LATE = "year(l_shipdate) BETWEEN 1995 AND 1997", "year(l_shipdate) BETWEE
 
 ORACLES["pivot_periods"] = f"""
 SELECT l_returnflag, l_linestatus, {", ".join(
-    rnd(f"avg({c}) FILTER ({cond})", 4, f"{c}_{tag}") for c in MEASURES for tag, cond in (("early", EARLY), ("late", LATE)))}
+    rnd(f"avg({c}) FILTER ({cond})", 6, f"{c}_{tag}") for c in MEASURES for tag, cond in (("early", EARLY), ("late", LATE)))}
 FROM lineitem GROUP BY l_returnflag, l_linestatus
 HAVING count(*) FILTER ({EARLY}) > 0 AND count(*) FILTER ({LATE}) > 0"""
 
 ORACLES["long_to_wide"] = f"""
 WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS year FROM orders),
 v AS (SELECT * FROM (VALUES ('urgent', '1-URGENT'), ('high', '2-HIGH'), ('medium', '3-MEDIUM')) t(variable, priority))
-SELECT y.year, v.variable, {rnd("avg(o_totalprice)", 4, "value")}
+SELECT y.year, v.variable, {rnd("avg(o_totalprice)", 6, "value")}
 FROM y CROSS JOIN v LEFT JOIN orders ON year(o_orderdate) = y.year AND o_orderpriority = v.priority
 GROUP BY y.year, v.variable"""
 
@@ -171,7 +171,7 @@ SELECT CAST(i AS INT) AS i, count(v) AS n, {rnd("avg(CAST(v AS DOUBLE))", 6, "me
 FROM (SELECT unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS v FROM embeddings) GROUP BY i"""
 
 ORACLES["stacked_tables"] = f"""
-SELECT nation, c_mktsegment, count(*) AS n, {rnd("avg(balance)", 4, "mean_balance")}
+SELECT nation, c_mktsegment, count(*) AS n, {rnd("avg(balance)", 6, "mean_balance")}
 FROM (SELECT c_nationkey AS nation, c_acctbal AS balance, c_mktsegment FROM customer
       UNION ALL SELECT s_nationkey, s_acctbal, NULL FROM supplier) GROUP BY nation, c_mktsegment"""
 
@@ -184,14 +184,14 @@ ORACLES["date_span"] = "SELECT strftime(min(l_shipdate), '%Y%m%d') AS first, str
 ORACLES["parsed_dates"] = f"""
 WITH d AS (SELECT CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderdate AS DATE) END AS d,
     CASE WHEN o_orderkey % 4 IN (0, 3) THEN trunc(o_totalprice) END AS v, CAST(o_orderkey % 4 AS INT) AS notation FROM orders)
-SELECT notation, CAST(year(d) AS INT) AS year, strftime(d, '%m') AS month, count(d) AS dates, count(v) AS numbers, {rnd("avg(v)", 4, "mean")}
+SELECT notation, CAST(year(d) AS INT) AS year, strftime(d, '%m') AS month, count(d) AS dates, count(v) AS numbers, {rnd("avg(v)", 6, "mean")}
 FROM d GROUP BY ALL"""
 
 ORACLES["missing_rules"] = """
 WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS v, CAST(o_custkey % 3 AS DOUBLE) AS b FROM orders)
 SELECT o_orderkey, CASE WHEN v > 150000 THEN 'high' WHEN v IS NOT NULL THEN 'low' END AS side,
        CASE WHEN v IS NOT NULL THEN greatest(v, 100000.0::DOUBLE) END AS floored,
-       round(CASE WHEN b <> 0 THEN (v - b) / b * 100 END, 4) + 0.0 AS pct,
+       round(CASE WHEN b <> 0 THEN (v - b) / b * 100 END, 6) + 0.0 AS pct,
        round_even(v / 1000, 1) AS even,
        round_even(v * power(10.0, 2 - floor(log10(v))), 0) / power(10.0, 2 - floor(log10(v))) AS sig3
 FROM r"""
@@ -205,16 +205,16 @@ g AS (SELECT *, [CASE WHEN k % 3 <> 0 THEN l_quantity END, CASE WHEN k % 5 <> 0
 SELECT l_orderkey, l_linenumber, l_partkey, {rnd("list_avg(vals)", 6, "row_mean")} FROM g"""
 
 ORACLES["multi_summary"] = f"""
-SELECT l_returnflag, {", ".join([rnd(f"avg({c})", 4, f"{c}_mean") for c in MEASURES] + [rnd(f"stddev_samp({c})", 4, f"{c}_sd") for c in MEASURES])},
-       {rnd("avg(l_quantity)", 4, "mix_mean")}, {rnd("min(l_discount)", 4, "mix_min")}, {rnd("max(l_extendedprice)", 4, "mix_max")}
+SELECT l_returnflag, {", ".join([rnd(f"avg({c})", 6, f"{c}_mean") for c in MEASURES] + [rnd(f"stddev_samp({c})", 6, f"{c}_sd") for c in MEASURES])},
+       {rnd("avg(l_quantity)", 6, "mix_mean")}, {rnd("min(l_discount)", 6, "mix_min")}, {rnd("max(l_extendedprice)", 6, "mix_max")}
 FROM lineitem GROUP BY l_returnflag"""
 
 ORACLES["annual_copy_summary"] = f"""
 WITH r AS (SELECT o_orderpriority, {season("o_orderdate")} AS season, {season_year("o_orderdate")} AS season_year,
            o_orderkey % 3 AS stat, o_totalprice AS v FROM orders),
 u AS (SELECT * FROM r UNION ALL SELECT o_orderpriority, 'annual', season_year, stat, v FROM r)
-SELECT o_orderpriority, season, season_year, {rnd("avg(v) FILTER (stat = 0)", 4, "mean_value")},
-       {rnd("min(v) FILTER (stat = 1)", 4, "min_value")}, {rnd("max(v) FILTER (stat = 2)", 4, "max_value")}
+SELECT o_orderpriority, season, season_year, {rnd("avg(v) FILTER (stat = 0)", 6, "mean_value")},
+       {rnd("min(v) FILTER (stat = 1)", 6, "min_value")}, {rnd("max(v) FILTER (stat = 2)", 6, "max_value")}
 FROM u GROUP BY o_orderpriority, season, season_year"""
 
 
@@ -227,9 +227,9 @@ def quartiles(keys: str, value: str, source: str, reach: float) -> str:
 ORACLES["five_number"] = f"""
 WITH o AS (SELECT o_orderpriority, CAST(year(o_orderdate) AS INT) AS year, o_totalprice AS v FROM orders),
 q AS ({quartiles("o_orderpriority, year", "v", "o", 0.75)})
-SELECT o_orderpriority, year, CAST(any_value(n) AS BIGINT) AS n, {", ".join(rnd(f"any_value({c})", 3, c) for c in ("q1", "median", "q3", "fence_low", "fence_high"))},
-       {rnd("min(v) FILTER (v BETWEEN fence_low AND fence_high)", 3, "whisker_low")},
-       {rnd("max(v) FILTER (v BETWEEN fence_low AND fence_high)", 3, "whisker_high")},
+SELECT o_orderpriority, year, CAST(any_value(n) AS BIGINT) AS n, {", ".join(rnd(f"any_value({c})", 6, c) for c in ("q1", "median", "q3", "fence_low", "fence_high"))},
+       {rnd("min(v) FILTER (v BETWEEN fence_low AND fence_high)", 6, "whisker_low")},
+       {rnd("max(v) FILTER (v BETWEEN fence_low AND fence_high)", 6, "whisker_high")},
        count(*) FILTER (v < fence_low OR v > fence_high) AS outliers
 FROM o JOIN q USING (o_orderpriority, year) GROUP BY o_orderpriority, year"""
 
@@ -238,7 +238,7 @@ WITH q AS ({quartiles("o_orderpriority", "o_totalprice", "orders", 0.45)})
 SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders JOIN q USING (o_orderpriority)
 WHERE o_totalprice < fence_low OR o_totalprice > fence_high"""
 
-_Q = ", ".join(rnd(f"quantile_cont(l_extendedprice, {p})", 3, n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p975", 0.975)))
+_Q = ", ".join(rnd(f"quantile_cont(l_extendedprice, {p})", 6, n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p975", 0.975)))
 ORACLES["exact_quantiles"] = f"""
 SELECT 'all' AS l_returnflag, count(*) AS n, {_Q} FROM lineitem
 UNION ALL BY NAME SELECT l_returnflag, count(*) AS n, {_Q} FROM lineitem GROUP BY l_returnflag"""
@@ -247,7 +247,7 @@ ORACLES["threshold_band"] = f"""
 WITH b AS (SELECT l_returnflag, l_linestatus, avg(l_extendedprice) AS mean, stddev_samp(l_extendedprice) AS sd
            FROM lineitem GROUP BY l_returnflag, l_linestatus),
 t AS (SELECT *, greatest(0.0::DOUBLE, mean - 2 * sd) AS thresh_low, mean + 2 * sd AS thresh_high FROM b)
-SELECT l_returnflag, l_linestatus, {", ".join(rnd(f"any_value({c})", 4, c) for c in ("mean", "sd", "thresh_low", "thresh_high"))},
+SELECT l_returnflag, l_linestatus, {", ".join(rnd(f"any_value({c})", 6, c) for c in ("mean", "sd", "thresh_low", "thresh_high"))},
        count(*) FILTER (l_extendedprice < thresh_low OR l_extendedprice > thresh_high) AS outside
 FROM lineitem JOIN t USING (l_returnflag, l_linestatus) GROUP BY l_returnflag, l_linestatus"""
 
@@ -256,11 +256,11 @@ FROM lineitem JOIN t USING (l_returnflag, l_linestatus) GROUP BY l_returnflag, l
 ORACLES["daily_rollup_join"] = f"""
 WITH d AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS v FROM events GROUP BY 1),
 days AS (SELECT date FROM d WHERE day(date) % 2 = 0 UNION ALL SELECT CAST(date + 40 AS DATE) FROM d WHERE day(date) % 2 = 0)
-SELECT strftime(days.date, '%Y-%m-%d') AS date, {rnd("v", 4, "station_temp")}, {rnd("v", 4, "mean_150")}
+SELECT strftime(days.date, '%Y-%m-%d') AS date, {rnd("v", 6, "station_temp")}, {rnd("v", 6, "mean_150")}
 FROM days LEFT JOIN d ON days.date = d.date"""
 
 ORACLES["history_join"] = f"""
-SELECT o_orderpriority, {rnd("h", 4, "history")}, {rnd("c", 4, "current")}, {rnd("(c - h) / h * 100", 4, "percent_diff")}
+SELECT o_orderpriority, {rnd("h", 6, "history")}, {rnd("c", 6, "current")}, {rnd("(c - h) / h * 100", 6, "percent_diff")}
 FROM (SELECT o_orderpriority, avg(o_totalprice) FILTER (year(o_orderdate) <> 2000) AS h,
              avg(o_totalprice) FILTER (year(o_orderdate) = 2000 AND o_orderpriority <> '5-LOW') AS c
       FROM orders GROUP BY o_orderpriority)"""
@@ -278,7 +278,7 @@ WITH y AS (SELECT CAST(year(l_shipdate) AS INT) AS year, avg((l_discount + l_tax
 SELECT year, {rnd("m", 6, "mean")}, {rnd("(m - avg(m) OVER ()) / avg(m) OVER ()", 6, "prop")},
        rank() OVER (ORDER BY m DESC) + (count(*) OVER (PARTITION BY m) - 1) / 2.0::DOUBLE AS rank FROM y"""
 
-_P = "(SELECT p_partkey, p_brand, CASE WHEN h % 13 <> 0 THEN h * h / 4.0e6 END AS p FROM (SELECT *, (p_partkey * 7919 + p_size * 104729) % 2000 AS h FROM part))"
+_P = "(SELECT p_partkey, p_brand, CASE WHEN h % 13 <> 0 THEN sqrt(h) / 45 END AS p FROM (SELECT *, (p_partkey * 7919 + p_size * 104729) % 2000 AS h FROM part))"
 ORACLES["fdr_adjust"] = f"""
 SELECT p_partkey, p_brand, {rnd("p", 8)}, {rnd("p_all", 8)}, {rnd("p_family", 8)}
 FROM {fdr(fdr(_P, "p", "p_all"), "p", "p_family", "p_brand")}"""
@@ -296,8 +296,8 @@ WITH m AS (SELECT o_orderpriority, {season("o_orderdate")} AS season, {season_ye
            avg(o_totalprice) AS v FROM orders GROUP BY ALL),
 w AS (SELECT *, min(season_year) OVER (PARTITION BY o_orderpriority, season) AS lo,
       max(season_year) OVER (PARTITION BY o_orderpriority, season) AS hi, min(season_year) OVER () AS lo_all FROM m)
-SELECT 'inner' AS kind, o_orderpriority, season, season_year, {rnd("v", 4, "value")} FROM w WHERE season_year > lo AND season_year < hi
-UNION ALL SELECT 'rest', o_orderpriority, season, season_year, {rnd("v", 4, "value")} FROM w WHERE season_year > lo_all"""
+SELECT 'inner' AS kind, o_orderpriority, season, season_year, {rnd("v", 6, "value")} FROM w WHERE season_year > lo AND season_year < hi
+UNION ALL SELECT 'rest', o_orderpriority, season, season_year, {rnd("v", 6, "value")} FROM w WHERE season_year > lo_all"""
 
 ORACLES["rescale_popup"] = f"""
 SELECT s_suppkey, {rnd("4 + (abs(s_acctbal) - min(abs(s_acctbal)) OVER ()) / (max(abs(s_acctbal)) OVER () - min(abs(s_acctbal)) OVER ()) * 6", 6, "radius")},
@@ -400,10 +400,10 @@ def mean_tests(source: str) -> str:
 _CUR = "year(o_orderdate) = 2000"
 ORACLES["year_vs_history_tests"] = f"""
 WITH s AS (SELECT *, coalesce(p_f < 0.05, FALSE) AS welch FROM {mean_tests(sample_sums("o_orderpriority", "o_totalprice", _CUR, "orders"))})
-SELECT o_orderpriority, {rnd("mean_c", 4, "history")}, {rnd("mean_t", 4, "current")}, {rnd("(mean_t - mean_c) / mean_c * 100", 4, "percent_diff")},
+SELECT o_orderpriority, {rnd("mean_c", 6, "history")}, {rnd("mean_t", 6, "current")}, {rnd("(mean_t - mean_c) / mean_c * 100", 6, "percent_diff")},
   n_c, n_t, {rnd("f")}, {rnd("p_f")}, CASE WHEN welch THEN 'welch' ELSE 'pooled' END AS method,
-  {rnd("CASE WHEN welch THEN t_welch ELSE t_pooled END", 4, "t")}, {rnd("CASE WHEN welch THEN df_welch ELSE df_pooled END", 4, "df")},
-  {rnd("CASE WHEN welch THEN p_welch ELSE p_pooled END", 4, "p")} FROM s"""
+  {rnd("CASE WHEN welch THEN t_welch ELSE t_pooled END", 6, "t")}, {rnd("CASE WHEN welch THEN df_welch ELSE df_pooled END", 6, "df")},
+  {rnd("CASE WHEN welch THEN p_welch ELSE p_pooled END", 6, "p")} FROM s"""
 
 ORACLES["both_mean_tests"] = f"""
 SELECT p_brand, n_c, n_t, {", ".join(rnd(c) for c in ("mean_c", "var_c", "mean_t", "var_t", "f", "p_f", "t_welch", "df_welch",
@@ -511,9 +511,9 @@ def kde(keys: str, value: str, source: str, points: int) -> str:
     bw AS (SELECT {keys}, n, lo, hi, 0.9 * CASE WHEN least(sd, iqr) > 0 THEN least(sd, iqr) WHEN sd > 0 THEN sd WHEN lo <> 0 THEN abs(lo) ELSE 1.0 END
       * power(n, -0.2) AS bw FROM st),
     gr AS (SELECT *, lo - 3 * bw AS x0, (hi - lo + 6 * bw) / {last} AS step, lo - 7 * bw AS g0, (hi - lo + 14 * bw) / {last} AS gstep FROM bw),
-    at AS (SELECT {keys}, ({value} - g0) / gstep AS at FROM {source} JOIN gr USING ({keys})),
-    bn AS (SELECT {keys}, ix, sum(w) AS w FROM (SELECT {keys}, floor(at) AS ix, 1 - (at - floor(at)) AS w FROM at
-      UNION ALL SELECT {keys}, floor(at) + 1, at - floor(at) FROM at) GROUP BY {keys}, ix),
+    pt AS (SELECT {keys}, ({value} - g0) / gstep AS u FROM {source} JOIN gr USING ({keys})),
+    bn AS (SELECT {keys}, ix, sum(w) AS w FROM (SELECT {keys}, floor(u) AS ix, 1 - (u - floor(u)) AS w FROM pt
+      UNION ALL SELECT {keys}, floor(u) + 1, u - floor(u) FROM pt) GROUP BY {keys}, ix),
     dn AS (SELECT gr.{keys}, g.g, sum(bn.w * exp(-power((g.g - bn.ix) * gr.gstep / gr.bw, 2) / 2)) / any_value(gr.n * gr.bw * sqrt(2 * pi())) AS d
       FROM gr CROSS JOIN range(0, {points}) g(g) JOIN bn USING ({keys}) GROUP BY gr.{keys}, g.g),
     px AS (SELECT *, (x - g0) / gstep AS pos FROM (SELECT {keys}, i, x0, step, g0, gstep, x0 + step * i AS x FROM gr CROSS JOIN range(0, {points}) r(i))),

@@ -482,7 +482,7 @@ def both_mean_tests(spark, sf):
 def bootstrap_ci(spark, sf):
     """Bootstrap interval of the difference between two periods."""
     o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
-    out = resample.bootstrap_interval(o, ["o_orderpriority"], ["o_totalprice"], F.col("year") >= 1998, ["o_orderkey"], 200)
+    out = resample.bootstrap_interval(o, ["o_orderpriority"], ["o_totalprice"], F.col("year") >= 1998, ["o_orderkey"], 200, spread=True)
     return rounded(out, 3, "lower", "upper")
 
 
@@ -493,7 +493,7 @@ def period_change(spark, sf):
     s = s.select(F.col("l_returnflag").alias("ecosystem"), reshape.bins(F.year("l_shipdate"), PERIODS).alias("period"),
                  F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("id"),
                  F.col("l_extendedprice").alias("swe"), F.col("l_quantity").alias("htc"))
-    out = survey.period_change(s, "ecosystem", PERIODS[0][2], PERIODS[1][2], ["swe", "htc"], ["swe", "htc"], ["id"], 40)
+    out = survey.period_change(s, "ecosystem", PERIODS[0][2], PERIODS[1][2], ["swe", "htc"], ["swe", "htc"], ["id"], 40, spread=True)
     return rounded(out, 3, *[c for c in out.columns if c.endswith(("early", "late", "lower", "upper"))])
 
 

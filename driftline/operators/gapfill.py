@@ -7,17 +7,22 @@ on those rows. Coefficients are written, size-checked and joined back to the dat
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import attach
 
+# the solver travels with the plan, so workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 INTERCEPT = "(intercept)"
 # Fixed value: a predictor counts as a combination of earlier ones below this share of its length.
 RANK_TOLERANCE = 1e-7

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize_counted
 
 BROADCAST_ROWS = 100_000
 
@@ -35,13 +35,12 @@ def attach(
 ) -> DataFrame:
     """Join an aggregate or a model table to the rows it was made from.
 
-    The table is written once and its rows are counted. Up to ``max_rows`` it is broadcast, so the
+    The table is written once, and its rows are counted as they are written. Up to ``max_rows`` it is broadcast, so the
     data rows do not move. A longer one is joined by an ordinary shuffle join, in which adaptive
     execution splits the partition of a hot key.
     """
-    written = materialize(table)
-    small = written.limit(max_rows + 1).count() <= max_rows
-    return null_safe_join(rows, written, list(on), how, small)
+    written, count = materialize_counted(table)
+    return null_safe_join(rows, written, list(on), how, small=count <= max_rows)
 
 
 def suffixed_left_join(

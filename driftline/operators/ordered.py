@@ -5,7 +5,8 @@ into blocks first: rows are range-partitioned by (keys, order), every row keeps
 its partition, and the result is written so that the numbers stay fixed. Windows then run per (keys, block).
 What has to flow between blocks is small: at most one group reaches into a block from the
 block before and at most one from the block after, so the carry table has at most two rows per
-block, which bounds its broadcast by the number of shuffle partitions.
+block, which bounds its broadcast by the number of shuffle partitions. A range partition whose bounds would
+have to be agreed on twice could not be used like this; a written one can.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .joins import null_safe_join
+from ..session import materialize, materialize_counted
+from .joins import attach, null_safe_join
 
 BLOCK = "__block"
 ONE_BLOCK_ROWS = 100_000
@@ -33,8 +34,8 @@ def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], blo
     most ``ONE_BLOCK_ROWS`` rows stays as it is and gets no block column, unless ``blocks`` asks for a number.
     Rows equal in keys and order share a block, so give ``order`` enough columns, or aggregate equal rows first.
     """
-    written = materialize(df)
-    if blocks is None and written.limit(ONE_BLOCK_ROWS + 1).count() <= ONE_BLOCK_ROWS:
+    written, count = materialize_counted(df)
+    if blocks is None and count <= ONE_BLOCK_ROWS:
         return written
     by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
     ranged = written.repartitionByRange(blocks, *by) if blocks else written.repartitionByRange(*by)
@@ -49,43 +50,54 @@ def running(
 ) -> DataFrame:
     """Running aggregates over the ordered rows of each group, of the rows of :func:`ordered_blocks`.
 
-    ``spec`` maps an output name to (``sum`` | ``min`` | ``max``, expression, ``up`` | ``down``). ``up`` covers
-    the start of the group to the row, ``down`` the row to the end of the group. NULLs are skipped.
+    ``spec`` maps an output name to (``sum`` | ``min`` | ``max``, expression, ``up`` | ``down`` | ``all``). ``up``
+    covers the start of the group to the row, ``down`` the row to the end, ``all`` the group. NULLs are skipped.
     """
     keys = list(keys)
     cut = [BLOCK] if BLOCK in df.columns else []
     rows = df.withColumns({f"__in_{n}": e for n, (_, e, _) in spec.items()})
-    up = Window.partitionBy(*keys, *cut).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    down = Window.partitionBy(*keys, *cut).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    to_here = {"up": up.rowsBetween(Window.unboundedPreceding, 0), "down": down.rowsBetween(Window.unboundedPreceding, 0)}
-    local = rows.withColumns(
-        {f"__loc_{n}": _AGG[kind](f"__in_{n}").over(to_here[way]) for n, (kind, _, way) in spec.items()}
-    )
+    frames = group_frames([*keys, *cut], order, 0)
+    local = rows.withColumns({f"__loc_{n}": _AGG[kind](f"__in_{n}").over(frames[way]) for n, (kind, _, way) in spec.items()})
     if not cut:
         return local.withColumns({n: F.col(f"__loc_{n}") for n in spec}).drop(
             *[f"__{part}_{n}" for part in ("in", "loc") for n in spec]
         )
-
-    totals = rows.groupBy(*keys, BLOCK).agg(
-        *[_AGG[kind](f"__in_{n}").alias(f"__tot_{n}") for n, (kind, _, _) in spec.items()]
-    )
-    earlier = {
-        "up": Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1),
-        "down": Window.partitionBy(*keys).orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1),
-    }
-    carry = totals.withColumns(
-        {f"__carry_{n}": _AGG[kind](f"__tot_{n}").over(earlier[way]) for n, (kind, _, way) in spec.items()}
-    )
-    reached = reduce(lambda a, b: a | b, [F.col(f"__carry_{n}").isNotNull() for n in spec])
-    carry = carry.filter(reached).select(*keys, BLOCK, *[f"__carry_{n}" for n in spec])
+    carry = carried(rows, keys, {n: (kind, F.col(f"__in_{n}"), way) for n, (kind, _, way) in spec.items()})
     joined = null_safe_join(local, carry, [*keys, BLOCK], "left", small=True)
     out = {}
-    for n, (kind, _, _) in spec.items():
+    for n, (kind, _, way) in spec.items():
         loc, car = F.col(f"__loc_{n}"), F.col(f"__carry_{n}")
-        out[n] = F.when(loc.isNull(), car).when(car.isNull(), loc).otherwise(_COMBINE[kind](loc, car))
+        both = car if way == "all" else _COMBINE[kind](loc, car)
+        out[n] = F.when(loc.isNull(), car).when(car.isNull(), loc).otherwise(both)
     return joined.withColumns(out).drop(*[f"__{part}_{n}" for part in ("in", "loc", "carry") for n in spec])
 
 
+def group_frames(keys: Sequence[str], order: Sequence[str], end: int) -> dict[str, Window]:
+    """Frames from either end of a group to the row (``end`` 0) or to the one before it (-1), and the whole group."""
+    up = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    down = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return {
+        "up": up.rowsBetween(Window.unboundedPreceding, end),
+        "down": down.rowsBetween(Window.unboundedPreceding, end),
+        "all": Window.partitionBy(*keys),
+    }
+
+
+def carried(rows: DataFrame, keys: Sequence[str], spec: dict[str, tuple[str, Column, str]]) -> DataFrame:
+    """What reaches each block of a group that spans several: ``keys, block, __carry_<name>``, two rows per block at most."""
+    totals = rows.groupBy(*keys, BLOCK).agg(*[_AGG[kind](e).alias(f"__tot_{n}") for n, (kind, e, _) in spec.items()])
+    frames = group_frames(keys, [BLOCK], -1)
+    spanned = F.count(F.lit(1)).over(frames["all"])
+    return (
+        totals.withColumns(
+            {"__parts": spanned}
+            | {f"__carry_{n}": _AGG[kind](f"__tot_{n}").over(frames[way]) for n, (kind, _, way) in spec.items()}
+        )
+        .filter(F.col("__parts") > 1)
+        .select(*keys, BLOCK, *[f"__carry_{n}" for n in spec])
+    )
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per distinct non-NULL value with the number of rows ``cnt``."""
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
@@ -106,11 +118,9 @@ def ranks_of_counts(counts: DataFrame, keys: Sequence[str], value: str, blocks:
         ordered_blocks(counts, keys, [value], blocks),
         keys,
         [value],
-        {"__up": ("sum", cnt, "up"), "__down": ("sum", cnt, "down")},
-    )
-    return ranked.withColumns({"below": F.col("__up") - cnt, "total": F.col("__up") + F.col("__down") - cnt}).drop(
-        "__up", "__down"
+        {"__up": ("sum", cnt, "up"), "total": ("sum", cnt, "all")},
     )
+    return ranked.withColumn("below", F.col("__up") - cnt).drop("__up")
 
 
 def quantiles_of_ranks(ranked: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -137,9 +147,31 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles per group, linear between the two nearest order statistics; no group is gathered.
 
-    ``probs`` maps output names to probabilities.
+    ``probs`` maps output names to probabilities. Of a group that spans several blocks, only the blocks which
+    hold one of its order statistics are looked into.
     """
-    return quantiles_of_ranks(distinct_ranks(df, keys, value, blocks), keys, value, probs)
+    cut = ordered_blocks(value_counts(df, keys, value), keys, [value], blocks)
+    return quantiles_of_counts(cut, keys, value, probs)
+
+
+def quantiles_of_counts(cut: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """:func:`quantiles` of counted values that are already in blocks."""
+    cnt = F.col("cnt")
+    if BLOCK not in cut.columns:
+        rows = running(cut, keys, [value], {"__up": ("sum", cnt, "up"), "total": ("sum", cnt, "all")})
+        return quantiles_of_ranks(rows.withColumn("below", F.col("__up") - cnt), keys, value, probs)
+    frames = group_frames(keys, [BLOCK], -1)
+    spans = cut.groupBy(*keys, BLOCK).agg(F.sum("cnt").alias("__held")).withColumns(
+        {"__before": F.coalesce(F.sum("__held").over(frames["up"]), F.lit(0)), "total": F.sum("__held").over(frames["all"])}
+    )
+    lows = [F.floor((F.col("total") - 1) * F.lit(float(p))) for p in probs.values()]
+    needed = reduce(
+        lambda a, b: a | b,
+        [(at >= F.col("__before")) & (at < F.col("__before") + F.col("__held")) for low in lows for at in (low, low + 1)],
+    )
+    rows = attach(cut, spans.filter(needed).drop("__held"), [*keys, BLOCK], "inner")
+    up = F.sum("cnt").over(group_frames([*keys, BLOCK], [value], 0)["up"])
+    return quantiles_of_ranks(rows.withColumn("below", F.col("__before") + up - cnt), keys, value, probs)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", blocks: int | None = None):

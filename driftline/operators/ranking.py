@@ -26,9 +26,8 @@ def adjust_fdr(df: DataFrame, p: str, name: str = "p_adj", family: Sequence[str]
     """Benjamini-Hochberg adjusted p, over all rows or per family; NULL p stays NULL and does not count."""
     cut = ordered_blocks(value_counts(df, family, p), family, [p], blocks)
     cnt = F.col("cnt")
-    ranked = running(cut, family, [p], {"__up": ("sum", cnt, "up"), "__down": ("sum", cnt, "down")})
-    tests = F.col("__up") + F.col("__down") - cnt
-    smallest = running(ranked, family, [p], {"__adj": ("min", F.col(p) * tests / F.col("__up"), "down")})
+    ranked = running(cut, family, [p], {"__up": ("sum", cnt, "up"), "__tests": ("sum", cnt, "all")})
+    smallest = running(ranked, family, [p], {"__adj": ("min", F.col(p) * F.col("__tests") / F.col("__up"), "down")})
     adjusted = smallest.select(*family, p, F.least(F.lit(1.0), F.col("__adj")).alias(name))
     return null_safe_join(df, adjusted, [*family, p])
 

@@ -7,18 +7,23 @@ nor on how often a task is run.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import if_else
-from ..session import materialize
+from ..session import materialize, widen
 from .ordered import BLOCK, numbered
 
+# the solver travels with the plan, so workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LANES = 4  # 32-bit draws per digest
 MAX_CELLS = 10_000
 
@@ -45,22 +50,23 @@ def poisson_weight(digits: Column) -> Column:
 
 
 def bootstrap_replicates(df: DataFrame, keys: Sequence[str], values: Sequence[str], late: Column,
-                         row_key: Sequence[str], replicates: int = 1000) -> DataFrame:
+                         row_key: Sequence[str], replicates: int = 1000, spread: bool = False) -> DataFrame:
     """Replicated mean differences, late minus early: ``keys, metric, rep, diff``.
 
     Resampling n rows with replacement is approximated by giving each row an independent Poisson(1) count,
     which agrees for growing n. A replicate in which a side has no rows is NULL. The rows are never copied
-    to one place: each task adds up weighted sums per (group, side, replicate) before the shuffle. Only
-    the key columns, the side and ``replicates / 4`` distinguish the groups of that aggregate.
+    to one place: each task adds up weighted sums per (group, side, replicate) before the shuffle.
+    ``spread`` deals a scan of few splits out to all cores first, see :func:`~driftline.session.widen`.
     """
     if replicates % LANES:
         raise ValueError(f"replicates must be a multiple of {LANES}")
-    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in row_key], F.col("__draw").cast("string")))
-    rows = (
-        df.select(*keys, *values, *[c for c in row_key if c not in (*keys, *values)], late.alias("__late"))
-        .filter(F.col("__late").isNotNull())
-        .withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(replicates // LANES - 1))))
-        .withColumn("__digest", digest)
+    rows = df.select(
+        *keys, *values, late.alias("__late"), F.concat_ws("|", *[F.col(c).cast("string") for c in row_key]).alias("__key")
+    ).filter(F.col("__late").isNotNull())
+    if spread:
+        rows = widen(rows, ["__key"])
+    rows = rows.withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(replicates // LANES - 1)))).withColumn(
+        "__digest", F.md5(F.concat("__key", F.lit("|"), F.col("__draw").cast("string")))
     )
     weights = {f"__w{i}": poisson_weight(F.substring("__digest", 8 * i + 1, 8)) for i in range(LANES)}
     rows = rows.withColumns(weights)
@@ -91,9 +97,9 @@ def bootstrap_replicates(df: DataFrame, keys: Sequence[str], values: Sequence[st
 
 
 def bootstrap_interval(df: DataFrame, keys: Sequence[str], values: Sequence[str], late: Column,
-                       row_key: Sequence[str], replicates: int = 1000, conf: float = 0.95) -> DataFrame:
+                       row_key: Sequence[str], replicates: int = 1000, conf: float = 0.95, spread: bool = False) -> DataFrame:
     """Percentile interval of the mean difference: ``keys, metric, lower, upper, significant, linetype``."""
-    reps = bootstrap_replicates(df, keys, values, late, row_key, replicates)
+    reps = bootstrap_replicates(df, keys, values, late, row_key, replicates, spread)
     tail = (1 - conf) / 2
     # each group holds exactly `replicates` rows, so the exact percentile is bounded
     out = reps.groupBy(*keys, "metric").agg(

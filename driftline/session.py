@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the operators are written for; all but the skew factor are Spark's defaults.
 RECOMMENDED_CONF = {
@@ -55,3 +56,19 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`materialize` with the number of rows, counted while they are written."""
+    seen = Observation()
+    written = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return written, seen.get["rows"]
+
+
+def widen(scan: DataFrame, by: list[str]) -> DataFrame:
+    """Deal the rows of a scan out to all cores where it has fewer splits than there are cores.
+
+    For work that is heavy per row. Tables of many splits, which is to say all large ones, are left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *by) if scan.rdd.getNumPartitions() < cores else scan

@@ -15,9 +15,14 @@ from .ordered import BLOCK, centred_window, ordered_blocks, quantiles, running
 from .reshape import to_long, to_wide
 
 
+# Fixed value: residuals with a smaller interquartile range count as constant, and nothing is replaced.
+FLAT = 1e-14
+
+
 def numbered_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None) -> DataFrame:
     ordered = ordered_blocks(df, keys, order, blocks)
-    return running(ordered, keys, order, {"__pos": ("sum", F.lit(1).cast("long"), "up")})
+    one = F.lit(1).cast("long")
+    return running(ordered, keys, order, {"__pos": ("sum", one, "up"), "__len": ("sum", one, "all")})
 
 
 def array_median(values: Column) -> Column:
@@ -26,6 +31,17 @@ def array_median(values: Column) -> Column:
     return (F.get(ranked, low.cast("int")) + F.get(ranked, high.cast("int"))) / 2
 
 
+def array_mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v) / F.size(values)
+
+
+def symmetric_part(values: Column, half_width: int) -> Column:
+    """The middle of a frame's values that reaches equally far to both sides, also at the ends of the series."""
+    before = F.least(F.lit(half_width), F.col("__pos") - 1).cast("int")
+    reach = F.least(before, F.col("__len") - F.col("__pos")).cast("int")
+    return F.slice(values, before - reach + 1, 2 * reach + 1)
+
+
 def interpolate_numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], axis: str, value: str, name: str):
     """Linear interpolation on rows that already carry a block; see :func:`interpolate`."""
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(axis).cast("double").alias("a"), F.col(value).alias("v")))
@@ -50,16 +66,17 @@ def interpolate(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     """
     rows = numbered_values(df, keys, order, blocks)
     out = interpolate_numbered(rows, keys, order, axis or "__pos", value, name or value)
-    return out.drop("__pos", BLOCK)
+    return out.drop("__pos", "__len", BLOCK)
 
 
 def clean_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "cleaned",
                  half_width: int = 7, reach: float = 3.0, iterations: int = 2, blocks: int | None = None) -> DataFrame:
     """Interpolate gaps, replace outliers, interpolate those: adds ``name`` and the flag ``<name>_outlier``.
 
-    A value is an outlier where its distance from the median of the ``2 * half_width + 1`` rows around it lies
-    more than ``reach`` interquartile ranges beyond the quartiles of the series' residuals. The rolling median stands
-    in for a super-smoother, so results are close to those of one, not equal.
+    The series is smoothed by a rolling median and a rolling mean of that, each over ``2 * half_width + 1`` rows (fewer
+    at the ends, always as many on both sides). A value is an outlier where its residual lies more than ``reach``
+    interquartile ranges beyond the quartiles of the series' residuals. This stands in for a super-smoother: results
+    are close to those of one, not equal.
     """
     keys = list(keys)
     rows = numbered_values(df, keys, order, blocks).withColumns(
@@ -67,23 +84,28 @@ def clean_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     )
     for _ in range(iterations):
         rows = interpolate_numbered(rows, keys, order, "__pos", "__work", "__full")
-        smooth = centred_window(rows, keys, "__pos", half_width, {"__near": F.collect_list("__full")})
-        smooth = smooth.withColumn("__mid", array_median(F.col("__near"))).drop("__near")
+        smooth = centred_window(
+            rows, keys, "__pos", half_width,
+            [
+                lambda w: {"__mid": array_median(symmetric_part(F.collect_list("__full").over(w), half_width))},
+                lambda w: {"__smooth": array_mean(symmetric_part(F.collect_list("__mid").over(w), half_width))},
+            ],
+        )
         # read twice below: for the quartiles and for the rows
-        smooth = materialize(smooth.withColumn("__res", F.col("__full") - F.col("__mid")))
+        smooth = materialize(smooth.withColumn("__res", F.col("__full") - F.col("__smooth")))
         q = quantiles(smooth, keys, "__res", {"__q1": 0.25, "__q3": 0.75}, blocks).drop("n")
         iqr = F.col("__q3") - F.col("__q1")
         res = F.col("__res")
-        outlier = (res < F.col("__q1") - reach * iqr) | (res > F.col("__q3") + reach * iqr)
+        outlier = (iqr > FLAT) & ((res < F.col("__q1") - reach * iqr) | (res > F.col("__q3") + reach * iqr))
         rows = (
             attach(smooth, q, keys)
             .withColumn("__hit", F.coalesce(outlier, F.lit(False)))
             .withColumns({"__work": F.when(~F.col("__hit"), F.col("__full")), "__out": F.col("__out") | F.col("__hit")})
-            .drop("__full", "__mid", "__res", "__q1", "__q3", "__hit")
+            .drop("__full", "__mid", "__smooth", "__res", "__q1", "__q3", "__hit")
         )
     out = interpolate_numbered(rows, keys, order, "__pos", "__work", name)
     return out.withColumn(f"{name}_outlier", F.col("__out") & F.col(value).isNotNull()).drop(
-        "__pos", "__work", "__out", BLOCK
+        "__pos", "__len", "__work", "__out", BLOCK
     )
 
 

@@ -38,8 +38,8 @@ def cluster(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 123, bis
     # the first split moves the centre by a share of its own length, so a centre at zero, as standardised
     # columns have, would never split: shift all rows alike, which leaves every distance as it is
     largest = F.array_max(F.transform(vector_to_array(FEATURES), lambda v: F.abs(v)))
-    length = rows.agg(F.coalesce(F.max(largest), F.lit(1.0))).scalar()
-    moved = array_to_vector(F.transform(vector_to_array(FEATURES), lambda v: v + length))
+    length = float(rows.agg(F.coalesce(F.max(largest), F.lit(1.0))).first()[0]) or 1.0
+    moved = array_to_vector(F.transform(vector_to_array(FEATURES), lambda v: v + F.lit(length)))
     rows = rows.withColumn(FEATURES, moved)
     method = BisectingKMeans(k=k, seed=seed, featuresCol=FEATURES, predictionCol="cluster")
     return method.fit(rows).transform(rows).drop(FEATURES)

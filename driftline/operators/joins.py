@@ -19,7 +19,13 @@ def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", small: bool = False):
-    """Equi-join in which NULL keys match each other; keeps the key columns of ``left``."""
+    """Equi-join in which NULL keys match each other; keeps the key columns of ``left``.
+
+    Without keys, ``right`` is a table of one row and its values go onto every row.
+    """
+    if not on:
+        row = right.select(F.struct(*right.columns).alias("r")).scalar()
+        return left.withColumns({c: row[c] for c in right.columns})
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in on})
     side = F.broadcast(renamed) if small else renamed
     cond = same_keys(left, renamed, [(k, f"__r_{k}") for k in on])

@@ -11,11 +11,12 @@ have to be agreed on twice could not be used like this; a written one can.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..session import materialize, materialize_counted
 from .joins import attach, null_safe_join
@@ -72,7 +73,7 @@ def running(
     return joined.withColumns(out).drop(*[f"__{part}_{n}" for part in ("in", "loc", "carry") for n in spec])
 
 
-def group_frames(keys: Sequence[str], order: Sequence[str], end: int) -> dict[str, Window]:
+def group_frames(keys: Sequence[str], order: Sequence[str], end: int) -> dict[str, WindowSpec]:
     """Frames from either end of a group to the row (``end`` 0) or to the one before it (-1), and the whole group."""
     up = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     down = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
@@ -186,24 +187,23 @@ def centred_window(
     keys: Sequence[str],
     pos: str,
     half_width: int,
-    outputs: dict[str, Column],
+    stages: Sequence[Callable[[WindowSpec], dict[str, Column]]],
     tile: int = 65_536,
 ) -> DataFrame:
-    """Aggregates over the ``2 * half_width + 1`` rows around each row, by row number ``pos``.
+    """Columns from the ``half_width`` rows on either side of each row, by row number ``pos``.
 
-    A group is cut into tiles of ``tile`` rows; each tile also gets the ``half_width`` rows on
-    either side, so every frame is complete and no task sees more than a tile.
+    Each stage gets the window and returns its columns; a later stage may use those of an earlier one. A group is
+    cut into tiles of ``tile`` rows; each tile also gets the rows around it that its frames reach through all
+    stages, so every frame of its own rows is complete, no task sees more than a tile, and all stages share one shuffle.
     """
-    if half_width >= tile:
-        raise ValueError("half_width must be smaller than tile")
+    halo = half_width * len(stages)
+    if halo >= tile:
+        raise ValueError("the rows around a tile must be fewer than the tile")
     own = lambda p: F.floor(p / F.lit(float(tile))).cast("long")
     p = F.col(pos)
-    spread = df.withColumn("__tile", F.explode(F.array_distinct(F.array(
-        own(p), own(p - half_width), own(p + half_width)
-    ))))
+    near = F.array_distinct(F.array(own(p), own(p - halo), own(p + halo)))
+    out = df.withColumn("__tile", F.explode(near))
     w = Window.partitionBy(*keys, "__tile").orderBy(pos).rangeBetween(-half_width, half_width)
-    return (
-        spread.withColumns({n: e.over(w) for n, e in outputs.items()})
-        .filter(F.col("__tile") == own(p))
-        .drop("__tile")
-    )
+    for stage in stages:
+        out = out.withColumns(stage(w))
+    return out.filter(F.col("__tile") == own(p)).drop("__tile")

@@ -598,10 +598,15 @@ _SPIKY = """(SELECT event_id, user_id, ts, CASE WHEN event_id % 101 = 0 AND even
    WHEN event_id % 101 = 0 THEN NULL WHEN event_id % 7 <> 0 THEN value END AS value,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events)"""
 ORACLES["clean_series"] = f"""
-WITH full_ AS (SELECT event_id, user_id, ts, pos, value AS seen, filled FROM {interpolated(_SPIKY, "pos")}),
-res AS (SELECT *, filled - median(filled) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS r FROM full_),
+WITH full_ AS (SELECT event_id, user_id, ts, pos, value AS seen, filled, least(3, pos - 1, count(*) OVER (PARTITION BY user_id) - pos) AS h
+  FROM {interpolated(_SPIKY, "pos")}),
+mid AS (SELECT a.event_id, median(b.filled) AS mid FROM full_ a JOIN full_ b
+  ON a.user_id = b.user_id AND b.pos BETWEEN a.pos - a.h AND a.pos + a.h GROUP BY a.event_id),
+sm AS (SELECT a.event_id, avg(m.mid) AS smooth FROM full_ a JOIN full_ b
+  ON a.user_id = b.user_id AND b.pos BETWEEN a.pos - a.h AND a.pos + a.h JOIN mid m ON m.event_id = b.event_id GROUP BY a.event_id),
+res AS (SELECT full_.*, filled - smooth AS r FROM full_ JOIN sm USING (event_id)),
 q AS (SELECT user_id, quantile_cont(r, 0.25) AS q1, quantile_cont(r, 0.75) AS q3 FROM res GROUP BY user_id),
-hit AS (SELECT res.*, coalesce(r < q1 - 3 * (q3 - q1) OR r > q3 + 3 * (q3 - q1), FALSE) AS hit FROM res JOIN q USING (user_id)),
+hit AS (SELECT res.*, coalesce(q3 - q1 > 1e-14 AND (r < q1 - 3 * (q3 - q1) OR r > q3 + 3 * (q3 - q1)), FALSE) AS hit FROM res JOIN q USING (user_id)),
 again AS (SELECT event_id, user_id, ts, pos, hit, seen, CASE WHEN NOT hit THEN filled END AS value FROM hit)
 SELECT event_id, user_id, {rnd("filled", 4, "cleaned")}, hit AND seen IS NOT NULL AS outlier FROM {interpolated("again", "pos")}"""
 

@@ -144,17 +144,20 @@ def test_interpolation_of_nothing(spark):
     assert [r.v for r in interpolate(df, [], ["t"], "v").collect()] == [None, None]
 
 
-@pytest.mark.parametrize("tile", [8, 50, 4096])
+@pytest.mark.parametrize("tile", [11, 50, 4096])
 def test_centred_window(skewed, tile):
     df, data = skewed
+    stages = [lambda w: {"m": F.avg("v").over(w), "n": F.count("v").over(w)}, lambda w: {"mm": F.max("m").over(w)}]
     rows_ = numbered(df.fillna({"v": 0.0}), ["k"], ["id"], blocks=3)
-    got = {r["id"]: r for r in rows(centred_window(rows_, ["k"], "pos", 5, {"m": F.avg("v"), "n": F.count("v")}, tile), "id")}
+    got = {r["id"]: r for r in rows(centred_window(rows_, ["k"], "pos", 5, stages, tile), "id")}
     assert len(got) == 1200
     for g in groups(data).values():
         v = [x or 0.0 for _, x in g]
         for j, (i, _) in enumerate(g):
             near = v[max(0, j - 5) : j + 6]
             assert got[i]["n"] == len(near) and got[i]["m"] == pytest.approx(np.mean(near))
+            means = [np.mean(v[max(0, q - 5) : q + 6]) for q in range(max(0, j - 5), min(len(v), j + 6))]
+            assert got[i]["mm"] == pytest.approx(max(means))
 
 
 @pytest.mark.parametrize("blocks", BLOCKS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,10 +39,10 @@ def parse_problems(spark: SparkSession, path, schema: str, null: str = "NA") ->
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
-    # all columns are asked for, as a pruned parse would not look at the fields it skips
+    # every field has to be parsed for the record to be judged, so the filter refers to all of them
+    parsed = reduce(lambda a, b: a + b, [F.col(f"`{f.name}`").isNotNull().cast("int") for f in full.fields[:-1]])
     named = df.select("*", F.col("_metadata.file_name").alias("file"))
-    touched = F.struct(*[F.col(f.name) for f in full.fields if f.name != CORRUPT])
-    return named.filter(F.col(CORRUPT).isNotNull() & touched.isNotNull()).select("file", F.col(CORRUPT).alias("record"))
+    return named.filter(F.col(CORRUPT).isNotNull() & (parsed >= 0)).select("file", F.col(CORRUPT).alias("record"))
 
 
 def dated_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:

@@ -299,6 +299,15 @@ def daily_rollup_join(spark, sf):
     return out.select(F.col("date").cast("string").alias("date"), rnd("station_temp").alias("station_temp"), rnd("mean_150").alias("mean_150"))
 
 
+@query
+def suffixed_join(spark, sf):
+    """Left join of two aggregates whose columns share a name."""
+    o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    mean = lambda cond: o.filter(cond).groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("mean"), F.count(F.lit(1)).alias("n"))
+    out = joins.suffixed_left_join(mean("year < 1998"), mean("year >= 1998 and o_orderpriority <> '2-HIGH'"), ["o_orderpriority"], ("_x", "_y"))
+    return rounded(out, 6, "mean_x", "mean_y")
+
+
 @query
 def history_join(spark, sf):
     """Left join of two yearly aggregates with the percent difference."""
@@ -391,6 +400,14 @@ def annual_trend_long(spark, sf):
     return rounded(out, 6, *FIT)
 
 
+@query
+def trend_terms(spark, sf):
+    """Intercept and slope of every group's line as rows with their errors and p values."""
+    rows = yearly_rows(spark, sf)
+    out = tr.coefficients(tr.fit_trend(rows, ["l_returnflag"], "year", "value"), ["l_returnflag"], "year")
+    return rounded(out, 5, "estimate", "std_error", "statistic", "p_value")
+
+
 @query
 def combined_trends(spark, sf):
     """Annual and seasonal trends in one table with ordered period labels."""
@@ -617,6 +634,14 @@ def cascade_fill(spark, sf):
     return out.select(*LINE_KEY, rnd("price", 2).alias("price"), rnd("qty", 2).alias("qty"), rnd("tax", 4).alias("tax"))
 
 
+@query
+def cascade_pair(spark, sf):
+    """Two dependent fills, the second one stepwise."""
+    steps = [gapfill.Model("price", ("l_quantity",)), gapfill.Model("tax", ("price", "l_discount"), True)]
+    out = gapfill.cascade(gappy_lines(spark, sf), ["month"], steps)
+    return out.select(*LINE_KEY, rnd("price", 2).alias("price"), rnd("tax", 5).alias("tax"))
+
+
 @query
 def clamp_rules(spark, sf):
     """Date-bounded and unconditional bounds from a rule table on the long form."""

@@ -117,24 +117,18 @@ def fit_models(df: DataFrame, keys: Sequence[str], models: Sequence[Model]) -> D
     """
     models = list(models)
     width = max(len(m.predictors) for m in models)
+    names = [f"v{i}" for i in range(width + 1)]
     num = lambda c: F.col(c).cast("double")
-    # shorter models are padded with a constant, which the solver never selects
-    cases = F.array(
-        *[
-            F.struct(
-                F.lit(m.target).alias("target"),
-                F.array(*[num(p) for p in m.predictors], *[F.lit(0.0)] * (width - len(m.predictors)), num(m.target)).alias("v"),
-            )
-            for m in models
-        ]
-    )
-    rows = df.select(*keys, F.inline(cases)).filter(F.forall("v", lambda v: v.isNotNull()))
-    at = lambda i: F.col("v")[i]
-    pairs = list(combinations_with_replacement(range(width + 1), 2))
+    cases = []
+    for m in models:
+        # shorter models are padded with a constant, which the solver never selects
+        values = [num(p) for p in m.predictors] + [F.lit(0.0)] * (width - len(m.predictors)) + [num(m.target)]
+        cases.append(F.struct(F.lit(m.target).alias("target"), *[v.alias(c) for v, c in zip(values, names, strict=True)]))
+    rows = df.select(*keys, F.inline(F.array(*cases))).dropna(subset=names)
     sums = rows.groupBy(*keys, "target").agg(
         F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(at(i)) for i in range(width + 1)]).alias("mean"),
-        F.array(*[F.covar_pop(at(i), at(j)) for i, j in pairs]).alias("cov"),
+        F.array(*[F.avg(c) for c in names]).alias("mean"),
+        F.array(*[F.covar_pop(a, b) for a, b in combinations_with_replacement(names, 2)]).alias("cov"),
     )
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema.fields if f.name not in ("mean", "cov"))
     return sums.mapInPandas(solve_models(models, width), f"{kept}, {MODEL_SCHEMA}")

@@ -83,4 +83,4 @@ def weather_join(weather: DataFrame, rows: DataFrame, time: str = "datetime", va
                  date: str = "date", predictor: str = "mean_150") -> DataFrame:
     """Left join of the daily station mean to dated rows, also under the predictor's name."""
     daily = daily_weather(weather, time, [value]).select(F.col("date").alias(date), F.col(value))
-    return rows.join(daily, date, "left").withColumn(predictor, F.col(value))
+    return attach(rows, daily, [date]).withColumn(predictor, F.col(value))

@@ -116,7 +116,7 @@ def recode(df: DataFrame, col: str, mapping: Mapping[str, str] | DataFrame, name
     """
     name = name or col
     if isinstance(mapping, DataFrame):
-        table = mapping.select(F.col("from").alias("__from"), F.col("to").alias("__to")).dropDuplicates(["__from"])
+        table = mapping.groupBy(F.col("from").alias("__from")).agg(F.min("to").alias("__to"))
         rows = df.withColumn("__from", F.col(col))
         joined = attach(rows, table, ["__from"])
         to = F.col("__to")

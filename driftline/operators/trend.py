@@ -76,6 +76,24 @@ def add_fdr(fits: DataFrame, family: Sequence[str] = (), alpha: float = 0.05, bl
     return out.withColumn("sig_fdr", yes_no(F.col("p_adj") < alpha))
 
 
+def coefficients(fits: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """One row per term: ``keys, term, estimate, std_error, statistic, p_value``; terms are ``(intercept)`` and ``x``."""
+    se0 = F.col("sigma") * F.sqrt(F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.col("x_mean") * F.col("x_mean"), F.col("sxx")))
+    t0 = F.try_divide(F.col("intercept"), se0)
+    row = lambda term, est, se, t, p: F.struct(
+        F.lit(term).alias("term"), est.alias("estimate"), se.alias("std_error"), t.alias("statistic"), p.alias("p_value")
+    )
+    return fits.select(
+        *keys,
+        F.inline(
+            F.array(
+                row("(intercept)", F.col("intercept"), se0, t0, t_two_sided(t0, F.col("df"))),
+                row(x, F.col("slope"), F.col("se"), F.col("t"), F.col("p_value")),
+            )
+        ),
+    )
+
+
 def significant(fits: DataFrame, alpha: float = 0.05) -> DataFrame:
     return fits.filter(F.col("p_value") < alpha)
 

@@ -259,6 +259,11 @@ days AS (SELECT date FROM d WHERE day(date) % 2 = 0 UNION ALL SELECT CAST(date +
 SELECT strftime(days.date, '%Y-%m-%d') AS date, {rnd("v", 6, "station_temp")}, {rnd("v", 6, "mean_150")}
 FROM days LEFT JOIN d ON days.date = d.date"""
 
+ORACLES["suffixed_join"] = f"""
+WITH x AS (SELECT o_orderpriority, avg(o_totalprice) AS m, count(*) AS n FROM orders WHERE year(o_orderdate) < 1998 GROUP BY 1),
+y AS (SELECT o_orderpriority, avg(o_totalprice) AS m, count(*) AS n FROM orders WHERE year(o_orderdate) >= 1998 AND o_orderpriority <> '2-HIGH' GROUP BY 1)
+SELECT o_orderpriority, {rnd("x.m", 6, "mean_x")}, x.n AS n_x, {rnd("y.m", 6, "mean_y")}, y.n AS n_y FROM x LEFT JOIN y USING (o_orderpriority)"""
+
 ORACLES["history_join"] = f"""
 SELECT o_orderpriority, {rnd("h", 6, "history")}, {rnd("c", 6, "current")}, {rnd("(c - h) / h * 100", 6, "percent_diff")}
 FROM (SELECT o_orderpriority, avg(o_totalprice) FILTER (year(o_orderdate) <> 2000) AS h,
@@ -357,6 +362,13 @@ SELECT l_returnflag, year, {", ".join(rnd(c, 5) for c in ("value", "fitted", "re
   {rnd("sqrt(greatest(0.0::DOUBLE, (rss - resid * resid / (1 - hat)) / (df - 1)))", 5, "sigma_without")},
   {rnd("std_resid * std_resid / 2 * hat / (1 - hat)", 5, "cooksd")} FROM s"""
 
+_TERMS_OF = f"(SELECT * EXCLUDE (p_value), p_value AS p1, sigma * sqrt(1.0 / n + x_mean * x_mean / sxx) AS se0 FROM {fits(f'{_YR} y_', 'l_returnflag', 'year', 'value')})"
+_WITH_P0 = with_t_p(f"(SELECT *, intercept / se0 AS t0 FROM {_TERMS_OF} e_) e2_", "t0", "df", "p0")
+ORACLES["trend_terms"] = f"""
+WITH f AS (SELECT * FROM {_WITH_P0})
+SELECT l_returnflag, '(intercept)' AS term, {rnd("intercept", 5, "estimate")}, {rnd("se0", 5, "std_error")}, {rnd("t0", 5, "statistic")}, {rnd("p0", 5, "p_value")} FROM f
+UNION ALL SELECT l_returnflag, 'year', {rnd("slope", 5)}, {rnd("se", 5)}, {rnd("t", 5)}, {rnd("p1", 5)} FROM f"""
+
 _SITE = """(SELECT n_name AS site, n_nationkey + 50.5::DOUBLE AS lat, n_nationkey * -1.25::DOUBLE AS lon, year(o_orderdate) AS year, m AS metric,
    CASE m WHEN 'swe' THEN o_totalprice ELSE c_acctbal END AS value
  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
@@ -545,21 +557,39 @@ SELECT {KEY}, {rnd("coalesce(price, b0 + b1 * l_quantity)", 2, "price")} FROM g
 ORACLES["mean_imputed"] = f"""
 WITH g AS {GAPPY} SELECT month, {rnd("avg(coalesce(tax, (SELECT avg(tax) FROM g)))", 8, "tax")} FROM g GROUP BY month"""
 
-_GRAM = f"""(SELECT month, count(*) AS n, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(price) AS my,
-  var_pop(l_quantity) AS c11, var_pop(l_discount) AS c22, covar_pop(l_quantity, l_discount) AS c12,
-  covar_pop(l_quantity, price) AS c1y, covar_pop(l_discount, price) AS c2y, var_pop(price) AS cyy FROM {GAPPY} WHERE price IS NOT NULL GROUP BY month)"""
-_TWO = f"""(SELECT *, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS b1, (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) AS b2 FROM {_GRAM})"""
-_RSS = f"""(SELECT *, n * (cyy - b1 * c1y - b2 * c2y) AS r12, n * (cyy - c1y * c1y / c11) AS r1, n * (cyy - c2y * c2y / c22) AS r2, n * cyy AS r0 FROM {_TWO})"""
-_AIC = f"""(SELECT *, n * ln(r12 / n) + 6 AS a12, n * ln(r1 / n) + 4 AS a1, n * ln(r2 / n) + 4 AS a2, n * ln(r0 / n) + 2 AS a0 FROM {_RSS})"""
+
+
+def two_predictors(source: str, key: str, y: str, x1: str, x2: str) -> str:
+    """Subquery per key: slopes, residual sums and AIC of the model with both predictors, with either and with none."""
+    gram = f"""(SELECT {key}, count(*) AS n, avg({x1}) AS m1, avg({x2}) AS m2, avg({y}) AS my,
+      var_pop({x1}) AS c11, var_pop({x2}) AS c22, covar_pop({x1}, {x2}) AS c12, covar_pop({x1}, {y}) AS c1y, covar_pop({x2}, {y}) AS c2y,
+      var_pop({y}) AS cyy FROM {source} WHERE {y} IS NOT NULL AND {x1} IS NOT NULL AND {x2} IS NOT NULL GROUP BY {key})"""
+    slopes = f"""(SELECT *, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS b1, (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) AS b2 FROM {gram})"""
+    rss = f"""(SELECT *, n * (cyy - b1 * c1y - b2 * c2y) AS r12, n * (cyy - c1y * c1y / c11) AS r1, n * (cyy - c2y * c2y / c22) AS r2, n * cyy AS r0 FROM {slopes})"""
+    return f"""(SELECT *, n * ln(r12 / n) + 6 AS a12, n * ln(r1 / n) + 4 AS a1, n * ln(r2 / n) + 4 AS a2, n * ln(r0 / n) + 2 AS a0 FROM {rss})"""
+
+
+def stepwise(source: str, key: str, y: str, x1: str, x2: str) -> str:
+    """Subquery per key: ``n, b0, b1, b2, aic`` after backward selection; a dropped slope is NULL."""
+    return f"""(SELECT *, my - coalesce(b1 * m1, 0) - coalesce(b2 * m2, 0) AS b0 FROM
+      (SELECT {key}, n, my, m1, m2, CASE keep WHEN 'both' THEN b1 WHEN 'one' THEN c1y / c11 END AS b1,
+         CASE keep WHEN 'both' THEN b2 WHEN 'two' THEN c2y / c22 END AS b2,
+         CASE keep WHEN 'both' THEN a12 WHEN 'one' THEN a1 WHEN 'two' THEN a2 ELSE a0 END AS aic
+       FROM (SELECT *, CASE WHEN a12 <= least(a1, a2) THEN 'both' WHEN a1 <= a2 THEN CASE WHEN a1 <= a0 THEN 'one' ELSE 'none' END
+               ELSE CASE WHEN a2 <= a0 THEN 'two' ELSE 'none' END END AS keep FROM {two_predictors(source, key, y, x1, x2)})))"""
+
+
+_PRICE = two_predictors(GAPPY, "month", "price", "l_quantity", "l_discount")
 ORACLES["multiple_regression"] = f"""
-SELECT month, n, {rnd("my - b1 * m1 - b2 * m2", 3, "b0")}, {rnd("b1", 3)}, {rnd("b2", 3)}, {rnd("r12 / 1e9", 3, "rss")}, {rnd("a12", 3, "aic")} FROM {_AIC}"""
+SELECT month, n, {rnd("my - b1 * m1 - b2 * m2", 3, "b0")}, {rnd("b1", 3)}, {rnd("b2", 3)}, {rnd("r12 / 1e9", 3, "rss")}, {rnd("a12", 3, "aic")} FROM {_PRICE}"""
 ORACLES["stepwise_regression"] = f"""
-WITH s AS (SELECT *, CASE WHEN a12 <= least(a1, a2) THEN 'both' WHEN a1 <= a2 THEN CASE WHEN a1 <= a0 THEN 'one' ELSE 'none' END
-  ELSE CASE WHEN a2 <= a0 THEN 'two' ELSE 'none' END END AS keep FROM {_AIC}),
-c AS (SELECT month, n, my, m1, m2, CASE keep WHEN 'both' THEN b1 WHEN 'one' THEN c1y / c11 END AS b1,
-  CASE keep WHEN 'both' THEN b2 WHEN 'two' THEN c2y / c22 END AS b2,
-  CASE keep WHEN 'both' THEN a12 WHEN 'one' THEN a1 WHEN 'two' THEN a2 ELSE a0 END AS aic FROM s)
-SELECT month, n, {rnd("my - coalesce(b1 * m1, 0) - coalesce(b2 * m2, 0)", 3, "b0")}, {rnd("b1", 3)}, {rnd("b2", 3)}, {rnd("aic", 3)} FROM c"""
+SELECT month, n, {rnd("b0", 3)}, {rnd("b1", 3)}, {rnd("b2", 3)}, {rnd("aic", 3)} FROM {stepwise(GAPPY, "month", "price", "l_quantity", "l_discount")}"""
+
+ORACLES["cascade_pair"] = f"""
+WITH g AS {GAPPY}, f AS (SELECT month, regr_slope(price, l_quantity) AS s, regr_intercept(price, l_quantity) AS i FROM g GROUP BY month),
+h AS (SELECT g.* REPLACE (coalesce(price, i + s * l_quantity) AS price) FROM g LEFT JOIN f USING (month)),
+t AS (SELECT * FROM {stepwise("h", "month", "tax", "price", "l_discount")})
+SELECT {KEY}, {rnd("price", 2)}, {rnd("coalesce(tax, b0 + coalesce(b1 * price, 0) + coalesce(b2 * l_discount, 0))", 5, "tax")} FROM h LEFT JOIN t USING (month)"""
 
 _RULES = f"""(SELECT (['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'])[r_regionkey % 4 + 1] AS variable,
   CASE WHEN r_regionkey % 2 = 0 THEN make_date(1996 + r_regionkey, 1, 1) END AS before,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,16 +97,17 @@ def read_points(spark: SparkSession, path, tag: str = "Placemark") -> DataFrame:
 
 
 def write_dated(df: DataFrame, folder: str, stem: str, date: str = "date", suffix: str = "filled", fmt: str = "parquet",
-                mode: str = "errorifexists") -> str:
+                mode: str = "errorifexists", order: Sequence[str] = ()) -> str:
     """Write to ``folder/stem_<first>_<last>_suffix`` named by the data's date range; returns the path.
 
-    Parquet by default; ``fmt="csv"`` writes a header and ``NA`` for NULL. The executors write.
+    Parquet by default; ``fmt="csv"`` writes a header and ``NA`` for NULL. The executors write, sorted by ``order``
+    across the files if it is given.
     """
     span = date_range(df, date).select(compact_date(F.col("first")).alias("a"), compact_date(F.col("last")).alias("b")).first()
     if span["a"] is None:
         raise ValueError("no dates to name the output by")
     path = f"{folder.rstrip('/')}/{stem}_{span['a']}_{span['b']}_{suffix}.{fmt}"
-    writer = df.write.mode(mode)
+    writer = (df.orderBy(*order) if order else df).write.mode(mode)
     if fmt == "csv":
         writer.option("header", True).option("nullValue", "NA").csv(path)
     else:

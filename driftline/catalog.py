@@ -19,6 +19,7 @@ from .operators import anomaly, cleaning, clusters, density, gapfill, joins, ord
 from .operators import trend as tr
 from .operators import twosample
 from .plans import survey, temperature
+from .session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -278,7 +279,7 @@ def threshold_band(spark, sf):
     """Three-sigma band per group with the number of rows outside."""
     li = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
     keys = ["l_returnflag", "l_linestatus"]
-    band = agg.threshold_band(li, keys, "l_extendedprice", 2.0)
+    band = materialize(agg.threshold_band(li, keys, "l_extendedprice", 2.0))
     flagged = agg.flag_outside_band(li, band, keys, "l_extendedprice").groupBy(*keys).agg(
         F.sum(F.col("outside").cast("long")).alias("outside")
     )
@@ -471,7 +472,7 @@ def anomaly_baseline(spark, sf):
     li = table(spark, sf, "lineitem").select(
         F.year("l_shipdate").alias("year"), gap("l_discount", k, 7).alias("a"), gap("l_tax", k, 3).alias("b")
     )
-    yearly = anomaly.yearly_pooled(li, "year", ["a", "b"])
+    yearly = materialize(anomaly.yearly_pooled(li, "year", ["a", "b"]))
     return rounded(anomaly.baseline_anomaly(yearly, "year", "mean", 1996, 2000), 8, "mean", "baseline", "diff")
 
 
@@ -517,10 +518,12 @@ def period_change(spark, sf):
 def nation_features(spark, sf):
     """One row per (nation, segment): the size of the nation grid, whatever the scale."""
     c = table(spark, sf, "customer")
-    return c.groupBy("c_nationkey", "c_mktsegment").agg(
-        F.avg("c_acctbal").alias("bal"),
-        F.count(F.lit(1)).cast("double").alias("size"),
-        (F.max("c_acctbal") - F.min("c_acctbal")).alias("spread"),
+    return materialize(
+        c.groupBy("c_nationkey", "c_mktsegment").agg(
+            F.avg("c_acctbal").alias("bal"),
+            F.count(F.lit(1)).cast("double").alias("size"),
+            (F.max("c_acctbal") - F.min("c_acctbal")).alias("spread"),
+        )
     )
 
 

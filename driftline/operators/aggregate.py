@@ -46,9 +46,14 @@ def pooled_mean(cols: Sequence[str]) -> Column:
     return F.try_divide(total, count)
 
 
-def scalar(df: DataFrame, **aggs: Column) -> Column:
-    """Whole-table aggregates as one struct-valued scalar subquery."""
-    return df.agg(F.struct(*[e.alias(n) for n, e in aggs.items()]).alias("s")).scalar()
+def with_scalars(df: DataFrame, of: DataFrame | None = None, **aggs: Column) -> DataFrame:
+    """Every row with the struct column ``__s`` of aggregates over the whole table, or over the table ``of``.
+
+    One scalar subquery, held in one column, so that expressions which use several aggregates share it. The table is
+    read for the aggregates and for the rows: write it first where it is itself the result of an aggregate.
+    """
+    one = (of if of is not None else df).agg(F.struct(*[e.alias(n) for n, e in aggs.items()]).alias("s"))
+    return df.withColumn("__s", one.scalar())
 
 
 def distinct_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -114,8 +119,9 @@ def flag_outside_band(df: DataFrame, band: DataFrame, keys: Sequence[str], value
 
 def add_deviation(df: DataFrame, value: str, name: str = "prop") -> DataFrame:
     """Deviation of each aggregated row from the mean of all rows, as a share of that mean."""
-    mean = df.agg(F.avg(value)).scalar()
-    return df.withColumn(name, F.try_divide(F.col(value) - mean, mean))
+    mean = F.col("__s.mean")
+    rows = with_scalars(df, mean=F.avg(value))
+    return rows.withColumn(name, F.try_divide(F.col(value) - mean, mean)).drop("__s")
 
 
 def against_history(df: DataFrame, keys: Sequence[str], value: str, current: Column, names=("history", "current")):

@@ -161,10 +161,16 @@ def clamp_long(df: DataFrame, date: str, rules: DataFrame, variable: str = "vari
         F.sort_array(F.collect_list(F.struct("before", "lo", "hi"))).alias("__rules")
     )
     rows = attach(df, tables, [variable])
-    active = F.filter("__rules", lambda r: r["before"].isNull() | (F.col(date) < r["before"]))
-    rows = rows.withColumn("__active", active)
-    low = F.array_max(F.transform("__active", lambda r: r["lo"]))
-    high = F.array_min(F.transform("__active", lambda r: r["hi"]))
+
+    def tighten(bounds: Column, rule: Column) -> Column:
+        tighter = F.struct(
+            F.greatest(bounds["lo"], rule["lo"]).alias("lo"), F.least(bounds["hi"], rule["hi"]).alias("hi")
+        )
+        return F.when(rule["before"].isNull() | (F.col(date) < rule["before"]), tighter).otherwise(bounds)
+
+    none = F.lit(None).cast("double")
+    rows = rows.withColumn("__b", F.aggregate("__rules", F.struct(none.alias("lo"), none.alias("hi")), tighten))
+    low, high = F.col("__b.lo"), F.col("__b.hi")
     v = F.greatest(F.col(value), low)  # greatest and least skip a NULL bound
     v = F.least(v, high)
-    return rows.withColumn(value, F.when(F.col(value).isNotNull(), v)).drop("__rules", "__active")
+    return rows.withColumn(value, F.when(F.col(value).isNotNull(), v)).drop("__rules", "__b")

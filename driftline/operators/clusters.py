@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .aggregate import scalar
+from .aggregate import with_scalars
 
 FEATURES = "__features"
 
@@ -71,13 +71,14 @@ def elbow(spark: SparkSession, df: DataFrame, cols: Sequence[str], k_max: int =
 
 def reference_box(df: DataFrame, cols: Sequence[str], row_key: Sequence[str], draw: int, seed: int) -> DataFrame:
     """As many rows as ``df``, uniform in the range of each column; the draws come from the row keys."""
-    s = scalar(df, **{f"{c}_lo": F.min(c) for c in cols}, **{f"{c}_hi": F.max(c) for c in cols})
+    rows = with_scalars(df, **{f"{c}_lo": F.min(c) for c in cols}, **{f"{c}_hi": F.max(c) for c in cols})
+    s = F.col("__s")
 
     def uniform(i: int):
         text = F.concat_ws("|", *[F.col(c).cast("string") for c in row_key], F.lit(f"{seed}|{draw}|{i}"))
         return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 2.0**32
 
-    return df.select(
+    return rows.select(
         *[(s[f"{c}_lo"] + (s[f"{c}_hi"] - s[f"{c}_lo"]) * uniform(i)).alias(c) for i, c in enumerate(cols)]
     )
 
@@ -85,7 +86,7 @@ def reference_box(df: DataFrame, cols: Sequence[str], row_key: Sequence[str], dr
 def gap_statistic(spark: SparkSession, df: DataFrame, cols: Sequence[str], row_key: Sequence[str], k_max: int = 10,
                   samples: int = 10, seed: int = 123) -> DataFrame:
     """``k, log_w, expected, gap, se`` from ``samples`` uniform reference tables."""
-    rows = df.dropna(subset=list(cols))
+    rows = materialize(df.dropna(subset=list(cols)))
     seen = [math.log(w / 2) for w in within_squares(rows, cols, k_max, seed)]
     drawn = [
         [math.log(w / 2) for w in within_squares(reference_box(rows, cols, row_key, b, seed), cols, k_max, seed)]
@@ -120,7 +121,8 @@ def pair_squares(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Dat
 def centroid_distance(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """``n, distance`` per group: Euclidean distance of its mean to the mean of all rows."""
     rows = df.dropna(subset=list(cols))
-    s = scalar(rows, **{c: F.avg(c) for c in cols})
     means = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols])
+    means = with_scalars(means, rows, **{c: F.avg(c) for c in cols})
+    s = F.col("__s")
     gap = reduce(lambda a, b: a + b, [F.pow(F.col(c) - s[c], 2) for c in cols])
     return means.select(*keys, "n", F.sqrt(gap).alias("distance"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .aggregate import scalar
+from .aggregate import with_scalars
 from .joins import attach, null_safe_join
 from .ordered import distinct_ranks, ordered_blocks, running, value_counts
 
@@ -37,18 +37,18 @@ def zscores(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     stats = {}
     for c in cols:
         stats |= {f"{c}_m": F.avg(c), f"{c}_s": F.stddev_samp(c)}
-    s = scalar(df, **stats)
-    return df.withColumns({c + suffix: F.try_divide(F.col(c) - s[f"{c}_m"], s[f"{c}_s"]) for c in cols})
+    s = F.col("__s")
+    scaled = {c + suffix: F.try_divide(F.col(c) - s[f"{c}_m"], s[f"{c}_s"]) for c in cols}
+    return with_scalars(df, **stats).withColumns(scaled).drop("__s")
 
 
 def rescale(df: DataFrame, value, name: str, low: float, high: float) -> DataFrame:
     """Linear map of an expression's whole range to ``low`` … ``high``; the middle where the range is empty."""
-    s = scalar(df, lo=F.min(value), hi=F.max(value))
+    s = F.col("__s")
     span = s["hi"] - s["lo"]
-    scaled = F.lit(low) + (value - s["lo"]) / span * (high - low)
-    return df.withColumn(
-        name, F.when(value.isNotNull(), F.when(span == 0, F.lit((low + high) / 2)).otherwise(scaled))
-    )
+    scaled = F.when(span == 0, F.lit((low + high) / 2)).otherwise(F.lit(low) + (value - s["lo"]) / span * (high - low))
+    rows = with_scalars(df, lo=F.min(value), hi=F.max(value))
+    return rows.withColumn(name, F.when(value.isNotNull(), scaled)).drop("__s")
 
 
 def drop_edges(df: DataFrame, order: str, keys: Sequence[str] = (), first: bool = True, last: bool = False):
@@ -63,10 +63,9 @@ def drop_edges(df: DataFrame, order: str, keys: Sequence[str] = (), first: bool
         rows = attach(df, df.groupBy(*keys).agg(*ends), keys)
         lo, hi = F.col("__first"), F.col("__last")
     else:
-        s = scalar(df, lo=F.min(order), hi=F.max(order))
-        rows, lo, hi = df, s["lo"], s["hi"]
+        rows, lo, hi = with_scalars(df, lo=F.min(order), hi=F.max(order)), F.col("__s.lo"), F.col("__s.hi")
     if first:
         rows = rows.filter(F.col(order) > lo)
     if last:
         rows = rows.filter(F.col(order) < hi)
-    return rows.drop("__first", "__last")
+    return rows.drop("__first", "__last", "__s")

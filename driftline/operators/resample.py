@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import if_else
 from ..session import materialize, widen
+from .aggregate import with_scalars
 from .ordered import BLOCK, numbered
 
 # the solver travels with the plan, so workers need no copy of this package
@@ -172,8 +173,8 @@ def permanova(df: DataFrame, row_key: str, factors: Sequence[str], features: Seq
     use = [row_key, *factors, *features]
     rows = df.select(*use).dropna(subset=list(features) + list(factors))
     rows = rows.withColumns({c: F.col(c).cast("double") for c in features})
-    means = rows.agg(F.struct(*[F.avg(c).alias(c) for c in features]).alias("m")).scalar()
-    rows = materialize(rows.withColumns({c: F.col(c) - means[c] for c in features}))
+    centred = with_scalars(rows, **{c: F.avg(c) for c in features})
+    rows = materialize(centred.withColumns({c: F.col(c) - F.col("__s")[c] for c in features}).drop("__s"))
     square = reduce(lambda x, y: x + y, [F.col(c) * F.col(c) for c in features])
     overall = rows.agg(F.sum(square).alias("sst"), F.count(F.lit(1)).alias("rows"))
 
@@ -204,12 +205,13 @@ def permanova(df: DataFrame, row_key: str, factors: Sequence[str], features: Seq
             terms = terms.drop("ss3", "df3")
         names = [factors[0], factors[1], f"{factors[0]}:{factors[1]}"][: 3 if interaction else 2]
     k = len(names)
-    one = overall.agg(F.struct(F.max("sst").alias("sst"), F.max("rows").alias("rows")).alias("o")).scalar()
     plus = lambda cols: reduce(lambda x, y: x + y, cols)
+    terms = with_scalars(terms, overall, sst=F.max("sst"), rows=F.max("rows"))
     terms = terms.withColumns(
         {
-            "sst": one["sst"],
-            "dfr": (one["rows"] - 1).cast("int") - plus([F.col(f"df{i + 1}") for i in range(k)]),
+            "sst": F.col("__s.sst"),
+            "dft": (F.col("__s.rows") - 1).cast("int"),
+            "dfr": (F.col("__s.rows") - 1).cast("int") - plus([F.col(f"df{i + 1}") for i in range(k)]),
         }
     )
     terms = terms.withColumn("ssr", F.col("sst") - plus([F.col(f"ss{i + 1}") for i in range(k)]))
@@ -230,7 +232,7 @@ def permanova(df: DataFrame, row_key: str, factors: Sequence[str], features: Seq
                 F.struct(F.lit(k + 1).alias("ord"), F.lit("residual").alias("term"), F.col("dfr").alias("df"),
                          F.col("ssr").alias("ss"), F.lit(None).cast("double").alias("f")),
                 F.struct(F.lit(k + 2).alias("ord"), F.lit("total").alias("term"),
-                         (one["rows"] - 1).cast("int").alias("df"), F.col("sst").alias("ss"),
+                         F.col("dft").alias("df"), F.col("sst").alias("ss"),
                          F.lit(None).cast("double").alias("f")),
             )
         ),

@@ -7,16 +7,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.missing import is_in, to_number
+from ..functions.missing import is_in, percent_difference, to_number
 from ..functions.text import popup
-from ..operators.aggregate import against_history, means_and_sds
+from ..operators.aggregate import means_and_sds
 from ..operators.anomaly import ranked_years
-from ..operators.joins import attach, join_coordinates, null_safe_join
+from ..operators.joins import attach, join_coordinates
 from ..operators.ranking import rescale
 from ..operators.resample import bootstrap_interval
 from ..operators.reshape import bins, early_to_late, recode, to_long
 from ..operators.trend import fit_trend, yes_no
 from ..operators.twosample import compare_samples
+from ..session import materialize
 
 
 def prepare_survey(df: DataFrame, site_map: Mapping[str, str] | DataFrame, ecosystem_map: Mapping[str, str] | DataFrame,
@@ -49,10 +50,11 @@ def group_summary(df: DataFrame, keys: Sequence[str], cols: Sequence[str], exclu
 
 
 def year_report(df: DataFrame, keys: Sequence[str], value: str, year: str, current: int, alpha: float = 0.05):
-    """Mean of the current year, of all others, percent difference, and the tests between them."""
-    now = F.col(year) == current
-    tests = compare_samples(df, keys, value, now, alpha).select(*keys, "n_c", "n_t", "f", "p_f", "method", "t", "df", "p")
-    return null_safe_join(against_history(df, keys, value, now), tests, list(keys))
+    """Mean of the current year, of all others, percent difference, and the tests between them, from one scan."""
+    tests = compare_samples(df, keys, value, F.col(year) == current, alpha)
+    tests = tests.withColumnsRenamed({"mean_c": "history", "mean_t": "current"})
+    out = tests.withColumn("percent_diff", percent_difference(F.col("current"), F.col("history")))
+    return out.select(*keys, "history", "current", "percent_diff", "n_c", "n_t", "f", "p_f", "method", "t", "df", "p")
 
 
 def site_trends(df: DataFrame, points: DataFrame, metrics: Sequence[str], year: str = "year", alpha: float = 0.05):
@@ -60,7 +62,7 @@ def site_trends(df: DataFrame, points: DataFrame, metrics: Sequence[str], year:
     located = join_coordinates(df, points)
     long = to_long(located, ["site", "lat", "lon", year], metrics, "metric")
     fits = fit_trend(long, ["site", "lat", "lon", "metric"], year, "value")
-    fits = fits.filter(F.col("n") > 0).withColumn("sig", yes_no(F.col("p_value") < alpha))
+    fits = materialize(fits.filter(F.col("n") > 0).withColumn("sig", yes_no(F.col("p_value") < alpha)))
     fits = rescale(fits, F.abs(F.col("slope")), "radius", 4.0, 10.0)
     return fits.withColumn("popup", popup(F.col("site"), F.upper("metric"), F.col("slope"), F.col("p_value")))
 

@@ -17,6 +17,7 @@ from ..operators.joins import weather_join
 from ..operators.ranking import drop_edges
 from ..operators.reshape import ordered_labels, pick, stack, to_long, with_extra_label
 from ..operators.trend import add_fdr, add_interval, fit_trend, fitted_lines, residuals, significant
+from ..session import materialize
 
 # Targets and predictors of the standard cascade for two lakes with air and ground sensors,
 # as (target, predictors, stepwise). Every entry applies to the statistics avg, max and min alike;
@@ -173,12 +174,17 @@ def seasonal_summary(long: DataFrame, keys: Sequence[str], date: str, stat: str
 
 def significant_lines(summary: DataFrame, keys: Sequence[str], alpha: float = 0.05) -> DataFrame:
     """Fitted line of every group whose mean has a significant trend over season-years."""
+    summary = materialize(summary)
     fits = significant(fit_trend(summary.filter(F.col("mean_value").isNotNull()), keys, "season_year", "mean_value"), alpha)
     return fitted_lines(summary, fits, keys, "season_year")
 
 
 def significant_residuals(df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float = 0.05) -> DataFrame:
-    """Residual table of the groups with a significant trend; the keys stay on every row."""
+    """Residual table of the groups with a significant trend; the keys stay on every row.
+
+    ``df`` holds aggregates, such as seasonal means; it is written, since it is read for the fits and for the rows.
+    """
+    df = materialize(df)
     return residuals(df, significant(fit_trend(df, keys, x, y), alpha), keys, x, y)
 
 

@@ -451,7 +451,7 @@ def site_trends(spark, sf):
     """Trend per site and metric for the sites with coordinates, with marker size."""
     c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
     n = table(spark, sf, "nation")
-    rows = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     rows = rows.select(F.col("n_name").alias("site"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("swe"),
                        F.col("c_acctbal").alias("htc"))
     points = n.filter("n_nationkey % 3 <> 0").select(
@@ -543,7 +543,7 @@ def permanova(spark, sf):
 def permanova_two(spark, sf):
     """Two factors and their interaction."""
     rows = ranking.zscores(nation_features(spark, sf), FEATURES)
-    rows = rows.join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = rows.withColumn("id", F.concat_ws("-", "c_nationkey", "c_mktsegment"))
     out = resample.permanova(rows, "id", ["c_mktsegment", "n_regionkey"], FEATURES, 99)
     return rounded(out.drop("ord"), 6, "ss", "r2", "f", "p")

@@ -68,6 +68,9 @@ def test_dated_sink(spark, tmp_path):
     back = sources.read_csv(spark, path, "date date, v double")
     assert rows(back, "date") == rows(df, "date")
     assert rows(spark.read.parquet(sources.write_dated(df, str(tmp_path), "series")), "date") == rows(df, "date")
+    again = sources.write_dated(df.repartition(2), str(tmp_path), "series", fmt="csv", mode="overwrite", order=["date"])
+    lines = [x for f in sorted(os.listdir(again)) if f.endswith(".csv") for x in open(os.path.join(again, f)).read().split()]
+    assert [x for x in lines if x != "date,v"] == ["2004-10-15,1.0", "2024-01-05,NA"]
     with pytest.raises(ValueError):
         sources.write_dated(df.filter("false"), str(tmp_path), "series")
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.calendar import compact_date, parse_date, season, season_year
+from .functions.calendar import compact_date, micros, parse_date, season, season_year
 from .functions.missing import floor_at, if_else, percent_difference, round_even, row_mean, signif, to_number
 from .functions.text import extract, name_depth, name_site, name_stat, padded, popup, signed_depth, title
 from .operators import aggregate as agg
@@ -685,7 +685,7 @@ def interpolated_series(spark, sf):
 @query
 def interpolated_by_time(spark, sf):
     """Linear interpolation along time."""
-    ev = gappy_events(spark, sf).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    ev = gappy_events(spark, sf).withColumn("us", micros(F.col("ts")))
     out = cleaning.interpolate(ev, ["user_id"], ["ts", "event_id"], "value", axis="us")
     return out.select("event_id", "user_id", rnd("value", 5).alias("value"))
 

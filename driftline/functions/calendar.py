@@ -46,3 +46,10 @@ def season_year(date: Column, carry_months: Sequence[int] = CARRY_MONTHS) -> Col
 def compact_date(date: Column) -> Column:
     """Date as eight digits, zero padded."""
     return F.date_format(date, "yyyyMMdd")
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds of a timestamp on its own clock: a numeric time axis that no session time zone shifts."""
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60
+    parts = F.unix_date(F.to_date(ts)).cast("long") * 86_400 + seconds
+    return parts * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")

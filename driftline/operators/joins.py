@@ -67,7 +67,10 @@ def join_coordinates(rows: DataFrame, points: DataFrame, on: str = "site") -> Da
 
 
 def daily_weather(weather: DataFrame, time: str = "datetime", values: Sequence[str] = ("station_temp",)) -> DataFrame:
-    """Hourly readings to daily means, with the smallest and largest reading and the reading count."""
+    """Hourly readings to daily means, with the smallest and largest reading and the reading count.
+
+    Days are those of zone-less timestamps as they stand; instants fall into days of the session time zone.
+    """
     aggs = []
     for v in values:
         aggs += [

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from ..session import materialize, materialize_counted
+from ..session import materialize_counted
 from .joins import attach, null_safe_join
 
 BLOCK = "__block"
@@ -31,16 +31,14 @@ _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None = None) -> DataFrame:
     """Rows with a block number that never decreases in (keys, order).
 
-    The rows are written first: range partitioning reads them twice, once to sample its bounds. A table of at
-    most ``ONE_BLOCK_ROWS`` rows stays as it is and gets no block column, unless ``blocks`` asks for a number.
-    Rows equal in keys and order share a block, so give ``order`` enough columns, or aggregate equal rows first.
+    The rows are written with their numbers. A table of at most ``ONE_BLOCK_ROWS`` rows gets no block column, unless
+    ``blocks`` asks for a number. Rows equal in keys and order share a block, so give ``order`` enough columns, or
+    aggregate equal rows first.
     """
-    written, count = materialize_counted(df)
-    if blocks is None and count <= ONE_BLOCK_ROWS:
-        return written
     by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
-    ranged = written.repartitionByRange(blocks, *by) if blocks else written.repartitionByRange(*by)
-    return materialize(ranged.withColumn(BLOCK, F.spark_partition_id()))
+    ranged = df.repartitionByRange(blocks, *by) if blocks else df.repartitionByRange(*by)
+    written, count = materialize_counted(ranged.withColumn(BLOCK, F.spark_partition_id()))
+    return written.drop(BLOCK) if blocks is None and count <= ONE_BLOCK_ROWS else written
 
 
 def running(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -34,29 +37,30 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder: the one the session names; a temporary one only in local mode."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for written intermediate tables: the one in ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="driftline-checkpoint-")
-    sc.setCheckpointDir(named)
-    return named
+        named = tempfile.mkdtemp(prefix="driftline-shared-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` as Parquet to the shared folder and read it back; the files go when the session's JVM ends.
 
-    Used where a result must be the same each time it is read (range boundaries,
-    fitted models) or where a long chain of steps should not be recomputed after an executor is lost.
+    Used where a result must be the same each time it is read (range boundaries, fitted models), where a long chain of
+    steps should not be recomputed after an executor is lost, and where the planner should know a table's real size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/driftline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:

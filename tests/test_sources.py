@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from driftline import sources
-from driftline.session import ensure_checkpoint_dir
+from driftline.session import shared_folder
 
 
 def put(path, text):
@@ -77,7 +77,7 @@ def test_dated_sink(spark, tmp_path):
 
 def test_checkpoint_dir_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
-    assert named is None or ensure_checkpoint_dir(spark).startswith(("file:" + named, named))
+    assert named is None or shared_folder(spark).startswith(("file:" + named, named))
 
 
 def test_no_local_lineage_cuts():

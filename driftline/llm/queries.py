@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .language import op6_language
+from .quality_model import op1_quality_model
 from .quality_rules import op8_quality_rules
+from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_quality_model": op1_quality_model,
+    "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLES: dict[str, str] = {}

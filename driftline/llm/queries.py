@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import OP9_SQL, op9_decontamination
 from .language import op6_language
 from .quality_model import op1_quality_model
 from .quality_rules import op8_quality_rules
@@ -12,5 +13,6 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
     "op8_quality_rules": op8_quality_rules,
+    "op9_decontamination": op9_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_decontamination": OP9_SQL}

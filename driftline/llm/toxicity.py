@@ -45,51 +45,41 @@ class WordModel:
         return (1 / (1 + np.exp(-np.clip(f, -60, 60)))).tolist()
 
 
-def choose_words(positive: list[set[str]], unlabelled: list[set[str]], size: int, least: int) -> list[str]:
-    """Words whose share of documents differs most between the samples, in units of its standard error."""
-    seen: dict[str, list[int]] = {}
-    for k, docs in enumerate((positive, unlabelled)):
-        for words in docs:
-            for w in words:
-                seen.setdefault(w, [0, 0])[k] += 1
-    names = [w for w, (a, b) in seen.items() if a + b >= least]
-    c = np.array([seen[w] for w in names], dtype=float).reshape(-1, 2)
-    n = np.array([max(1, len(positive)), max(1, len(unlabelled))], dtype=float)
-    both = c.sum(1) / n.sum()
-    z = np.abs(c[:, 0] / n[0] - c[:, 1] / n[1]) / np.sqrt(both * (1 - both) * (1 / n).sum() + 1e-12)
-    order = np.lexsort((names, -z)) if names else []
-    return [names[i] for i in order[:size] if z[i] >= LEAST_Z]
-
-
-def fit_nnpu(positive: list[set[str]], unlabelled: list[set[str]], prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4,
-             size: int = VOCABULARY, least: int = LEAST_ROWS) -> WordModel:
-    """Linear model under the non-negative risk ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with log loss, by full-batch Adam."""
-    words = choose_words(positive, unlabelled, size, least)
-    at = {w: i for i, w in enumerate(words)}
-    docs = [*positive, *unlabelled]
-    held = [sorted(at[w] for w in d if w in at) for d in docs]
+def choose_words(texts: DataFrame, size: int = VOCABULARY, least_rows: int = LEAST_ROWS, least_z: float = LEAST_Z) -> list[str]:
+    """Words whose share of documents differs most between ``set`` 1 and 0, in units of its standard error; Spark counts them."""
+    sizes = texts.groupBy("set").count().collect()
+    n1, n0 = (max(1, sum(r["count"] for r in sizes if r["set"] == k)) for k in (1, 0))
+    words = map_texts(texts, lambda t: {"words": [list(text_words(x)) for x in t]}, "words array<string>", keep=("set",))
+    seen = words.select("set", F.explode("words").alias("word")).groupBy("word").agg(F.sum("set").alias("c1"), F.count(F.lit(1)).alias("c"))
+    both = F.col("c") / (n1 + n0)
+    z = F.abs(F.col("c1") / n1 - (F.col("c") - F.col("c1")) / n0) / F.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
+    best = seen.filter(F.col("c") >= least_rows).withColumn("z", z).filter(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(size)
+    return [r["word"] for r in best.collect()]
+
+
+def fit_nnpu(held: list[list[int]], pos: np.ndarray, width: int, prior: float, steps: int = 400, rate: float = 0.05,
+             ridge: float = 1e-4) -> tuple[float, np.ndarray]:
+    """Bias and weights under the non-negative risk ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with log loss, by full-batch Adam.
+
+    ``held`` lists the word numbers of each document, ``pos`` marks the confirmed ones.
+    """
     index = np.array([i for d in held for i in d], dtype=np.int64)
-    row = np.repeat(np.arange(len(docs)), [len(d) for d in held])
-    pos = np.arange(len(docs)) < len(positive)
+    row = np.repeat(np.arange(len(held)), [len(d) for d in held])
     n_p, n_u = max(1, int(pos.sum())), max(1, int((~pos).sum()))
-    w, bias = np.zeros(len(words)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
+    w, bias = np.zeros(width), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
-        f = bias + np.bincount(row, w[index], len(docs))
+        f = bias + np.bincount(row, w[index], len(held))
         p = 1 / (1 + np.exp(-f))
         as_clean = np.logaddexp(0, f)  # log loss of calling a document clean
         clean_risk = as_clean[~pos].mean() - prior * as_clean[pos].mean() if pos.any() and not pos.all() else 0.0
         clean = np.where(pos, -prior * p / n_p, p / n_u)
         g = np.where(pos, prior * (p - 1) / n_p, 0.0) + clean if clean_risk >= 0 else -clean
-        grad = np.append(np.bincount(index, g[row], len(words)) + ridge * w, g.sum())
+        grad = np.append(np.bincount(index, g[row], width) + ridge * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
-    return WordModel(float(bias), dict(zip(words, w.tolist())))
-
-
-def _sorted_words(texts: list[str]) -> dict:
-    return {"words": [sorted(text_words(t)) for t in texts]}
+    return float(bias), w
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", prior: float | None = None,
@@ -102,14 +92,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", prior
     if prior is None:
         prior = known.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
     toxic = sample_by_hash(known.filter(F.col(label) == 1).select("doc_id").distinct(), positive_rows)
-    rest = sample_by_hash(docs.filter(F.col("doc_id").isNotNull()).select("doc_id"), unlabelled_rows)
-    both = toxic.withColumn("set", F.lit(1)).unionByName(rest.distinct().withColumn("set", F.lit(0)))
-    rows = map_texts(with_labels(docs, both), _sorted_words, "words array<string>", keep=("doc_id", "set")).toPandas()
-    rows = rows.sort_values(["doc_id", "set"])
-    sets = {k: [set(x) for x in rows["words"][rows["set"] == k]] for k in (0, 1)}
-    if not sets[1]:
+    rest = sample_by_hash(docs.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct(), unlabelled_rows)
+    both = toxic.withColumn("set", F.lit(1)).unionByName(rest.withColumn("set", F.lit(0)))
+    texts = with_labels(docs, both, ("doc_id", "text"))
+    words = choose_words(texts)
+    at = {w: i for i, w in enumerate(words)}
+    rows = map_texts(texts, lambda t: {"held": [sorted(at[w] for w in text_words(x) if w in at) for x in t]}, "held array<int>", keep=("doc_id", "set"))
+    rows = sorted((r["set"], r["doc_id"], list(r["held"])) for r in rows.toLocalIterator())
+    pos = np.array([r[0] == 1 for r in rows], dtype=bool)
+    if not pos.any():
         return WordModel(-60.0, {})
-    return fit_nnpu(sets[1], sets[0], float(np.clip(prior, 1e-3, 0.999)))
+    bias, w = fit_nnpu([r[2] for r in rows], pos, len(words), float(np.clip(prior, 1e-3, 0.999)))
+    return WordModel(bias, dict(zip(words, w.tolist())))
 
 
 def score_toxicity(docs: DataFrame, model: WordModel) -> DataFrame:

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .decontamination import OP9_SQL, op9_decontamination
 from .language import op6_language
+from .line_dedup import OP10_SQL, op10_line_dedup
+from .near_duplicates import op3_near_duplicates
 from .quality_model import op1_quality_model
 from .quality_rules import op8_quality_rules
 from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_quality_model": op1_quality_model,
+    "op3_near_duplicates": op3_near_duplicates,
     "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
+    "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {"op9_decontamination": OP9_SQL}
+ORACLES: dict[str, str] = {"op9_decontamination": OP9_SQL, "op10_line_dedup": OP10_SQL}

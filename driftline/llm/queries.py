@@ -6,6 +6,7 @@ from .decontamination import OP9_SQL, op9_decontamination
 from .language import op6_language
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .near_duplicates import op3_near_duplicates
+from .packing import op4_packing
 from .quality_model import op1_quality_model
 from .quality_rules import op8_quality_rules
 from .toxicity import op5_toxicity
@@ -13,6 +14,7 @@ from .toxicity import op5_toxicity
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
     "op8_quality_rules": op8_quality_rules,

@@ -7,12 +7,14 @@ from .language import op6_language
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .near_duplicates import op3_near_duplicates
 from .packing import op4_packing
+from .private_data import op2_private_data
 from .quality_model import op1_quality_model
 from .quality_rules import op8_quality_rules
 from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_quality_model": op1_quality_model,
+    "op2_private_data": op2_private_data,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,

@@ -7,6 +7,7 @@ from .language import op6_language
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .near_duplicates import op3_near_duplicates
 from .packing import op4_packing
+from .passages import op7_passages
 from .private_data import op2_private_data
 from .quality_model import op1_quality_model
 from .quality_rules import op8_quality_rules
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
+    "op7_passages": op7_passages,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import table
+from .common import table, without_ids
 
 # The positions each mask looks at. Of any eight words in a row, two that differ leave at least one mask or the next place unharmed.
 MASKS = [(0, 1, 2, 4, 7), (0, 1, 3, 5, 6), (0, 2, 3, 4, 6)]
@@ -74,8 +74,7 @@ def overlaps(docs: DataFrame, items: DataFrame, least_score: int = LEAST_SCORE,
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that share no passage with a test item; a row without id is kept."""
-    found = materialize(overlaps(docs, items, **options).select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(found, docs["doc_id"] == found["__bad"], "left_anti")
+    return without_ids(docs, overlaps(docs, items, **options).select("doc_id"))
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

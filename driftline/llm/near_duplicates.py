@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import components, table
+from .common import components, table, without_ids
 from .texts import map_texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -172,6 +172,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id."""
+    return without_ids(docs, near_duplicates(docs, percent).filter("NOT kept").select("doc_id"))
+
+
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Components of near duplicates, one row per document."""
     return near_duplicates(table(spark, sf_dir, "documents"))

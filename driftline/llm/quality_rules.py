@@ -47,15 +47,18 @@ def line_fails(line: Column, words: Column) -> Column:
     )
 
 
-def quality_rules(docs: DataFrame, lost_share: float = LOST_SHARE) -> DataFrame:
+def quality_rules(docs: DataFrame, lost_share: float = LOST_SHARE, with_row: bool = False) -> DataFrame:
     """Counts, the verdict and the text without failed lines, one row per row of ``docs`` (``doc_id``, ``text``; others are left aside).
 
+    ``with_row`` adds the whole input row as a struct, ``row``.
+
     NULL and empty texts have no words and fail the base rule (fewer than 50 words). Equal rows get equal results. ``n_repeat_words`` counts
     the words inside three-word windows whose words occur as a window again: windows are hashed, the hash and the window's position share one
     number, and sorting those puts equal windows side by side, so a text of n words costs n log n whatever repeats in it.
     """
     text = F.coalesce("text", F.lit(""))
-    step = docs.select("doc_id", text.alias("text"), F.split(text, "\n").alias("lines"), words_of(F.col("text")).alias("w"))
+    row = [F.struct(*docs.columns).alias("row")] if with_row else []
+    step = docs.select("doc_id", *row, text.alias("text"), F.split(text, "\n").alias("lines"), words_of(F.col("text")).alias("w"))
     step = step.withColumns({
         "n": F.size("w"),
         "lined": F.filter("lines", lambda x: x.rlike(WORD)),
@@ -95,7 +98,18 @@ def quality_rules(docs: DataFrame, lost_share: float = LOST_SHARE) -> DataFrame:
         (~base_failed & (word_chars - left <= F.lit(lost_share) * word_chars)).alias("kept"),
     )
     # inline() keeps a later filter on a verdict from being pushed into the steps above, where it would copy whole arrays into lambdas
-    return step.select("doc_id", F.inline(F.array(found)))
+    return step.select("doc_id", *(["row"] if with_row else []), F.inline(F.array(found)))
+
+
+def keep_clean(docs: DataFrame, lost_share: float = LOST_SHARE) -> DataFrame:
+    """The rows of ``docs`` that pass, all columns, with the failed lines gone from ``text`` and ``n_chars``, where there is one, counted anew."""
+    passed = quality_rules(docs, lost_share, with_row=True).filter("kept")
+    return passed.select(*[_cleaned(c, docs.schema[c].dataType) for c in docs.columns])
+
+
+def _cleaned(column: str, kind) -> Column:
+    clean = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast(kind)}
+    return clean.get(column, F.col("row").getField(column)).alias(column)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from .common import SPACE, table
 SIMILARITY = 0.85
 LEAST_TOKENS = 5  # a line with fewer distinct words is never removed: headings and short sentences carry no evidence of copying
 BUCKETS = 1 << 20
-BROADCAST_IDS = 1_000_000  # longs; more ids than that are joined by a shuffle
+BROADCAST_LINES = 1_000_000  # line numbers of documents to look at again; more than that are joined by a shuffle
 
 
 def line_words(line: Column) -> Column:
@@ -26,7 +26,7 @@ def line_words(line: Column) -> Column:
 
 def rarity_table(docs: DataFrame) -> DataFrame:
     """One row, one array: for each bucket of token hashes the logarithm of its count, in quarter steps, as a byte."""
-    tokens = docs.select(F.explode(line_words(F.coalesce("text", F.lit("")))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("bucket"))
+    tokens = docs.select(F.explode(line_words(F.coalesce("text", F.lit("")))).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
     counts = tokens.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"))
     full = counts.unionByName(every).groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -41,10 +41,10 @@ def line_sets(docs: DataFrame, rarity: DataFrame, similarity: float, least_token
     level = F.col("__level")
     lines = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.withColumn("__level", rarity.scalar())
-    coded = lambda w: F.shiftleft(F.get(level, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")).cast("long"), 48).bitwiseOR(
-        F.xxhash64(w).bitwiseAND(F.lit((1 << 48) - 1))
-    )
-    step = lines.select("doc_id", "line_no", F.sort_array(F.transform(F.array_distinct(line_words(F.col("line"))), coded)).alias("t"))
+    # the level above, 48 of the hash's bits below; the hash is taken once
+    hashes = F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)))
+    coded = lambda h: F.shiftleft(F.get(level, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
+    step = lines.select("doc_id", "line_no", F.sort_array(F.transform(hashes, coded)).alias("t"))
     n = F.size("t")
     found = F.struct(
         n.alias("n"),
@@ -75,16 +75,24 @@ def _possible(similarity: float) -> Column:
     )
 
 
+def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, line_no, w``: the distinct words of the lines whose numbers ``wanted`` lists by document."""
+    met = docs.select("doc_id", "text").join(wanted, "doc_id").withColumn("lines", F.split("text", "\n"))
+    there = F.filter("nos", lambda i: i < F.size("lines"))
+    cut = F.transform(there, lambda i: F.struct(i.alias("line_no"), F.get("lines", i).alias("line")))
+    # "lines" stands in two lambdas, which keeps it a column of its own instead of a text split anew for each number
+    return met.select("doc_id", F.inline(cut)).select("doc_id", "line_no", F.array_distinct(line_words(F.col("line"))).alias("w"))
+
+
 def _similar(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """``doc_id, line_no`` of the later lines of those pairs whose words are similar enough."""
     pairs = materialize(pairs.select("e_doc_id", "e_line_no", "l_doc_id", "l_line_no").distinct())
     ends = [pairs.select(F.col(f"{t}_doc_id").alias("doc_id"), F.col(f"{t}_line_no").alias("line_no")) for t in "el"]
-    wanted = materialize(ends[0].unionByName(ends[1]).distinct())
-    ids = materialize(wanted.select("doc_id").distinct())
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    held = materialize(lines.join(wanted, ["doc_id", "line_no"]).select("doc_id", "line_no", F.array_distinct(line_words(F.col("line"))).alias("w")))
+    ends = ends[0].unionByName(ends[1]).distinct()
+    wanted = materialize(ends.groupBy("doc_id").agg(F.collect_list("line_no").alias("nos")))
+    few = wanted.agg(F.sum(F.size("nos"))).first()[0] or 0
+    few = few <= BROADCAST_LINES
+    held = materialize(_wanted_lines(docs, F.broadcast(wanted) if few else wanted))
     side = lambda t: held.withColumnsRenamed({"doc_id": f"{t}_doc_id", "line_no": f"{t}_line_no", "w": f"{t}_w"})
     met = pairs.join(side("e"), ["e_doc_id", "e_line_no"]).join(side("l"), ["l_doc_id", "l_line_no"])
     shared = F.size(F.array_intersect("e_w", "l_w"))
@@ -100,10 +108,11 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, least_tokens
     """
     docs = docs.select("doc_id", "text")
     lines = materialize(line_sets(docs, materialize(rarity_table(docs)), similarity, least_tokens))
-    firsts = materialize(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f")).select("k1", "k2", F.col("f.doc_id").alias("fd"), F.col("f.line_no").alias("fl")))
+    first = F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("f")
+    reps = materialize(lines.groupBy("k1", "k2").agg(first).select("k1", "k2", "f.*"))
+    firsts = reps.select("k1", "k2", F.col("doc_id").alias("fd"), F.col("line_no").alias("fl"))
     is_first = (F.col("doc_id") == F.col("fd")) & (F.col("line_no") == F.col("fl"))
     copies = lines.select("doc_id", "line_no", "k1", "k2").join(firsts, ["k1", "k2"]).filter(~is_first).select("doc_id", "line_no")
-    reps = materialize(lines.join(firsts.select(F.col("fd").alias("doc_id"), F.col("fl").alias("line_no")), ["doc_id", "line_no"]))
     later = _posts(reps, "l")
     member = F.struct(*[f"l_{c}" for c in ("doc_id", "line_no", "n", "parity", "pos")])
     hubs = later.groupBy("token").agg(F.min(member).alias("h"), F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -123,9 +132,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_tokens: i
     gone = repeated_lines(docs, similarity, least_tokens).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list("line_no")).alias("__gone"))
     docs = docs.drop("removed")
     both = docs.join(gone, docs["doc_id"] == gone["__id"], "left")
-    split = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "__gone")
-    both = both.withColumn("__lines", split)
+    both = both.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))
     return both.select(
         *[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.coalesce("__gone", F.expr("cast(array() AS array<int>)")).alias("removed")
@@ -135,7 +143,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_tokens: i
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Per document its lines, the numbers of the removed ones and the code points that stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = dedup_lines(docs.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")))
+    done = dedup_lines(docs.withColumn("n_lines", (F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long")))
     return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"),
                        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.calendar import compact_date, micros, parse_date, season, season_year
 from .functions.missing import floor_at, if_else, percent_difference, round_even, row_mean, signif, to_number
-from .functions.text import extract, name_depth, name_site, name_stat, padded, popup, signed_depth, title
+from .functions.text import extract, name_depth, name_site, labelled_text, name_stat, padded, signed_depth, title
 from .operators import aggregate as agg
 from .operators import anomaly, cleaning, clusters, density, gapfill, joins, ordered, ranking, resample, reshape
 from .operators import trend as tr
@@ -136,10 +136,10 @@ def long_to_wide(spark, sf):
     """Yearly means, wide to long and back by another key."""
     o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
     m = agg.means(o, ["year", "o_orderpriority"], ["o_totalprice"])
-    labels = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+    labels = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     wide = reshape.to_wide(m, ["year"], "o_orderpriority", ["o_totalprice"], labels)
-    wide = reshape.rename(wide, urgent=labels[0], high=labels[1], medium=labels[2])
-    long = reshape.to_long(wide, ["year"], ["urgent", "high", "medium"])
+    wide = reshape.rename(wide, urgent=labels[0], high=labels[1], medium=labels[2], unspecified=labels[3], low=labels[4])
+    long = reshape.to_long(wide, ["year"], ["urgent", "high", "medium", "unspecified", "low"])
     return rounded(long, 6, "value")
 
 
@@ -167,11 +167,10 @@ def stacked_tables(spark, sf):
 
 @query
 def distinct_levels(spark, sf):
-    """Sorted distinct values of three columns in one table."""
-    o = table(spark, sf, "orders")
-    return agg.levels(o, "o_orderstatus").select(F.lit("status").alias("col"), F.col("o_orderstatus").alias("level")).unionByName(
-        agg.levels(o, "o_orderpriority").select(F.lit("priority").alias("col"), F.col("o_orderpriority").alias("level"))
-    )
+    """Distinct values of three columns in one table, from one scan."""
+    named = {"status": F.col("o_orderstatus"), "priority": F.col("o_orderpriority"), "year": F.year("o_orderdate").cast("string")}
+    cells = F.array(*[F.struct(F.lit(n).alias("col"), c.alias("level")) for n, c in named.items()])
+    return agg.distinct_rows(table(spark, sf, "orders").select(F.inline(cells)).filter(F.col("level").isNotNull()), ["col", "level"])
 
 
 @query
@@ -296,7 +295,7 @@ def daily_rollup_join(spark, sf):
     ev = table(spark, sf, "events").select(F.col("ts").alias("datetime"), F.col("value").alias("station_temp"))
     days = table(spark, sf, "events").select(F.to_date("ts").alias("date")).distinct().filter(F.dayofmonth("date") % 2 == 0)
     more = days.select(F.date_add("date", 40).alias("date"))
-    out = joins.weather_join(ev, days.unionByName(more), "datetime", "station_temp")
+    out = joins.weather_join(ev, days.unionByName(more), "datetime", "station_temp", predictor="mean_150")
     return out.select(F.col("date").cast("string").alias("date"), rnd("station_temp").alias("station_temp"), rnd("mean_150").alias("mean_150"))
 
 
@@ -372,7 +371,8 @@ def rescale_popup(spark, sf):
     """Marker radius and popup text."""
     s = table(spark, sf, "supplier").withColumn("size", F.abs("s_acctbal"))
     s = ranking.rescale(s, F.col("size"), "radius", 4.0, 10.0)
-    text = popup(F.col("s_name"), F.lit("HTC"), F.col("s_acctbal") / 7 + 0.01, (F.col("s_suppkey") % 97 + 1) / F.lit(101.0))
+    text = labelled_text({"Site": F.col("s_name"), "Metric": F.lit("HTC"), "Slope": F.bround(F.col("s_acctbal") / 7 + 0.01, 3),
+                          "p": signif((F.col("s_suppkey") % 97 + 1) / F.lit(101.0), 3)})
     return s.select("s_suppkey", rnd("radius", 6).alias("radius"), text.alias("popup"))
 
 
@@ -500,7 +500,7 @@ def both_mean_tests(spark, sf):
 def bootstrap_ci(spark, sf):
     """Bootstrap interval of the difference between two periods."""
     o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
-    out = resample.bootstrap_interval(o, ["o_orderpriority"], ["o_totalprice"], F.col("year") >= 1998, ["o_orderkey"], 200, spread=True)
+    out = resample.bootstrap_interval(o, ["o_orderpriority"], ["o_totalprice"], F.col("year") >= 1998, ["o_orderkey"])
     return rounded(out, 3, "lower", "upper")
 
 
@@ -511,7 +511,7 @@ def period_change(spark, sf):
     s = s.select(F.col("l_returnflag").alias("ecosystem"), reshape.bins(F.year("l_shipdate"), PERIODS).alias("period"),
                  F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("id"),
                  F.col("l_extendedprice").alias("swe"), F.col("l_quantity").alias("htc"))
-    out = survey.period_change(s, "ecosystem", PERIODS[0][2], PERIODS[1][2], ["swe", "htc"], ["swe", "htc"], ["id"], 40, spread=True)
+    out = survey.period_change(s, "ecosystem", PERIODS[0][2], PERIODS[1][2], ["swe", "htc"], ["swe", "htc"], ["id"])
     return rounded(out, 3, *[c for c in out.columns if c.endswith(("early", "late", "lower", "upper"))])
 
 
@@ -535,7 +535,7 @@ def permanova(spark, sf):
     """Permutational analysis of variance by one factor."""
     rows = ranking.zscores(nation_features(spark, sf), FEATURES)
     rows = rows.withColumn("id", F.concat_ws("-", "c_nationkey", "c_mktsegment"))
-    out = resample.permanova(rows, "id", ["c_mktsegment"], FEATURES, 199)
+    out = resample.permanova(rows, "id", ["c_mktsegment"], FEATURES)
     return rounded(out.drop("ord"), 6, "ss", "r2", "f", "p")
 
 
@@ -562,7 +562,7 @@ def kde_grid(spark, sf):
 @query
 def kde_peak(spark, sf):
     """Largest density per group."""
-    curves = density.kernel_density(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", 128)
+    curves = density.kernel_density(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity")
     return rounded(density.peak_density(curves, ["l_returnflag"]), 8, "max_density")
 
 
@@ -732,14 +732,14 @@ def split_clusters(spark, sf):
 
 @query
 def elbow(spark, sf):
-    """Within-cluster sum of squares for 1 to 6 clusters."""
-    out = clusters.elbow(spark, ranking.zscores(nation_features(spark, sf), FEATURES), FEATURES, 6)
+    """Within-cluster sum of squares for 1 to 10 clusters."""
+    out = clusters.elbow(spark, ranking.zscores(nation_features(spark, sf), FEATURES), FEATURES)
     return rounded(out, 4, "wss")
 
 
 @query
 def gap_statistic(spark, sf):
-    """Gap statistic for 1 to 4 clusters."""
+    """Gap statistic for 1 to 10 clusters."""
     rows = ranking.zscores(nation_features(spark, sf), FEATURES)
-    out = clusters.gap_statistic(spark, rows, FEATURES, ["c_nationkey", "c_mktsegment"], 4, 3)
+    out = clusters.gap_statistic(spark, rows, FEATURES, ["c_nationkey", "c_mktsegment"])
     return rounded(out, 4, "log_w", "expected", "gap", "se")

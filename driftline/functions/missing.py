@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def nan_to_null(c: Column) -> Column:
-    """NaN and infinities of a double column become NULL."""
-    infinite = F.abs(c) == F.lit(float("inf"))
-    return F.when(F.isnan(c) | infinite, F.lit(None)).otherwise(c)
+def nan_to_null(c: Column, infinite: bool = False) -> Column:
+    """NaN of a double column becomes NULL, with ``infinite`` infinities do too."""
+    odd = F.isnan(c) | (F.abs(c) == F.lit(float("inf"))) if infinite else F.isnan(c)
+    return F.when(odd, F.lit(None)).otherwise(c)
 
 
 def clean_missing(df: DataFrame) -> DataFrame:
@@ -49,9 +49,9 @@ def cap_at(c: Column, high) -> Column:
     return F.when(c.isNotNull(), F.least(c, F.lit(high) if not isinstance(high, Column) else high))
 
 
-def to_number(c: Column) -> Column:
-    """Text to double: anything that is not a finite number becomes NULL."""
-    return nan_to_null(F.trim(c).try_cast("double"))
+def to_number(c: Column, infinite: bool = False) -> Column:
+    """Text to double: anything that is not a number becomes NULL, with ``infinite`` so do infinities."""
+    return nan_to_null(F.trim(c).try_cast("double"), infinite)
 
 
 def row_mean(cols: Iterable[Column]) -> Column:

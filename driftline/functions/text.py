@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .missing import signif
-
 # The number between underscores, with "p" for the decimal point, and the last part.
-DEPTH_PATTERN = r"_([0-9]+p?5?)_"
+DEPTH_PATTERN = r"_([0-9]+(?:p[0-9]+)?)_"
 LAST_PART_PATTERN = r"([^_]+)$"
 
 
@@ -54,11 +52,10 @@ def padded(c: Column, width: int = 2) -> Column:
     return F.lpad(c.cast("int").cast("string"), width, "0")
 
 
-def popup(site: Column, metric: Column, slope: Column, p: Column) -> Column:
-    """Marker text of one point: site, metric, slope to 3 decimals, p to 3 significant digits."""
-    return F.concat(
-        F.lit("<b>Site:</b> "), site, F.lit("<br>"),
-        F.lit("<b>Metric:</b> "), metric, F.lit("<br>"),
-        F.lit("<b>Slope:</b> "), F.bround(slope, 3).cast("string"), F.lit("<br>"),
-        F.lit("<b>p:</b> "), signif(p, 3).cast("string"),
-    )
+def labelled_text(fields: Mapping[str, Column], separator: str = "<br>", bold: tuple[str, str] = ("<b>", "</b>")) -> Column:
+    """``label: value`` of every field in one text, labels between the ``bold`` marks; NULL if any value is."""
+    out = []
+    for label, value in fields.items():
+        out += [F.lit(separator)] if out else []
+        out += [F.lit(f"{bold[0]}{label}:{bold[1]} "), value.cast("string")]
+    return F.concat(*out)

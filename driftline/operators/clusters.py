@@ -57,7 +57,10 @@ def total_squares(rows: DataFrame, cols: Sequence[str]):
 def within_squares(df: DataFrame, cols: Sequence[str], k_max: int = 10, seed: int = 123) -> list[float]:
     """Within-cluster sum of squares for 1 … k_max clusters. Model fits run one after the other on the driver's call."""
     rows = materialize(with_features(df, cols))
-    out = [float(total_squares(rows, cols).first()[0])]
+    total = total_squares(rows, cols).first()[0]
+    if total is None:
+        return []
+    out = [float(total)]
     for k in range(2, k_max + 1):
         out.append(float(_kmeans(k, seed).fit(rows).summary.trainingCost))
     return out
@@ -85,16 +88,21 @@ def reference_box(df: DataFrame, cols: Sequence[str], row_key: Sequence[str], dr
 
 def gap_statistic(spark: SparkSession, df: DataFrame, cols: Sequence[str], row_key: Sequence[str], k_max: int = 10,
                   samples: int = 10, seed: int = 123) -> DataFrame:
-    """``k, log_w, expected, gap, se`` from ``samples`` uniform reference tables."""
+    """``k, log_w, expected, gap, se`` from ``samples`` uniform reference tables.
+
+    Where the squares are zero, as for constant columns or as many clusters as distinct rows, there is no logarithm and what needs it is
+    NULL. An empty table gives no rows.
+    """
     rows = materialize(df.dropna(subset=list(cols)))
-    seen = [math.log(w / 2) for w in within_squares(rows, cols, k_max, seed)]
-    drawn = [
-        [math.log(w / 2) for w in within_squares(reference_box(rows, cols, row_key, b, seed), cols, k_max, seed)]
-        for b in range(samples)
-    ]
+    log = lambda w: math.log(w / 2) if w > 1e-12 else None
+    seen = [log(w) for w in within_squares(rows, cols, k_max, seed)]
+    drawn = [[log(w) for w in within_squares(reference_box(rows, cols, row_key, b, seed), cols, k_max, seed)] for b in range(samples)] if seen else []
     out = []
-    for i in range(k_max):
+    for i in range(len(seen)):
         ref = [d[i] for d in drawn]
+        if None in ref or seen[i] is None:
+            out.append((i + 1, seen[i], None, None, None))
+            continue
         mean = sum(ref) / samples
         var = sum((r - mean) ** 2 for r in ref) / max(samples - 1, 1)
         out.append((i + 1, seen[i], mean, mean - seen[i], math.sqrt((1 + 1 / samples) * var)))

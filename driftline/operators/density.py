@@ -17,9 +17,10 @@ from .ordered import quantiles_of_ranks, ranks_of_counts, value_counts
 def bandwidths(counts: DataFrame, keys: Sequence[str], value: str, blocks: int | None = None) -> DataFrame:
     """``n, lo, hi, bw`` per group of counted values; bw is 0.9 times the smaller of sd and IQR / 1.34, times n to the -1/5."""
     cnt, v = F.col("cnt"), F.col(value)
-    centre = counts.agg(F.sum(cnt * v) / F.sum(cnt)).scalar()
-    d = v - centre
-    stats = counts.groupBy(*keys).agg(
+    # deviations from the group's own mean: sums around one centre for all would cancel in a group far from it
+    centres = counts.groupBy(*keys).agg((F.sum(cnt * v) / F.sum(cnt)).alias("__mean"))
+    d = v - F.col("__mean")
+    stats = attach(counts, centres, list(keys)).groupBy(*keys).agg(
         F.sum(cnt).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
         F.sum(cnt * d).alias("__s1"), F.sum(cnt * d * d).alias("__s2"),
     )

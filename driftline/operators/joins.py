@@ -8,9 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize_counted
-
-BROADCAST_ROWS = 100_000
+from ..session import materialize
 
 
 def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -37,16 +35,13 @@ def attach(
     table: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join an aggregate or a model table to the rows it was made from.
 
-    The table is written once, and its rows are counted as they are written. Up to ``max_rows`` it is broadcast, so the
-    data rows do not move. A longer one is joined by an ordinary shuffle join, in which adaptive
-    execution splits the partition of a hot key.
+    The table is written once, so it is not computed again and the planner sees its real size: below the session's broadcast
+    threshold it goes to the data rows, above it both sides are shuffled, where adaptive execution splits the partition of a hot key.
     """
-    written, count = materialize_counted(table)
-    return null_safe_join(rows, written, list(on), how, small=count <= max_rows)
+    return null_safe_join(rows, materialize(table), list(on), how)
 
 
 def suffixed_left_join(
@@ -83,7 +78,8 @@ def daily_weather(weather: DataFrame, time: str = "datetime", values: Sequence[s
 
 
 def weather_join(weather: DataFrame, rows: DataFrame, time: str = "datetime", value: str = "station_temp",
-                 date: str = "date", predictor: str = "mean_150") -> DataFrame:
-    """Left join of the daily station mean to dated rows, also under the predictor's name."""
+                 date: str = "date", predictor: str | None = None) -> DataFrame:
+    """Left join of the daily station mean to dated rows, also under the name ``predictor`` if one is given."""
     daily = daily_weather(weather, time, [value]).select(F.col("date").alias(date), F.col(value))
-    return attach(rows, daily, [date]).withColumn(predictor, F.col(value))
+    out = attach(rows, daily, [date])
+    return out.withColumn(predictor, F.col(value)) if predictor else out

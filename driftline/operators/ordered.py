@@ -18,11 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from ..session import materialize_counted
+from ..session import materialize
 from .joins import attach, null_safe_join
 
 BLOCK = "__block"
-ONE_BLOCK_ROWS = 100_000
 # A running aggregate is one of these; each can be continued from the same aggregate of the earlier blocks.
 _COMBINE = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -31,14 +30,12 @@ _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None = None) -> DataFrame:
     """Rows with a block number that never decreases in (keys, order).
 
-    The rows are written with their numbers. A table of at most ``ONE_BLOCK_ROWS`` rows gets no block column, unless
-    ``blocks`` asks for a number. Rows equal in keys and order share a block, so give ``order`` enough columns, or
-    aggregate equal rows first.
+    The rows are written with their numbers. ``blocks`` asks for a number of blocks; without it, adaptive execution decides. Rows
+    equal in keys and order share a block, so give ``order`` enough columns, or aggregate equal rows first.
     """
     by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
     ranged = df.repartitionByRange(blocks, *by) if blocks else df.repartitionByRange(*by)
-    written, count = materialize_counted(ranged.withColumn(BLOCK, F.spark_partition_id()))
-    return written.drop(BLOCK) if blocks is None and count <= ONE_BLOCK_ROWS else written
+    return materialize(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 
 def running(
@@ -53,14 +50,9 @@ def running(
     covers the start of the group to the row, ``down`` the row to the end, ``all`` the group. NULLs are skipped.
     """
     keys = list(keys)
-    cut = [BLOCK] if BLOCK in df.columns else []
     rows = df.withColumns({f"__in_{n}": e for n, (_, e, _) in spec.items()})
-    frames = group_frames([*keys, *cut], order, 0)
+    frames = group_frames([*keys, BLOCK], order, 0)
     local = rows.withColumns({f"__loc_{n}": _AGG[kind](f"__in_{n}").over(frames[way]) for n, (kind, _, way) in spec.items()})
-    if not cut:
-        return local.withColumns({n: F.col(f"__loc_{n}") for n in spec}).drop(
-            *[f"__{part}_{n}" for part in ("in", "loc") for n in spec]
-        )
     carry = carried(rows, keys, {n: (kind, F.col(f"__in_{n}"), way) for n, (kind, _, way) in spec.items()})
     joined = null_safe_join(local, carry, [*keys, BLOCK], "left", small=True)
     out = {}
@@ -119,7 +111,7 @@ def ranks_of_counts(counts: DataFrame, keys: Sequence[str], value: str, blocks:
         [value],
         {"__up": ("sum", cnt, "up"), "total": ("sum", cnt, "all")},
     )
-    return ranked.withColumn("below", F.col("__up") - cnt).drop("__up")
+    return ranked.withColumn("below", F.col("__up") - cnt).drop("__up", BLOCK)
 
 
 def quantiles_of_ranks(ranked: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -156,9 +148,6 @@ def quantiles(
 def quantiles_of_counts(cut: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """:func:`quantiles` of counted values that are already in blocks."""
     cnt = F.col("cnt")
-    if BLOCK not in cut.columns:
-        rows = running(cut, keys, [value], {"__up": ("sum", cnt, "up"), "total": ("sum", cnt, "all")})
-        return quantiles_of_ranks(rows.withColumn("below", F.col("__up") - cnt), keys, value, probs)
     frames = group_frames(keys, [BLOCK], -1)
     spans = cut.groupBy(*keys, BLOCK).agg(F.sum("cnt").alias("__held")).withColumns(
         {"__before": F.coalesce(F.sum("__held").over(frames["up"]), F.lit(0)), "total": F.sum("__held").over(frames["all"])}
@@ -177,7 +166,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     """Row number from 0 in each group, without a window over a whole group."""
     return running(
         ordered_blocks(df, keys, order, blocks), keys, order, {name: ("sum", F.lit(1).cast("long"), "up")}
-    ).withColumn(name, F.col(name) - 1)
+    ).withColumn(name, F.col(name) - 1).drop(BLOCK)
 
 
 def centred_window(
@@ -195,8 +184,7 @@ def centred_window(
     stages, so every frame of its own rows is complete, no task sees more than a tile, and all stages share one shuffle.
     """
     halo = half_width * len(stages)
-    if halo >= tile:
-        raise ValueError("the rows around a tile must be fewer than the tile")
+    tile = max(tile, 2 * halo)
     own = lambda p: F.floor(p / F.lit(float(tile))).cast("long")
     p = F.col(pos)
     near = F.array_distinct(F.array(own(p), own(p - halo), own(p + halo)))

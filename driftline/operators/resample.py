@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import if_else
-from ..session import materialize, widen
+from ..session import materialize
 from .aggregate import with_scalars
-from .ordered import BLOCK, numbered
+from .ordered import numbered
 
 # the solver travels with the plan, so workers need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -50,23 +50,28 @@ def poisson_weight(digits: Column) -> Column:
     return out.otherwise(float(len(limits)))
 
 
+def key_text(row_key: Sequence[str]) -> Column:
+    """One text per row key: parts are escaped and NULL parts marked, so different keys give different texts."""
+    part = lambda c: F.coalesce(F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\N"))
+    return F.concat_ws("|", *[part(c) for c in row_key])
+
+
 def bootstrap_replicates(df: DataFrame, keys: Sequence[str], values: Sequence[str], late: Column,
-                         row_key: Sequence[str], replicates: int = 1000, spread: bool = False) -> DataFrame:
+                         row_key: Sequence[str], replicates: int = 1000, partitions: int | None = None) -> DataFrame:
     """Replicated mean differences, late minus early: ``keys, metric, rep, diff``.
 
     Resampling n rows with replacement is approximated by giving each row an independent Poisson(1) count,
     which agrees for growing n. A replicate in which a side has no rows is NULL. The rows are never copied
     to one place: each task adds up weighted sums per (group, side, replicate) before the shuffle.
-    ``spread`` deals a scan of few splits out to all cores first, see :func:`~driftline.session.widen`.
+    Rows with the same ``row_key`` would share their counts, so it has to be unique; NULL parts of a key count as a value of their own.
+    ``partitions`` deals the rows of a scan with few splits out first.
     """
-    if replicates % LANES:
-        raise ValueError(f"replicates must be a multiple of {LANES}")
     rows = df.select(
-        *keys, *values, late.alias("__late"), F.concat_ws("|", *[F.col(c).cast("string") for c in row_key]).alias("__key")
+        *keys, *values, late.alias("__late"), key_text(row_key).alias("__key")
     ).filter(F.col("__late").isNotNull())
-    if spread:
-        rows = widen(rows, ["__key"])
-    rows = rows.withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(replicates // LANES - 1)))).withColumn(
+    if partitions:
+        rows = rows.repartition(partitions, "__key")
+    rows = rows.withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // LANES) - 1)))).withColumn(
         "__digest", F.md5(F.concat("__key", F.lit("|"), F.col("__draw").cast("string")))
     )
     weights = {f"__w{i}": poisson_weight(F.substring("__digest", 8 * i + 1, 8)) for i in range(LANES)}
@@ -91,16 +96,16 @@ def bootstrap_replicates(df: DataFrame, keys: Sequence[str], values: Sequence[st
             for i in range(LANES)
         ]
     )
-    reps = sums.select(*keys, "__late", F.inline(cells))
+    reps = sums.select(*keys, "__late", F.inline(cells)).filter(F.col("rep") < replicates)
     return reps.groupBy(*keys, "metric", "rep").agg(
         (F.max(F.when(F.col("__late"), F.col("__mean"))) - F.max(F.when(~F.col("__late"), F.col("__mean")))).alias("diff")
     )
 
 
 def bootstrap_interval(df: DataFrame, keys: Sequence[str], values: Sequence[str], late: Column,
-                       row_key: Sequence[str], replicates: int = 1000, conf: float = 0.95, spread: bool = False) -> DataFrame:
+                       row_key: Sequence[str], replicates: int = 1000, conf: float = 0.95, partitions: int | None = None) -> DataFrame:
     """Percentile interval of the mean difference: ``keys, metric, lower, upper, significant, linetype``."""
-    reps = bootstrap_replicates(df, keys, values, late, row_key, replicates, spread)
+    reps = bootstrap_replicates(df, keys, values, late, row_key, replicates, partitions)
     tail = (1 - conf) / 2
     # each group holds exactly `replicates` rows, so the exact percentile is bounded
     out = reps.groupBy(*keys, "metric").agg(
@@ -120,7 +125,7 @@ def permuted_factors(df: DataFrame, row_key: str, factors: Sequence[str], featur
     The order of the digests of (permutation, row key) is a random permutation; rows are numbered along it in
     blocks, and number i receives the factors of row i.
     """
-    base = numbered(df.select(row_key, *factors, *features), [], [row_key], "__pos", blocks).drop(BLOCK)
+    base = numbered(df.select(row_key, *factors, *features), [], [row_key], "__pos", blocks)
     labels = base.select(F.col("__pos").alias("__at"), *factors)
     draws = base.select(
         row_key, *features, F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")

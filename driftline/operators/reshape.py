@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import split_name
 from .joins import attach, null_safe_join
 
-MAPPING_LITERALS = 1_000
+# A longer mapping becomes a table; a map literal is searched from the front for every row.
+MAP_LITERALS = 64
 
 
 # --- choice of columns -------------------------------------------------------------------------
@@ -57,8 +58,8 @@ def to_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str =
 
 
 def to_wide(df: DataFrame, keys: Sequence[str], name: str, values: Sequence[str], labels: Sequence[str],
-            duplicates: str = "error") -> DataFrame:
-    """Long to wide for a known list of labels.
+            duplicates: str = "error", unlisted: str = "error") -> DataFrame:
+    """Long to wide for a known list of labels; a row with another label is an error, or is passed over with ``unlisted="ignore"``.
 
     With one value column the new columns carry the label, with several ``value_label``. A cell with
     more than one row is an error, or is averaged with ``duplicates="mean"``.
@@ -74,7 +75,12 @@ def to_wide(df: DataFrame, keys: Sequence[str], name: str, values: Sequence[str]
                 rows = F.count(F.when(F.col(name) == F.lit(label), F.lit(1)))
                 clash = F.raise_error(F.lit(f"more than one row for {name}={label}"))
                 aggs.append(F.when(rows > 1, clash).otherwise(F.max(cell)).alias(out))
-    return df.groupBy(*keys).agg(*aggs)
+    out = df.groupBy(*keys).agg(*aggs, F.max(~F.col(name).isin(list(labels))).alias("__other"))
+    if unlisted == "error":
+        clash = F.raise_error(F.lit(f"a label of {name} is not in the list"))
+        first = next(c for c in out.columns if c not in keys)
+        out = out.withColumn(first, F.when(F.col("__other"), clash).otherwise(F.col(f"`{first}`")))
+    return out.drop("__other")
 
 
 def stack(*dfs: DataFrame) -> DataFrame:
@@ -122,8 +128,9 @@ def recode(df: DataFrame, col: str, mapping: Mapping[str, str] | DataFrame, name
         to = F.col("__to")
         out = F.coalesce(to, F.col(col)) if keep_unmatched else to
         return joined.withColumn(name, out).drop("__from", "__to")
-    if len(mapping) > MAPPING_LITERALS:
-        raise ValueError("pass a long mapping as a table with columns from and to")
+    if len(mapping) > MAP_LITERALS:
+        pairs = df.sparkSession.createDataFrame(list(mapping.items()), ["from", "to"])
+        return recode(df, col, pairs, name, keep_unmatched=keep_unmatched)
     to = F.element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), F.col(col))
     return df.withColumn(name, F.coalesce(to, F.col(col)) if keep_unmatched else to)
 

@@ -6,8 +6,6 @@ start (clusters) or on a solver (the cascade) have none.
 
 from __future__ import annotations
 
-from .operators.resample import poisson_limits
-
 ORACLES: dict[str, str] = {}
 
 
@@ -161,7 +159,7 @@ HAVING count(*) FILTER ({EARLY}) > 0 AND count(*) FILTER ({LATE}) > 0"""
 
 ORACLES["long_to_wide"] = f"""
 WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS year FROM orders),
-v AS (SELECT * FROM (VALUES ('urgent', '1-URGENT'), ('high', '2-HIGH'), ('medium', '3-MEDIUM')) t(variable, priority))
+v AS (SELECT * FROM (VALUES ('urgent', '1-URGENT'), ('high', '2-HIGH'), ('medium', '3-MEDIUM'), ('unspecified', '4-NOT SPECIFIED'), ('low', '5-LOW')) t(variable, priority))
 SELECT y.year, v.variable, {rnd("avg(o_totalprice)", 6, "value")}
 FROM y CROSS JOIN v LEFT JOIN orders ON year(o_orderdate) = y.year AND o_orderpriority = v.priority
 GROUP BY y.year, v.variable"""
@@ -177,7 +175,8 @@ FROM (SELECT c_nationkey AS nation, c_acctbal AS balance, c_mktsegment FROM cust
 
 ORACLES["distinct_levels"] = """
 SELECT DISTINCT 'status' AS col, o_orderstatus AS level FROM orders
-UNION ALL SELECT DISTINCT 'priority', o_orderpriority FROM orders"""
+UNION ALL SELECT DISTINCT 'priority', o_orderpriority FROM orders
+UNION ALL SELECT DISTINCT 'year', CAST(year(o_orderdate) AS VARCHAR) FROM orders"""
 
 ORACLES["date_span"] = "SELECT strftime(min(l_shipdate), '%Y%m%d') AS first, strftime(max(l_shipdate), '%Y%m%d') AS last FROM lineitem"
 
@@ -425,8 +424,12 @@ FROM {mean_tests(sample_sums("p_brand", "p_retailprice", "p_size > 25", "part"))
 # --- resampling --------------------------------------------------------------------------------
 
 
+# Shares of a Poisson(1) count of at most 0, 1, 2, …, in units of 2^-32.
+POISSON = ["5e2d58d8", "bc5ab1b1", "eb715e1d", "fb239797", "ff1025f5", "ffd90f3b", "fffa8b71", "ffff540c", "ffffed1f", "fffffe21", "ffffffd4", "fffffffc"]
+
+
 def poisson(digits: str) -> str:
-    limits = poisson_limits()
+    limits = POISSON
     whens = " ".join(f"WHEN {digits} < '{cut}' THEN {k}.0::DOUBLE" for k, cut in enumerate(limits))
     return f"CASE {whens} ELSE {len(limits)}.0::DOUBLE END"
 
@@ -449,13 +452,13 @@ def bootstrap(reps: str, keys: str) -> str:
       FROM (SELECT {keys}, metric, quantile_cont(diff, 0.025) AS lower, quantile_cont(diff, 0.975) AS upper FROM {reps} GROUP BY {keys}, metric))"""
 
 
-_REP = replicates("orders", "o_orderpriority", ["o_totalprice"], "year(o_orderdate) >= 1998", "o_orderkey", 200)
+_REP = replicates("orders", "o_orderpriority", ["o_totalprice"], "year(o_orderdate) >= 1998", "o_orderkey", 1000)
 ORACLES["bootstrap_ci"] = f"""
 SELECT o_orderpriority, metric, {rnd("lower", 3)}, {rnd("upper", 3)}, significant, linetype FROM {bootstrap(_REP, "o_orderpriority")}"""
 
 _SURVEY = """(SELECT l_returnflag AS ecosystem, year(l_shipdate) >= 1998 AS is_late,
   l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS id, l_extendedprice AS swe, l_quantity AS htc FROM lineitem)"""
-_REP = replicates(_SURVEY, "ecosystem", ["swe", "htc"], "is_late", "id", 40)
+_REP = replicates(_SURVEY, "ecosystem", ["swe", "htc"], "is_late", "id", 1000)
 ORACLES["period_change"] = f"""
 WITH b AS (SELECT * FROM {bootstrap(_REP, "ecosystem")})
 SELECT ecosystem, {", ".join(rnd(f"any_value({m}_{t})", 3, f"{m}_{t}") for m in ("swe", "htc") for t in ("early", "late"))},
@@ -487,7 +490,7 @@ def group_ss(name: str, factors: str) -> str:
 
 
 ORACLES["permanova"] = f"""
-WITH {permuted(SCALED, ["c_mktsegment"], 199)}, {group_ss("a", "c_mktsegment")},
+WITH {permuted(SCALED, ["c_mktsegment"], 999)}, {group_ss("a", "c_mktsegment")},
 tot AS (SELECT sum({" + ".join(f"{c} * {c}" for c in VEC)}) AS sst, count(*) AS n FROM base),
 f AS (SELECT perm, ss, sst, cells - 1 AS df, n - cells AS dfr, n, (ss / (cells - 1)) / ((sst - ss) / (n - cells)) AS f FROM a CROSS JOIN tot),
 o AS (SELECT * FROM f WHERE perm = 0),
@@ -537,7 +540,7 @@ def kde(keys: str, value: str, source: str, points: int) -> str:
 ORACLES["kde_grid"] = f"""
 SELECT c_mktsegment, i, {rnd("x", 4)}, {rnd("y", 9)} FROM {kde("c_mktsegment", "c_acctbal", "customer", 512)}"""
 ORACLES["kde_peak"] = f"""
-SELECT l_returnflag, {rnd("max(y)", 8, "max_density")} FROM {kde("l_returnflag", "l_quantity", "lineitem", 128)} GROUP BY l_returnflag"""
+SELECT l_returnflag, {rnd("max(y)", 8, "max_density")} FROM {kde("l_returnflag", "l_quantity", "lineitem", 512)} GROUP BY l_returnflag"""
 ORACLES["normal_curve"] = f"""
 WITH s AS (SELECT c_mktsegment, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS sd FROM customer GROUP BY 1),
 g AS (SELECT *, m - 4 * sd + i * (8.0 / 199) * sd AS x FROM s CROSS JOIN range(0, 200) r(i))

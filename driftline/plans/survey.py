@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.missing import is_in, percent_difference, to_number
-from ..functions.text import popup
+from ..functions.missing import is_in, percent_difference, signif, to_number
+from ..functions.text import labelled_text
 from ..operators.aggregate import means_and_sds
 from ..operators.anomaly import ranked_years
 from ..operators.joins import attach, join_coordinates
@@ -29,10 +29,10 @@ def prepare_survey(df: DataFrame, site_map: Mapping[str, str] | DataFrame, ecosy
 
 
 def period_change(df: DataFrame, group: str, early: str, late: str, cols: Sequence[str], metrics: Sequence[str],
-                  row_key: Sequence[str], replicates: int = 1000, conf: float = 0.95, spread: bool = False) -> DataFrame:
+                  row_key: Sequence[str], replicates: int = 1000, conf: float = 0.95, partitions: int | None = None) -> DataFrame:
     """Early and late means per group with bootstrap bounds and line style of each metric."""
     inside = df.filter(F.col(group).isNotNull() & F.col("period").isin(early, late))
-    ci = bootstrap_interval(inside, [group], metrics, F.col("period") == late, row_key, replicates, conf, spread)
+    ci = bootstrap_interval(inside, [group], metrics, F.col("period") == late, row_key, replicates, conf, partitions)
     wide = ci.groupBy(group).agg(
         *[
             F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")
@@ -64,7 +64,7 @@ def site_trends(df: DataFrame, points: DataFrame, metrics: Sequence[str], year:
     fits = fit_trend(long, ["site", "lat", "lon", "metric"], year, "value")
     fits = materialize(fits.filter(F.col("n") > 0).withColumn("sig", yes_no(F.col("p_value") < alpha)))
     fits = rescale(fits, F.abs(F.col("slope")), "radius", 4.0, 10.0)
-    return fits.withColumn("popup", popup(F.col("site"), F.upper("metric"), F.col("slope"), F.col("p_value")))
+    return fits.withColumn("popup", labelled_text({"Site": F.col("site"), "Metric": F.upper("metric"), "Slope": F.bround("slope", 3), "p": signif(F.col("p_value"), 3)}))
 
 
 def ranked_measurements(df: DataFrame, sites: Sequence[str], zone_map: Mapping[str, str], zone: str, value: str,
@@ -73,10 +73,3 @@ def ranked_measurements(df: DataFrame, sites: Sequence[str], zone_map: Mapping[s
     rows = recode(df.filter(F.col(site_col).isin(*sites)), zone_col, zone_map).filter(F.col(zone_col) == zone)
     rows = rows.withColumn(value, to_number(F.col(value)))
     return ranked_years(rows, year, value, value)
-
-
-def outside_thresholds(df: DataFrame, band: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows outside their group's band."""
-    b = band.select(*keys, "thresh_low", "thresh_high")
-    v = F.col(value)
-    return attach(df, b, keys, "inner").filter((v < F.col("thresh_low")) | (v > F.col("thresh_high")))

@@ -78,7 +78,7 @@ def fill_sensor_table(
     """
     models = list(models) if models is not None else sensor_models()
     keys, by = list(keys), [*keys, "month"]
-    df = impute_mean(weather_join(weather, sensors, date=date), STATION)
+    df = impute_mean(weather_join(weather, sensors, date=date, predictor=STATION), STATION)
     df = df.withColumn("month", F.month(date))
     air = pick(df, matches="150", without="neg150|hum|^" + STATION)
     df = fill_from(df, by, air, STATION)

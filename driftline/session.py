@@ -7,16 +7,14 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-# Settings the operators are written for. Written intermediate tables are removed once nothing refers to them.
+# Settings the operators are written for.
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -61,19 +59,3 @@ def materialize(df: DataFrame) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """:func:`materialize` with the number of rows, counted while they are written."""
-    seen = Observation()
-    written = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    return written, seen.get["rows"]
-
-
-def widen(scan: DataFrame, by: list[str]) -> DataFrame:
-    """Deal the rows of a scan out to all cores where it has fewer splits than there are cores.
-
-    For work that is heavy per row. Tables of many splits, which is to say all large ones, are left alone.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *by) if scan.rdd.getNumPartitions() < cores else scan

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import compact_date
 from ..functions.missing import clean_missing
-from ..operators.aggregate import date_range
 
 CORRUPT = "_corrupt_record"
 
@@ -47,16 +47,13 @@ def parse_problems(spark: SparkSession, path, schema: str, null: str = "NA") ->
 
 
 def dated_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Files of a folder whose name matches, with the last eight-digit date in the name: ``path, file, date``.
+    """Files and written folders in a folder whose name matches, with the last eight-digit date in the name: ``path, file, date``.
 
-    Only names are listed, no content is read.
+    Only names are listed, no content is read; a name that starts with a dot or an underscore is a file system's or writer's own.
     """
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "false")
-        .load(folder)
-        .select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "modificationTime")
-    )
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [(str(f.getPath().toString()), f.getPath().getName()) for f in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+    listed = spark.createDataFrame([n for n in names if n[1][0] not in "._"], "path string, file string")
     digits = F.regexp_extract_all("file", F.lit(r"([0-9]{8})"), F.lit(1))
     dates = F.transform(digits, lambda d: F.to_date(F.try_to_timestamp(d, F.lit("yyyyMMdd"))))
     return (
@@ -68,18 +65,25 @@ def dated_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 def latest_dated_file(spark: SparkSession, folder: str, pattern: str, schema: str | None = None,
                       drop_first_col: bool = False, null: str = "NA") -> DataFrame:
-    """The CSV whose name matches and carries the newest date; only that file is scanned."""
+    """The table whose name matches and carries the newest date; only that one is scanned.
+
+    A name that ends in ``.parquet`` is read as Parquet, with missing values cleaned alike; any other as CSV, be it a file or a folder of part files.
+    """
     newest = dated_files(spark, folder, pattern).filter(F.col("date").isNotNull())
     row = newest.orderBy(F.col("date").desc(), F.col("file").desc()).limit(1).first()
     if row is None:
         raise FileNotFoundError(f"no dated file in {folder} matches {pattern}")
-    df = read_csv(spark, row["path"], schema, null)
+    if row["file"].endswith(".parquet"):
+        reader = spark.read.schema(schema) if schema else spark.read
+        df = clean_missing(reader.parquet(row["path"]))
+    else:
+        df = read_csv(spark, row["path"], schema, null)
     return df.drop(df.columns[0]) if drop_first_col else df
 
 
 def most_recent_with_prefix(spark: SparkSession, folder: str, prefix: str, schema: str | None = None) -> DataFrame:
-    """The newest dated CSV whose name starts with ``prefix``."""
-    return latest_dated_file(spark, folder, rf"^\Q{prefix}\E.*\.csv$", schema)
+    """The newest dated table whose name starts with ``prefix``."""
+    return latest_dated_file(spark, folder, rf"^\Q{prefix}\E.*\.(csv|parquet)$", schema)
 
 
 def read_points(spark: SparkSession, path, tag: str = "Placemark") -> DataFrame:
@@ -101,15 +105,33 @@ def write_dated(df: DataFrame, folder: str, stem: str, date: str = "date", suffi
     """Write to ``folder/stem_<first>_<last>_suffix`` named by the data's date range; returns the path.
 
     Parquet by default; ``fmt="csv"`` writes a header and ``NA`` for NULL. The executors write, sorted by ``order``
-    across the files if it is given.
+    across the files if it is given. The rows are computed once: their dates are observed while they are written.
     """
-    span = date_range(df, date).select(compact_date(F.col("first")).alias("a"), compact_date(F.col("last")).alias("b")).first()
-    if span["a"] is None:
-        raise ValueError("no dates to name the output by")
-    path = f"{folder.rstrip('/')}/{stem}_{span['a']}_{span['b']}_{suffix}.{fmt}"
-    writer = (df.orderBy(*order) if order else df).write.mode(mode)
+    if mode not in ("errorifexists", "error", "overwrite"):
+        raise ValueError("a dated table is written anew: errorifexists or overwrite")
+    spark, folder = df.sparkSession, folder.rstrip("/")
+    seen = Observation()
+    rows = df.observe(seen, compact_date(F.min(date)).alias("a"), compact_date(F.max(date)).alias("b"))
+    writer = (rows.orderBy(*order) if order else rows).write
+    # the dates are known once all rows are written, so they are written under another name first
+    staged = f"{folder}/_{stem}_{uuid.uuid4().hex}"
     if fmt == "csv":
-        writer.option("header", True).option("nullValue", "NA").csv(path)
+        writer.option("header", True).option("nullValue", "NA").csv(staged)
     else:
-        writer.format(fmt).save(path)
+        writer.format(fmt).save(staged)
+    span = seen.get
+    named = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = named(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    path = f"{folder}/{stem}_{span['a']}_{span['b']}_{suffix}.{fmt}"
+    try:
+        if span["a"] is None:
+            raise ValueError("no dates to name the output by")
+        if files.exists(named(path)):
+            if mode != "overwrite":
+                raise FileExistsError(path)
+            files.delete(named(path), True)
+        if not files.rename(named(staged), named(path)):
+            raise OSError(f"could not rename to {path}")
+    finally:
+        files.delete(named(staged), True)
     return path

@@ -12,9 +12,10 @@ def one(spark, expr, schema="x double", values=((None,),)):
     return [r[0] for r in spark.createDataFrame(list(values), schema).select(expr).collect()]
 
 
-def test_nan_and_infinity_become_null(spark):
+def test_nan_becomes_null_and_infinity_on_request(spark):
     df = spark.createDataFrame([(float("nan"), 1), (float("inf"), 2), (2.0, 3)], "x double, k int")
-    assert [r["x"] for r in missing.clean_missing(df).orderBy("k").collect()] == [None, None, 2.0]
+    assert [r["x"] for r in missing.clean_missing(df).orderBy("k").collect()] == [None, float("inf"), 2.0]
+    assert [r[0] for r in df.orderBy("k").select(missing.nan_to_null(F.col("x"), infinite=True)).collect()] == [None, None, 2.0]
 
 
 def test_null_condition_gives_null(spark):
@@ -85,9 +86,15 @@ def test_series_names(spark):
         ("abc", 2.5, "avg", -2.5), ("abc", 150.0, "max", 150.0), ("abc", 0.0, "min", 0.0), ("pla", None, "plain", None)]
 
 
-def test_popup(spark):
-    got = one(spark, text.popup(F.lit("A"), F.lit("SWE"), F.lit(1.23456), F.lit(0.012345)))[0]
-    assert got == "<b>Site:</b> A<br><b>Metric:</b> SWE<br><b>Slope:</b> 1.235<br><b>p:</b> 0.0123"
+def test_labelled_text(spark):
+    got = one(spark, text.labelled_text({"Place": F.lit("A"), "Rise": F.bround(F.lit(1.23456), 3)}))[0]
+    assert got == "<b>Place:</b> A<br><b>Rise:</b> 1.235"
+    assert one(spark, text.labelled_text({"a": F.lit(1), "b": F.lit(None)}, " ", ("", "")))[0] is None
+
+
+def test_depth_decimals(spark):
+    df = spark.createDataFrame([("abc_temp_2p25_avg",), ("abc_temp_12p7_max",)], "n string")
+    assert [r[0] for r in df.select(text.name_depth(F.col("n"))).collect()] == [2.25, 12.7]
 
 
 def test_recode_and_bins(spark):

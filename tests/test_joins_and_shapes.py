@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from driftline.operators import aggregate, joins, reshape
 
 
-@pytest.mark.parametrize("max_rows", [0, 100])
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_attach(spark, max_rows, how):
+def test_attach(spark, how):
     data = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("z", 4)], "k string, v int")
     table = spark.createDataFrame([("a", 10.0), (None, 20.0)], "k string, m double")
-    got = joins.attach(data, table, ["k"], how, max_rows)
+    got = joins.attach(data, table, ["k"], how)
     want = [("a", 1, 10.0), ("a", 2, 10.0), (None, 3, 20.0)] + ([("z", 4, None)] if how == "left" else [])
     assert [tuple(r.values()) for r in rows(got, "v")] == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "Cartesian" not in plan and ("broadcast" in plan) == (max_rows > 0)
+    assert "Cartesian" not in plan and "broadcast" not in plan
 
 
 def test_attach_after_an_aggregate_of_the_same_rows(spark):
@@ -44,7 +43,7 @@ def test_weather_join(spark):
         [(dt.datetime(2020, 1, 1, h), float(h)) for h in (0, 12)] + [(dt.datetime(2020, 1, 2, 5), None)],
         "datetime timestamp_ntz, station_temp double")
     days = spark.createDataFrame([(dt.date(2020, 1, d),) for d in (1, 2, 3)], "date date")
-    got = rows(joins.weather_join(weather, days), "date")
+    got = rows(joins.weather_join(weather, days, predictor="mean_150"), "date")
     assert [(r["station_temp"], r["mean_150"]) for r in got] == [(6.0, 6.0), (None, None), (None, None)]
     daily = rows(joins.daily_weather(weather), "date")
     assert (daily[0]["station_temp_min"], daily[0]["station_temp_max"], daily[0]["station_temp_n"]) == (0.0, 12.0, 2)

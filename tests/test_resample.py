@@ -24,7 +24,7 @@ def test_bootstrap(spark):
     df = spark.createDataFrame(data, "g string, id int, late boolean, x double, y double")
     args = (["g"], ["x", "y"], F.col("late"), ["id"], 400)
     got = {(r["g"], r["metric"]): r for r in rows(resample.bootstrap_interval(df.repartition(7), *args), "g", "metric")}
-    again = {(r["g"], r["metric"]): r for r in rows(resample.bootstrap_interval(df.repartition(2), *args, spread=True), "g", "metric")}
+    again = {(r["g"], r["metric"]): r for r in rows(resample.bootstrap_interval(df.repartition(2), *args, partitions=5), "g", "metric")}
     for k in got:
         for c in ("lower", "upper"):
             assert got[k][c] == (pytest.approx(again[k][c]) if again[k][c] is not None else None)
@@ -35,8 +35,27 @@ def test_bootstrap(spark):
     assert r["lower"] == pytest.approx(gap - 1.96 * se, abs=0.05) and r["upper"] == pytest.approx(gap + 1.96 * se, abs=0.05)
     assert r["significant"] and r["linetype"] == "solid" and r["lower"] < gap < r["upper"]
     assert got["c", "x"]["lower"] is None and got["c", "x"]["significant"] is None
-    with pytest.raises(ValueError):
-        resample.bootstrap_replicates(df, ["g"], ["x"], F.col("late"), ["id"], 10)
+    assert resample.bootstrap_replicates(df, ["g"], ["x"], F.col("late"), ["id"], 10).filter("g = 'a' AND metric = 'x'").count() == 10
+
+
+def test_key_text_tells_keys_apart(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("x", None), ("\\N", "x")], "p string, q string")
+    assert df.select(resample.key_text(["p", "q"])).distinct().count() == 5
+
+
+def test_density_of_groups_far_apart(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=500)
+    df = spark.createDataFrame([("near", float(x)) for x in v] + [("far", float(x + 1e9)) for x in v], "g string, v double")
+    peak = {r["g"]: r["max_density"] for r in rows(density.peak_density(density.kernel_density(df, ["g"], "v"), ["g"]), "g")}
+    assert peak["far"] == pytest.approx(peak["near"], rel=1e-3)
+
+
+def test_gap_statistic_without_variation(spark):
+    same = spark.createDataFrame([(i, 2.0, 3.0) for i in range(6)], "id int, x double, y double")
+    got = rows(clusters.gap_statistic(spark, same, ["x", "y"], ["id"], 2, 2), "k")
+    assert [(r["k"], r["log_w"], r["gap"]) for r in got] == [(1, None, None), (2, None, None)]
+    assert clusters.gap_statistic(spark, same.limit(0), ["x", "y"], ["id"], 2, 2).count() == 0
 
 
 @pytest.fixture(scope="module")

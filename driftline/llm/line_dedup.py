@@ -21,12 +21,18 @@ BROADCAST_LINES = 1_000_000  # line numbers of documents to look at again; more
 
 
 def line_words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), SPACE), "")
+    """Lower-cased words of a line. A line whose only white space is the blank, as nearly all are, is cut without a regular expression."""
+    low = F.lower(line)
+    other = F.lit(False)
+    for space in "\t\n\x0b\x0c\r":
+        other = other | F.contains(line, F.lit(space))
+    return F.array_remove(F.when(other, F.split(low, SPACE)).otherwise(F.split(low, " ")), "")
 
 
 def rarity_table(docs: DataFrame) -> DataFrame:
     """One row, one array: for each bucket of token hashes the logarithm of its count, in quarter steps, as a byte."""
-    tokens = docs.select(F.explode(line_words(F.coalesce("text", F.lit("")))).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    tokens = lines.select(F.explode(line_words(F.col("line"))).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
     counts = tokens.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"))
     full = counts.unionByName(every).groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -129,9 +135,10 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_tokens: i
     A text of which every line repeats becomes empty. A NULL id or text is left as it is; in rows that share an id, a line number goes in all or none.
     Columns ``docs`` has besides stay; a column named ``removed`` is replaced.
     """
-    gone = repeated_lines(docs, similarity, least_tokens).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list("line_no")).alias("__gone"))
+    gone = materialize(repeated_lines(docs, similarity, least_tokens).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list("line_no")).alias("__gone")))
+    size = gone.agg(F.count(F.lit(1)), F.sum(F.size("__gone"))).first()
     docs = docs.drop("removed")
-    both = docs.join(gone, docs["doc_id"] == gone["__id"], "left")
+    both = docs.join(F.broadcast(gone) if size[0] + (size[1] or 0) <= BROADCAST_LINES else gone, docs["doc_id"] == gone["__id"], "left")
     both = both.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))

@@ -566,6 +566,14 @@ def kde_peak(spark, sf):
     return rounded(density.peak_density(curves, ["l_returnflag"]), 8, "max_density")
 
 
+@query
+def kde_shifted(spark, sf):
+    """Largest density of groups that lie far apart."""
+    c = table(spark, sf, "customer").select("c_nationkey", (F.col("c_acctbal") + F.col("c_nationkey") * 1e7).alias("v"))
+    out = density.peak_density(density.kernel_density(c, ["c_nationkey"], "v"), ["c_nationkey"])
+    return rounded(out, 8, "max_density")
+
+
 @query
 def normal_curve(spark, sf):
     """Normal density of each group's mean and sd on 200 points."""
@@ -743,3 +751,30 @@ def gap_statistic(spark, sf):
     rows = ranking.zscores(nation_features(spark, sf), FEATURES)
     out = clusters.gap_statistic(spark, rows, FEATURES, ["c_nationkey", "c_mktsegment"])
     return rounded(out, 4, "log_w", "expected", "gap", "se")
+
+
+# --- survey ------------------------------------------------------------------------------------
+
+
+@query
+def survey_summary(spark, sf):
+    """Sites recoded to ecosystems, years to periods, missing sites dropped; mean and sd per group without some sites."""
+    o = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority")).alias("site"), F.year("o_orderdate").alias("year"),
+        F.col("o_totalprice").alias("depth"), (F.col("o_totalprice") / (F.col("o_custkey") % 7 + 1)).alias("swe"),
+    )
+    sites = {"1-URGENT": "North", "2-HIGH": "North", "3-MEDIUM": "South", "4-NOT SPECIFIED": "No Data"}
+    prepared = survey.prepare_survey(o, sites, {"North": "Forest", "South": "Fen"}, PERIODS)
+    out = survey.group_summary(prepared, ["ecosystem", "period"], ["depth", "swe"], exclude=["5-LOW"])
+    return rounded(out, 4, *[c for c in out.columns if c not in ("ecosystem", "period")])
+
+
+@query
+def needle_ranking(spark, sf):
+    """Yearly means of a text measurement at chosen sites and in one zone, with deviation and rank."""
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("Site"), F.col("o_orderstatus").alias("Zone"), F.year("o_orderdate").alias("year"),
+        F.when(F.col("o_orderkey") % 13 == 0, F.lit("NA")).when(F.col("o_orderkey") % 17 == 0, F.lit("1.2.3")).otherwise(F.col("o_totalprice").cast("string")).alias("gmin"),
+    )
+    out = survey.ranked_measurements(o, ["1-URGENT", "3-MEDIUM"], {"O": "F", "R": "F"}, "F", "gmin")
+    return rounded(out, 5, *[c for c in out.columns if c not in ("year",)])

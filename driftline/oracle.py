@@ -539,6 +539,9 @@ def kde(keys: str, value: str, source: str, points: int) -> str:
 
 ORACLES["kde_grid"] = f"""
 SELECT c_mktsegment, i, {rnd("x", 4)}, {rnd("y", 9)} FROM {kde("c_mktsegment", "c_acctbal", "customer", 512)}"""
+ORACLES["kde_shifted"] = f"""
+SELECT c_nationkey, {rnd("max(y)", 8, "max_density")}
+FROM {kde("c_nationkey", "v", "(SELECT c_nationkey, c_acctbal + c_nationkey * 1e7 AS v FROM customer)", 512)} GROUP BY c_nationkey"""
 ORACLES["kde_peak"] = f"""
 SELECT l_returnflag, {rnd("max(y)", 8, "max_density")} FROM {kde("l_returnflag", "l_quantity", "lineitem", 512)} GROUP BY l_returnflag"""
 ORACLES["normal_curve"] = f"""
@@ -655,3 +658,20 @@ ORACLES["centroid_distance"] = f"""
 WITH s AS (SELECT * FROM {SCALED}), o AS (SELECT {", ".join(f"avg({c}) AS {c}" for c in VEC)} FROM s)
 SELECT c_mktsegment, count(*) AS n, {rnd("sqrt(" + " + ".join(f"power(avg(s.{c}) - any_value(o.{c}), 2)" for c in VEC) + ")", 6, "distance")}
 FROM s CROSS JOIN o GROUP BY c_mktsegment"""
+
+# --- survey ------------------------------------------------------------------------------------
+
+ORACLES["survey_summary"] = f"""
+WITH s AS (SELECT CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS site, year(o_orderdate) AS year, o_totalprice AS depth,
+    o_totalprice / (o_custkey % 7 + 1) AS swe FROM orders),
+e AS (SELECT CASE WHEN site IN ('1-URGENT', '2-HIGH') THEN 'Forest' WHEN site = '3-MEDIUM' THEN 'Fen' END AS ecosystem,
+    CASE WHEN year BETWEEN 1995 AND 1997 THEN '1995-1997' WHEN year BETWEEN 1998 AND 2001 THEN '1998-2001' END AS period, depth, swe
+  FROM s WHERE site IS NOT NULL AND site NOT IN ('4-NOT SPECIFIED', '5-LOW'))
+SELECT ecosystem, period, {", ".join(rnd(f"avg({c})", 4, f"{c}_mean") for c in ("depth", "swe"))},
+  {", ".join(rnd(f"stddev_samp({c})", 4, f"{c}_sd") for c in ("depth", "swe"))} FROM e GROUP BY ecosystem, period"""
+
+ORACLES["needle_ranking"] = f"""
+WITH y AS (SELECT CAST(year(o_orderdate) AS INT) AS year, avg(o_totalprice) FILTER (o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0) AS gmin
+  FROM orders WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM') AND o_orderstatus IN ('O', 'R', 'F') GROUP BY 1),
+r AS (SELECT *, gmin / avg(gmin) OVER () - 1 AS prop, CASE WHEN gmin IS NOT NULL THEN rank() OVER (ORDER BY gmin) + (count(*) OVER (PARTITION BY gmin) - 1) / 2.0 END AS rank FROM y)
+SELECT year, {rnd("gmin", 5)}, {rnd("prop", 5)}, {rnd("rank", 5)} FROM r"""

@@ -18,7 +18,7 @@ HEADLINE = [
     "season_means", "seasonal_trend", "annual_trend_long", "annual_copy_summary", "combined_trends",
     "pivot_periods", "clamp_rules", "monthly_fill_lm", "stepwise_regression", "cascade_fill",
     "interpolated_series", "clean_series", "five_number", "exact_quantiles", "avg_rank", "fdr_adjust",
-    "year_vs_history_tests", "bootstrap_ci", "period_change", "permanova", "kde_grid", "threshold_band", "kmeans_clusters",
+    "year_vs_history_tests", "box_outliers", "permanova_two", "interpolated_by_time", "clamp_wide", "site_trends", "bootstrap_ci", "period_change", "permanova", "kde_grid", "threshold_band", "kmeans_clusters",
 ]
 
 

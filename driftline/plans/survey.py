@@ -11,7 +11,7 @@ from ..functions.missing import is_in, percent_difference, signif, to_number
 from ..functions.text import labelled_text
 from ..operators.aggregate import means_and_sds
 from ..operators.anomaly import ranked_years
-from ..operators.joins import attach, join_coordinates
+from ..operators.joins import join_coordinates
 from ..operators.ranking import rescale
 from ..operators.resample import bootstrap_interval
 from ..operators.reshape import bins, early_to_late, recode, to_long

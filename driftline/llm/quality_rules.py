@@ -115,3 +115,28 @@ def _cleaned(column: str, kind) -> Column:
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Counts, base verdict and verdict of every document."""
     return quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_PHRASES = "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE)
+OP8_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {_WORDS.format("t")} AS w, string_split(t, chr(10)) AS ls FROM d),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM p),
+again AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM g, (VALUES (0), (1), (2)) v(o) WHERE c > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, ls[k] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM w)),
+lw AS (SELECT *, {_WORDS.format("line")} AS w FROM l),
+lc AS (SELECT *, len(w) AS n, len(array_to_string(w, '')) AS chars FROM lw),
+f AS (
+  SELECT *, n > 0 AND (len(regexp_extract_all(line, '[|»›]')) >= 3 OR len(regexp_extract_all(line, '[#*$%&|<>]')) > 0.05 * greatest(chars, 1)
+    OR len(list_filter(w, lambda x: regexp_matches(x, '[!?]{{2,}}$'))) > 0.5 * n OR (n >= 10 AND len(list_distinct(w)) < 0.3 * n)
+    OR (n <= 20 AND regexp_matches(line, '(?i){_PHRASES}')) OR (n <= 4 AND NOT regexp_matches(line, '[.!?…:;"''”’»)\]][\x20\x09-\x0D]*$'))) AS fails FROM lc),
+per AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS dup, count(*) FILTER (fails) AS failed,
+  coalesce(sum(chars) FILTER (fails), 0) AS lost FROM f GROUP BY doc_id),
+c AS (
+  SELECT w.doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, dup AS n_dup_lines,
+    coalesce(again.n, 0) AS n_repeat_words, failed AS n_failed_lines, CAST(lost AS BIGINT) AS lost_chars FROM w JOIN per USING (doc_id) LEFT JOIN again USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.5 * word_chars AS kept FROM c
+"""

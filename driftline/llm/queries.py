@@ -10,7 +10,7 @@ from .packing import op4_packing
 from .passages import op7_passages
 from .private_data import op2_private_data
 from .quality_model import op1_quality_model
-from .quality_rules import op8_quality_rules
+from .quality_rules import OP8_SQL, op8_quality_rules
 from .toxicity import op5_toxicity
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {"op9_decontamination": OP9_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_line_dedup": OP10_SQL}

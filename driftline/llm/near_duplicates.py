@@ -209,3 +209,27 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Components of near duplicates, one row per document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE
+w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM s),
+df AS (SELECT sh, count(*) AS c FROM t GROUP BY sh),
+pre AS (
+  SELECT doc_id, n, sh FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c, sh) AS p FROM t JOIN df USING (sh)) WHERE p <= n - ceil(n * 0.75) + 1),
+cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM pre a JOIN pre b ON a.sh = b.sh AND a.doc_id < b.doc_id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
+link AS (
+  SELECT a, b FROM cand JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+  WHERE 100 * len(list_intersect(x.s, y.s)) >= 75 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))),
+ends AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM ends UNION SELECT r.a, e.b FROM reach r JOIN ends e ON r.b = e.a),
+low AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT s.doc_id, len(s) AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) AS kept
+FROM s LEFT JOIN low ON low.doc_id = s.doc_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .decontamination import OP9_SQL, op9_decontamination
 from .language import op6_language
 from .line_dedup import OP10_SQL, op10_line_dedup
-from .near_duplicates import op3_near_duplicates
+from .near_duplicates import OP3_SQL, op3_near_duplicates
 from .packing import op4_packing
 from .passages import op7_passages
 from .private_data import op2_private_data
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {"op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_near_duplicates": OP3_SQL, "op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_line_dedup": OP10_SQL}

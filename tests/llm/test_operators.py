@@ -213,6 +213,31 @@ def test_fuzzy_passages(spark):
         assert abs(r["start"] - planted[i]) <= 8 and abs(r["end"] - planted[i] - 80) <= 8 and r["source_id"] == (1 if i % 4 == 1 else 3)
 
 
+def test_quoted_sentences_do_not_hide_a_passage(spark):
+    random.seed(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    fill = lambda n: random.choices(vocabulary, k=n)
+    rows, want = [], set()
+    for g in range(20):
+        passage = fill(60)
+        for k in range(3):
+            rows.append((10 * g + k, " ".join(fill(50) + passage[20 * k : 20 * k + 20] + fill(50))))
+        for k in (3, 4):
+            rows.append((10 * g + k, " ".join(fill(50) + passage + fill(50))))
+        want.add((10 * g + 4, 10 * g + 3))
+    assert {(r["doc_id"], r["source_id"]) for r in passages.repeated_passages(frame(spark, rows)).collect()} == want
+
+
+def test_passages_of_lines_that_many_quote(spark):
+    random.seed(7)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    fill = lambda n: random.choices(vocabulary, k=n)
+    lines = [fill(20) for _ in range(3)]
+    rows = [(i, " ".join(fill(30) + lines[i % 3] + fill(30))) for i in range(240)]
+    rows += [(i, " ".join(fill(30) + lines[0] + lines[1] + lines[2] + fill(30))) for i in (300, 301, 302)]
+    assert {(r["doc_id"], r["source_id"]) for r in passages.repeated_passages(frame(spark, rows)).collect()} == {(301, 300), (302, 300)}
+
+
 def test_best_chain_of_anchors():
     x = np.array([0, 6, 12, 13, 20, 26], np.int32)
     y = np.array([50, 56, 62, 10, 70, 76], np.int32)

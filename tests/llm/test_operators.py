@@ -238,6 +238,35 @@ def test_passages_of_lines_that_many_quote(spark):
     assert {(r["doc_id"], r["source_id"]) for r in passages.repeated_passages(frame(spark, rows)).collect()} == {(301, 300), (302, 300)}
 
 
+@pytest.mark.parametrize("identity", [0.8, 0.85, 0.9])
+@pytest.mark.parametrize("even", [True, False])
+def test_recall_of_fuzzy_passages(spark, identity, even):
+    random.seed(8)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    fill = lambda n: random.choices(vocabulary, k=n)
+    rows, want = [], set()
+    for g in range(60):
+        p = fill(60 + g % 2 * 40)
+        q, changed = list(p), round(len(p) * (1 - identity))
+        for at in [int((j + 0.5) * len(p) / changed) for j in range(changed)] if even else random.sample(range(3, len(p) - 3), changed):
+            q[at] = "other"
+        assert passages.common_words(p, q) == len(p) - changed
+        rows += [(2 * g, " ".join(fill(40) + p + fill(40))), (2 * g + 1, " ".join(fill(70) + q + fill(40)))]
+        want.add((2 * g + 1, 2 * g))
+    got = [r for r in passages.repeated_passages(frame(spark, rows)).collect()]
+    assert {(r["doc_id"], r["source_id"]) for r in got} == want
+    assert all(r["start"] < 95 and r["end"] - r["start"] >= 50 for r in got)
+
+
+def test_chance_anchor_far_off_does_not_hide_a_passage():
+    a = [f"a{i}" for i in range(200)]
+    b = [f"b{i}" for i in range(200)]
+    a[10:70] = b[20:80] = [f"p{i}" for i in range(60)]
+    a[125:129] = b[130:134] = "w x y z".split()
+    got = passages.align(a, b, [*range(10, 67), 125], [*range(20, 77), 130])
+    assert (10, 70, 20, 80, 60) in got
+
+
 def test_best_chain_of_anchors():
     x = np.array([0, 6, 12, 13, 20, 26], np.int32)
     y = np.array([50, 56, 62, 10, 70, 76], np.int32)

@@ -186,6 +186,17 @@ def test_group_of_near_copies(spark):
     assert got == plain.components(rows)
 
 
+def test_nested_sets_meet_in_a_list(spark):
+    random.seed(9)
+    rows = []
+    for g in range(600):  # the longer set holds the shorter one: 0.75 to 0.78 of it
+        words = [f"g{g}w{i}" for i in range(504)]
+        random.shuffle(words)
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[: 4 + 375 + g % 16]))]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_connected_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}

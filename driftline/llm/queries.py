@@ -11,6 +11,7 @@ from .passages import op7_passages
 from .private_data import op2_private_data
 from .quality_model import op1_quality_model
 from .quality_rules import OP8_SQL, op8_quality_rules
+from .token_alignment import op11_token_alignment
 from .toxicity import op5_toxicity
 
 QUERIES = {
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_alignment": op11_token_alignment,
 }
 ORACLES: dict[str, str] = {"op3_near_duplicates": OP3_SQL, "op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_line_dedup": OP10_SQL}

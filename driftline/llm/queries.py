@@ -13,6 +13,7 @@ from .quality_model import op1_quality_model
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .token_alignment import op11_token_alignment
 from .toxicity import op5_toxicity
+from .url_filters import OP12_SQL, op12_url_filters
 
 QUERIES = {
     "op1_quality_model": op1_quality_model,
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
     "op11_token_alignment": op11_token_alignment,
+    "op12_url_filters": op12_url_filters,
 }
-ORACLES: dict[str, str] = {"op3_near_duplicates": OP3_SQL, "op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_near_duplicates": OP3_SQL, "op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_line_dedup": OP10_SQL, "op12_url_filters": OP12_SQL}

@@ -32,9 +32,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 HEAVY = 1 << 18  # id pairs that are sent to the tasks, 17 bytes each
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000  # the first that a task meets, which the frequent ones are among; others are kept for a batch
+WORDS_AT_ONCE = 2_000
 BYTES_AT_ONCE = 1 << 20  # of text, or 4-byte ids, that a task works on at a time; a longer text is a batch of its own
-PAIRS_HELD = 1 << 20  # distinct pairs a task adds up before it passes them on
+PAIRS_HELD = 1 << 19  # distinct pairs a task adds up before it passes them on
 LEVELS = 4  # steps per doubling in the histogram of counts
 # A blank between two characters that are surely no white space: neither tokenizer has a token that goes on across it.
 _CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
@@ -90,15 +91,19 @@ class TwoTokenizers:
         self.bytes = bytes_of_a(self.paths[0]), bytes_of_b(self.paths[1])
         self.known = {}
 
-    def learn(self, words: list[str]) -> None:
-        """Tokenize words that are not known."""
-        # the batch call without offsets is the fastest; the process's threads are Spark's to deal out
-        a = [t.ids for t in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        b = self.b.encode(words, num_threads=1)
+    def learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
+        """Ids of words on both sides, and whether both give back the word's bytes."""
+        out = {}
         of_a, of_b = (t.__getitem__ for t in self.bytes)
-        for word, x, y in zip(words, a, b):
-            right = b"".join(map(of_a, x)) == b"".join(map(of_b, y)) == b" " + word.encode()
-            self.known[word] = array("I", x).tobytes(), array("I", y).tobytes(), right
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            # the batch call without offsets is the fastest; its threads are off, since the process's cores are Spark's to deal out
+            a = [t.ids for t in self.a.encode_batch_fast([" " + w for w in some], add_special_tokens=False)]
+            b = self.b.encode(some, num_threads=1)
+            for word, x, y in zip(some, a, b):
+                right = b"".join(map(of_a, x)) == b"".join(map(of_b, y)) == b" " + word.encode()
+                out[word] = array("I", x).tobytes(), array("I", y).tobytes(), right
+        return out
 
     def same(self, text: str, a: bytes, b: bytes) -> bool:
         whole = [b"".join(map(t.__getitem__, np.frombuffer(ids, "<u4").tolist())) for t, ids in zip(self.bytes, (a, b))]
@@ -108,14 +113,14 @@ class TwoTokenizers:
         """Ids of each text on both sides; none for an empty text or one that a side does not give back byte by byte."""
         if self.known is None:
             self.load()
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
         cut = [_CUT.split(t) if t else [] for t in texts]
-        new = dict.fromkeys(w for words in cut for w in words)
-        self.learn([w for w in new if w not in self.known])
+        new = self.learn([w for w in dict.fromkeys(w for words in cut for w in words) if w not in self.known])
+        if len(self.known) < CACHED_WORDS:
+            self.known |= new
+            new = {}
         out = []
         for text, words in zip(texts, cut):
-            parts = list(map(self.known.__getitem__, words))
+            parts = [self.known.get(w) or new[w] for w in words] if new else list(map(self.known.__getitem__, words))
             a, b = b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
             out.append((a, b) if all([p[2] for p in parts]) or self.same(text, a, b) else (b"", b""))
         return out

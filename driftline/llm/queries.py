@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP9_SQL, op9_decontamination
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .language import op6_language
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .near_duplicates import OP3_SQL, op3_near_duplicates
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_token_alignment": op11_token_alignment,
     "op12_url_filters": op12_url_filters,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLES: dict[str, str] = {"op3_near_duplicates": OP3_SQL, "op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_line_dedup": OP10_SQL, "op12_url_filters": OP12_SQL}
+ORACLES: dict[str, str] = {"op3_near_duplicates": OP3_SQL, "op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_line_dedup": OP10_SQL, "op12_url_filters": OP12_SQL, "op13_hard_negatives": OP13_SQL}

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -15,6 +16,19 @@ from pyspark.sql.pandas.types import to_arrow_type
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_AT_ONCE = 256
+ARROW_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = ARROW_BYTES):
+    """Jobs inside hand rows to Python in Arrow batches of about ``size`` bytes; the session's own limit is 64 MB for each side of each task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def map_texts(

@@ -16,6 +16,7 @@ import json
 import re
 import os
 import sys
+import types
 from array import array
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import table
+from .texts import small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -39,9 +41,13 @@ PAIRS_HELD = 1 << 19  # distinct pairs a task adds up before it passes them on
 LEVELS = 4  # steps per doubling in the histogram of counts
 # A blank between two characters that are surely no white space: neither tokenizer has a token that goes on across it.
 _CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
+# Words that the byte-level file's split and merges can be applied to directly: ASCII and Latin-1, single line ends inside.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+(?:\n[!-~À-ÖØ-öø-ÿ]+)*")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\n")  # the file's own split, for such words
 # The standard printable stand-ins for bytes in byte-level vocabularies.
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_OF = {chr(b): b for b in _KEPT} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in _KEPT)}
+_SPELLED = {b: c for c, b in _BYTE_OF.items()}
 
 
 def place(name: str, path: str | None) -> str:
@@ -78,10 +84,10 @@ class TwoTokenizers:
         self.paths, self.known = (a, b), None
 
     def __reduce__(self):
-        return (TwoTokenizers, self.paths)
+        return (worker_tokenizers, self.paths)
 
     def load(self):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the process's cores are Spark's to deal out
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -89,7 +95,26 @@ class TwoTokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=self.paths[1])
         self.bytes = bytes_of_a(self.paths[0]), bytes_of_b(self.paths[1])
-        self.known = {}
+        self.known, self.parts = {}, {}
+
+    def part(self, part: str) -> list[int]:
+        ids = [t.id for t in self.a.model.tokenize(part.encode().decode("latin-1").translate(_SPELLED))]
+        if len(self.parts) < CACHED_WORDS:
+            self.parts[part] = ids
+        return ids
+
+    def of_a(self, words: list[str]) -> list[list[int]]:
+        """Ids on the byte-level side: plain words by merges of their parts, others through the whole tokenizer."""
+        known, out, other = self.parts, [], []
+        for i, word in enumerate(words):
+            if _PLAIN.fullmatch(word):
+                out.append([i for p in _PARTS.findall(" " + word) for i in known.get(p) or self.part(p)])
+            else:
+                out.append([])
+                other.append(i)
+        for i, made in zip(other, self.a.encode_batch_fast([" " + words[i] for i in other], add_special_tokens=False)):
+            out[i] = made.ids
+        return out
 
     def learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
         """Ids of words on both sides, and whether both give back the word's bytes."""
@@ -97,10 +122,7 @@ class TwoTokenizers:
         of_a, of_b = (t.__getitem__ for t in self.bytes)
         for at in range(0, len(words), WORDS_AT_ONCE):
             some = words[at : at + WORDS_AT_ONCE]
-            # the batch call without offsets is the fastest; its threads are off, since the process's cores are Spark's to deal out
-            a = [t.ids for t in self.a.encode_batch_fast([" " + w for w in some], add_special_tokens=False)]
-            b = self.b.encode(some, num_threads=1)
-            for word, x, y in zip(some, a, b):
+            for word, x, y in zip(some, self.of_a(some), self.b.encode(some, num_threads=1)):
                 right = b"".join(map(of_a, x)) == b"".join(map(of_b, y)) == b" " + word.encode()
                 out[word] = array("I", x).tobytes(), array("I", y).tobytes(), right
         return out
@@ -126,6 +148,12 @@ class TwoTokenizers:
         return out
 
 
+def worker_tokenizers(a: str, b: str) -> TwoTokenizers:
+    """The tokenizers of this process, with the words they have met: tasks that follow one another in a worker share them."""
+    held = sys.modules.setdefault("driftline_worker_tokenizers", types.ModuleType("driftline_worker_tokenizers")).__dict__
+    return held.setdefault((a, b), TwoTokenizers(a, b))
+
+
 def encode_both(docs: DataFrame, a: str | None = None, b: str | None = None, text: str = "text") -> DataFrame:
     """``doc_id, row, a_ids, b_ids`` of every row, written; ``row`` numbers the rows, also those that share an id or have none."""
     both = TwoTokenizers(place(TOKENIZER_A, a), place(TOKENIZER_B, b))
@@ -138,7 +166,8 @@ def encode_both(docs: DataFrame, a: str | None = None, b: str | None = None, tex
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = docs.select("doc_id", F.col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, a_ids array<int>, b_ids array<int>")
-    return materialize(ids.withColumn("row", F.monotonically_increasing_id()))
+    with small_batches(docs.sparkSession):
+        return materialize(ids.withColumn("row", F.monotonically_increasing_id()))
 
 
 def lists(parts: list[bytes]) -> pa.ListArray:
@@ -286,7 +315,9 @@ def pair_counts(tokens: DataFrame, a: str | None = None, b: str | None = None) -
         if held:
             yield from rows(*merged())
 
-    counts = materialize(tokens.select("a_ids", "b_ids").mapInArrow(run, "b_id int, a_id int, n bigint").groupBy("b_id", "a_id").agg(F.sum("n").alias("n")))
+    pairs = tokens.select("a_ids", "b_ids").mapInArrow(run, "b_id int, a_id int, n bigint")
+    with small_batches(tokens.sparkSession):
+        counts = materialize(pairs.groupBy("b_id", "a_id").agg(F.sum("n").alias("n")))
     most = counts.groupBy("b_id").agg(F.max("n").alias("most"))
     return materialize(counts.join(most, "b_id").select("b_id", "a_id", "n", (F.col("n") == F.col("most")).alias("best")))
 
@@ -340,9 +371,11 @@ def align_statistics(tokens: DataFrame, counts: DataFrame, a: str | None = None,
     kind = tokens.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, row bigint, " + ", ".join(f"{c} bigint" for c in columns) + ", groups_sha256 string, others array<bigint>"
     rows = tokens.select("doc_id", "row", "a_ids", "b_ids").mapInArrow(run, schema)
+    with small_batches(tokens.sparkSession):
+        rows = materialize(rows)
+    sent.unpersist()
     if not level:  # every pair is among those sent
         return rows.drop("row", "others")
-    rows = materialize(rows)
     rare = rows.select("row", F.explode("others").alias("code")).groupBy("row", "code").agg(F.count(F.lit(1)).alias("k"))
     rare = rare.select("row", "k", F.floor(F.col("code") / width).cast("int").alias("b_id"), (F.col("code") % width).cast("int").alias("a_id"))
     more = rare.join(counts.filter(level_of_count() < level), ["b_id", "a_id"]).groupBy("row").agg(

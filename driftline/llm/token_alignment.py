@@ -17,7 +17,6 @@ import re
 import os
 import sys
 import types
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +33,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 HEAVY = 1 << 18  # id pairs that are sent to the tasks, 17 bytes each
-CACHED_WORDS = 150_000  # the first that a task meets, which the frequent ones are among; others are kept for a batch
+CACHED_WORDS = 400_000  # the first that a task meets, which the frequent ones are among; others are kept for a batch
 WORDS_AT_ONCE = 2_000
-BYTES_AT_ONCE = 1 << 20  # of text, or 4-byte ids, that a task works on at a time; a longer text is a batch of its own
+BYTES_AT_ONCE = 1 << 19  # of text, or 4-byte ids, that a task works on at a time; a longer text is a batch of its own
 PAIRS_HELD = 1 << 19  # distinct pairs a task adds up before it passes them on
 LEVELS = 4  # steps per doubling in the histogram of counts
 # A blank between two characters that are surely no white space: neither tokenizer has a token that goes on across it.
@@ -77,8 +76,42 @@ def bytes_of_b(path: str) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
 
+class WordTable:
+    """Ids of numbered words, behind one another in one array."""
+
+    def __init__(self, lengths: np.ndarray, held: bytes, starts: np.ndarray):
+        self.lengths, self.held, self.starts = lengths, np.frombuffer(held, np.uint8), starts  # bytes of all ids and where each id's begin
+        self.ids, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, words: list[list[int]]) -> None:
+        more = np.fromiter((i for w in words for i in w), np.int32)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+        self.ids = np.concatenate([self.ids, more])
+
+    def cut(self, words: int) -> None:
+        self.ends = self.ends[: words + 1]
+        self.ids = self.ids[: self.ends[-1]]
+
+    def of(self, numbers: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in order, and how many there are up to the end of each row of words."""
+        n = self.ends[numbers + 1] - self.ends[numbers]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        return self.ids[strung(self.ends[numbers], n)], upto[rows]
+
+    def spelled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of ids behind one another and where each ends."""
+        n = self.lengths[ids]
+        return self.held[strung(self.starts[ids], n)], np.cumsum(n)
+
+
+def strung(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Positions of stretches of ``n`` from ``starts``, one stretch after another."""
+    before = np.cumsum(n) - n
+    return np.repeat(starts - before, n) + np.arange(int(n.sum()))
+
+
 class TwoTokenizers:
-    """Ids of both sides for a text, put together from those of its words, which are kept as little-endian bytes."""
+    """Ids of both sides for texts, put together from those of their words."""
 
     def __init__(self, a: str, b: str):
         self.paths, self.known = (a, b), None
@@ -94,12 +127,14 @@ class TwoTokenizers:
         self.a = Tokenizer.from_file(self.paths[0])
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=self.paths[1])
-        self.bytes = bytes_of_a(self.paths[0]), bytes_of_b(self.paths[1])
-        self.known, self.parts = {}, {}
+        self.known, self.parts, self.tables = {}, {}, []
+        for held in (bytes_of_a(self.paths[0]), bytes_of_b(self.paths[1])):
+            n = np.array(list(map(len, held)), np.int64)
+            self.tables.append(WordTable(n, b"".join(held), np.cumsum(n) - n))
 
     def part(self, part: str) -> list[int]:
         ids = [t.id for t in self.a.model.tokenize(part.encode().decode("latin-1").translate(_SPELLED))]
-        if len(self.parts) < CACHED_WORDS:
+        if len(self.parts) < CACHED_WORDS // 4:
             self.parts[part] = ids
         return ids
 
@@ -116,35 +151,42 @@ class TwoTokenizers:
             out[i] = made.ids
         return out
 
-    def learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
-        """Ids of words on both sides, and whether both give back the word's bytes."""
-        out = {}
-        of_a, of_b = (t.__getitem__ for t in self.bytes)
+    def learn(self, words: list[str]) -> None:
         for at in range(0, len(words), WORDS_AT_ONCE):
             some = words[at : at + WORDS_AT_ONCE]
-            for word, x, y in zip(some, self.of_a(some), self.b.encode(some, num_threads=1)):
-                right = b"".join(map(of_a, x)) == b"".join(map(of_b, y)) == b" " + word.encode()
-                out[word] = array("I", x).tobytes(), array("I", y).tobytes(), right
-        return out
-
-    def same(self, text: str, a: bytes, b: bytes) -> bool:
-        whole = [b"".join(map(t.__getitem__, np.frombuffer(ids, "<u4").tolist())) for t, ids in zip(self.bytes, (a, b))]
-        return whole[0] == whole[1] == b" " + text.encode()
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
+            for side, ids in zip(self.tables, (self.of_a(some), self.b.encode(some, num_threads=1))):
+                side.add(ids)
 
-    def ids(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Ids of each text on both sides; none for an empty text or one that a side does not give back byte by byte."""
+    def ids(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of all texts on either side and where each text's end; none for an empty text or one that a side does not give back byte by byte."""
         if self.known is None:
             self.load()
         cut = [_CUT.split(t) if t else [] for t in texts]
-        new = self.learn([w for w in dict.fromkeys(w for words in cut for w in words) if w not in self.known])
-        if len(self.known) < CACHED_WORDS:
-            self.known |= new
-            new = {}
+        words = [w for c in cut for w in c]
+        kept = len(self.known)
+        self.learn([w for w in dict.fromkeys(words) if w not in self.known])
+        numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        rows = np.cumsum([len(c) for c in cut])
+        sides = [t.of(numbers, rows) for t in self.tables]
+        if len(self.known) > CACHED_WORDS:  # the words of this batch go again
+            while len(self.known) > kept:
+                self.known.popitem()
+            for t in self.tables:
+                t.cut(kept)
+        text = [b" " + t.encode() if t else b"" for t in texts]
+        whole = np.frombuffer(b"".join(text), np.uint8)
+        spelled = [t.spelled(ids) for t, (ids, _) in zip(self.tables, sides)]
+        if all(np.array_equal(got, whole) for got, _ in spelled):
+            return sides
+        right = np.ones(len(texts), bool)
+        for (got, ends), (_, upto) in zip(spelled, sides):
+            at = np.concatenate([[0], ends])[np.concatenate([[0], upto])]
+            right &= [got[x:y].tobytes() == t for x, y, t in zip(at[:-1].tolist(), at[1:].tolist(), text)]
         out = []
-        for text, words in zip(texts, cut):
-            parts = [self.known.get(w) or new[w] for w in words] if new else list(map(self.known.__getitem__, words))
-            a, b = b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
-            out.append((a, b) if all([p[2] for p in parts]) or self.same(text, a, b) else (b"", b""))
+        for ids, upto in sides:
+            n = np.diff(upto, prepend=0)
+            out.append((ids[np.repeat(right, n)], np.cumsum(np.where(right, n, 0))))
         return out
 
 
@@ -161,8 +203,8 @@ def encode_both(docs: DataFrame, a: str | None = None, b: str | None = None, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, 1, 1):
-                made = both.ids(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(lists([m[side] for m in made]) for side in (0, 1))], names=["doc_id", "a_ids", "b_ids"])
+                made = [lists(ids, ends) for ids, ends in both.ids(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", "a_ids", "b_ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = docs.select("doc_id", F.col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, a_ids array<int>, b_ids array<int>")
@@ -170,9 +212,8 @@ def encode_both(docs: DataFrame, a: str | None = None, b: str | None = None, tex
         return materialize(ids.withColumn("row", F.monotonically_increasing_id()))
 
 
-def lists(parts: list[bytes]) -> pa.ListArray:
-    ends = np.cumsum([0, *[len(p) // 4 for p in parts]])
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+def lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 def by_bytes(batch: pa.RecordBatch, column: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -273,7 +314,7 @@ def groups_of(tokens: DataFrame, a: str | None = None, b: str | None = None) ->
             made, start = [], np.concatenate([[0], al.groups[:-1]])
             for group, ends in ((al.a_group, al.a_rows), (al.b_group, al.b_rows)):
                 own = group - np.repeat(start, per_row(ends))
-                made.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(own.astype(np.int32))))
+                made.append(lists(own, ends))
             yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "a_groups", "b_groups"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema.fields)

@@ -530,22 +530,30 @@ def nation_features(spark, sf):
 FEATURES = ["bal", "size", "spread"]
 
 
+def customer_features(spark, sf):
+    """One row per customer with standardised balance, number of orders and mean order price."""
+    orders = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("orders"), F.avg("o_totalprice").alias("price"))
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    zero = lambda x: F.coalesce(x, F.lit(0.0)).alias(x)
+    rows = materialize(c.select("c_custkey", "c_mktsegment", "n_regionkey", F.col("c_acctbal").alias("bal"), zero("orders"), zero("price")))
+    return ranking.zscores(rows, CUSTOMER_FEATURES)
+
+
+CUSTOMER_FEATURES = ["bal", "orders", "price"]
+
+
 @query
 def permanova(spark, sf):
     """Permutational analysis of variance by one factor."""
-    rows = ranking.zscores(nation_features(spark, sf), FEATURES)
-    rows = rows.withColumn("id", F.concat_ws("-", "c_nationkey", "c_mktsegment"))
-    out = resample.permanova(rows, "id", ["c_mktsegment"], FEATURES)
+    out = resample.permanova(customer_features(spark, sf), "c_custkey", ["c_mktsegment"], CUSTOMER_FEATURES)
     return rounded(out.drop("ord"), 6, "ss", "r2", "f", "p")
 
 
 @query
 def permanova_two(spark, sf):
-    """Two factors and their interaction."""
-    rows = ranking.zscores(nation_features(spark, sf), FEATURES)
-    rows = rows.join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = rows.withColumn("id", F.concat_ws("-", "c_nationkey", "c_mktsegment"))
-    out = resample.permanova(rows, "id", ["c_mktsegment", "n_regionkey"], FEATURES, 99)
+    """Two factors and their interaction, cells of different sizes."""
+    out = resample.permanova(customer_features(spark, sf), "c_custkey", ["c_mktsegment", "n_regionkey"], CUSTOMER_FEATURES)
     return rounded(out.drop("ord"), 6, "ss", "r2", "f", "p")
 
 

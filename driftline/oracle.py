@@ -424,26 +424,48 @@ FROM {mean_tests(sample_sums("p_brand", "p_retailprice", "p_size > 25", "part"))
 # --- resampling --------------------------------------------------------------------------------
 
 
-# Shares of a Poisson(1) count of at most 0, 1, 2, …, in units of 2^-32.
-POISSON = ["5e2d58d8", "bc5ab1b1", "eb715e1d", "fb239797", "ff1025f5", "ffd90f3b", "fffa8b71", "ffff540c", "ffffed1f", "fffffe21", "ffffffd4", "fffffffc"]
+# Shares of a Poisson(1) count of at most 0, 1, 2, …, in units of 2^-16.
+POISSON = [24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535]
+MASK = "4294967295"
 
 
-def poisson(digits: str) -> str:
-    limits = POISSON
-    whens = " ".join(f"WHEN {digits} < '{cut}' THEN {k}.0::DOUBLE" for k, cut in enumerate(limits))
-    return f"CASE {whens} ELSE {len(limits)}.0::DOUBLE END"
+def mixed(x: str) -> str:
+    """A 32-bit number in which every bit depends on all of ``x``."""
+    return mixing_end(mixing_start(x))
+
+
+def mixing_start(x: str) -> str:
+    return f"(((xor({x}, {x} >> 16)) * 2146121005) & {MASK})"
+
+
+def mixing_end(x: str) -> str:
+    last = f"((xor({x}, {x} >> 15) * 1540483477) & {MASK})"
+    return f"xor({last}, {last} >> 16)"
+
+
+def seed(text: str, part: int = 0) -> str:
+    return f"CAST('0x' || substr(md5({text}), {8 * part + 1}, 8) AS BIGINT)"
+
+
+def poisson(draw: str) -> str:
+    whens = " ".join(f"WHEN {draw} < {cut} THEN {k}.0::DOUBLE" for k, cut in enumerate(POISSON))
+    return f"CASE {whens} ELSE {len(POISSON)}.0::DOUBLE END"
 
 
 def replicates(source: str, keys: str, metrics: list[str], late: str, row_key: str, count: int) -> str:
-    """Subquery ``keys, metric, rep, diff`` of bootstrap differences."""
-    lanes = " UNION ALL ".join(
-        f"SELECT *, draw * 4 + {i} AS rep, {poisson(f'substr(h, {8 * i + 1}, 8)')} AS w FROM d_" for i in range(4)
-    )
-    per = " UNION ALL ".join(f"SELECT {keys}, '{m}' AS metric, rep, late_, w, {m} AS v FROM l_" for m in metrics)
-    return f"""(WITH d_ AS MATERIALIZED (SELECT *, {late} AS late_, md5({row_key} || '|' || draw) AS h
-        FROM {source} CROSS JOIN range(0, {count // 4}) g_(draw)), l_ AS ({lanes}), m_ AS ({per}),
-      s_ AS (SELECT {keys}, metric, rep, late_, sum(w * v) / nullif(sum(w), 0) AS mean FROM m_ GROUP BY {keys}, metric, rep, late_)
-      SELECT {keys}, metric, rep, max(mean) FILTER (late_) - max(mean) FILTER (NOT late_) AS diff FROM s_ GROUP BY {keys}, metric, rep)"""
+    """Subquery ``keys, metric, rep, diff`` of bootstrap differences: counter j of a row gives the draws of replicates 2 j and 2 j + 1."""
+    x0 = f"((s1 + j * 2654435769) & {MASK})"
+    x2 = f"((xor(x1, x1 >> 15) + s2) & {MASK})"
+    lanes = " UNION ALL ".join(f"SELECT *, j * 2 + {i} AS rep, {poisson(f'((x >> {16 * i}) & 65535)')} AS w FROM x_" for i in (0, 1))
+    sums = ", ".join(f"sum(w * {m}) / nullif(sum(w) FILTER ({m} IS NOT NULL), 0) AS {m}" for m in metrics)
+    per = " UNION ALL ".join(f"SELECT {keys}, '{m}' AS metric, rep, max({m}) FILTER (late_) - max({m}) FILTER (NOT late_) AS diff FROM s_ GROUP BY {keys}, rep" for m in metrics)
+    return f"""(WITH r_ AS MATERIALIZED (SELECT {keys}, {", ".join(metrics)}, {late} AS late_, {seed(f"CAST({row_key} AS VARCHAR)")} AS s1, {seed(f"CAST({row_key} AS VARCHAR)", 1)} AS s2 FROM {source}),
+      a_ AS (SELECT *, {mixing_start(x0)} AS x1 FROM r_ CROSS JOIN range(0, {-(-count // 2)}) g_(j)),
+      b_ AS (SELECT * EXCLUDE (x1), {x2} AS y FROM a_),
+      c_ AS (SELECT * EXCLUDE (y), ((y * 1540483477) & {MASK}) AS z FROM b_),
+      x_ AS (SELECT * EXCLUDE (z, s1, s2), xor(z, z >> 16) AS x FROM c_),
+      s_ AS (SELECT {keys}, rep, late_, {sums} FROM ({lanes}) GROUP BY {keys}, rep, late_)
+      {per})"""
 
 
 def bootstrap(reps: str, keys: str) -> str:
@@ -467,47 +489,90 @@ SELECT ecosystem, {", ".join(rnd(f"any_value({m}_{t})", 3, f"{m}_{t}") for m in
 FROM b JOIN (SELECT ecosystem, {", ".join(f"avg({m}) FILTER ({n} is_late) AS {m}_{t}" for m in ("swe", "htc") for t, n in (("early", "NOT"), ("late", "")))}
   FROM {_SURVEY} GROUP BY ecosystem) USING (ecosystem) GROUP BY ecosystem"""
 
-VEC = ("bal", "size", "spread")
-_ID = "c_nationkey || '-' || c_mktsegment"
-
-
-def permuted(source: str, factors: list[str], count: int) -> str:
-    """CTEs up to ``perms``: permutation 0 as observed, the others with factor rows shuffled by digest order."""
-    f = ", ".join(factors)
-    v = ", ".join(VEC)
-    return f"""base AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS pos FROM
-      (SELECT {_ID} AS id, {f}, {", ".join(f"{c} - avg({c}) OVER () AS {c}" for c in VEC)} FROM {source})),
-    draws AS (SELECT perm, {v}, row_number() OVER (PARTITION BY perm ORDER BY md5(perm || '|' || id), id) AS pos
-      FROM base CROSS JOIN range(1, {count + 1}) g(perm)),
+VEC = ("bal", "orders", "price")
+_NORMED = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}" for c in VEC)
+CUSTOMERS = f"""(SELECT c_custkey AS id, c_mktsegment, n_regionkey, {_NORMED}
+  FROM (SELECT c_custkey, c_mktsegment, n_regionkey, c_acctbal AS bal, CAST(count(o_orderkey) AS DOUBLE) AS orders, coalesce(avg(o_totalprice), 0) AS price
+    FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL))"""
+_SQUARE = " + ".join(f"{c} * {c}" for c in VEC)
+
+
+def bijection(source: str, rounds: int = 6) -> str:
+    """``y`` of ``source`` (``y, a, b, k0 …``) sent through the keyed rounds once, as a pair of digits of which one in turn gets a mix of the other."""
+    out = f"(SELECT *, y // b AS l, y % b AS r FROM {source})"
+    for t in range(rounds):
+        one, other, size = ("l", "r", "a") if t % 2 == 0 else ("r", "l", "b")
+        out = f"(SELECT * REPLACE (({one} + {mixing_end('m')}) % {size} AS {one}) FROM (SELECT *, {mixing_start(f'(({other} + k{t}) & {MASK})')} AS m FROM {out}))".replace("SELECT * REPLACE", "SELECT * EXCLUDE (m) REPLACE")
+    return f"(SELECT * EXCLUDE (l, r) REPLACE (l * b + r AS y) FROM {out})"
+
+
+def permuted(source: str, factors: list[str], count: int, walks: int = 6) -> str:
+    """CTEs up to ``perms``: permutation 0 as observed; in the others row number i gets the factors of the cell that its image falls into, if factor rows are sorted.
+
+    The pairs of digits are a few more than the rows; a number that comes out too large goes through again, ``walks`` times at most, far more than ever happens.
+    """
+    f, v = ", ".join(factors), ", ".join(VEC)
+    keys = ", ".join(f"""{seed(f"perm || '|{t}'")} AS k{t}""" for t in range(6))
+    chain = "".join(f""",
+    w{i} AS (SELECT * FROM w{i - 1} WHERE y < n UNION ALL SELECT * FROM {bijection(f"(SELECT * FROM w{i - 1} WHERE y >= n)")})""" for i in range(1, walks + 1))
+    return f"""base AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, {f}, {", ".join(f"{c} - avg({c}) OVER () AS {c}" for c in VEC)} FROM {source}),
+    cells AS MATERIALIZED (SELECT *, CAST(sum(m) OVER (ORDER BY {f}) - m AS BIGINT) AS low FROM (SELECT {f}, count(*) AS m FROM base GROUP BY {f})),
+    pairs AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM base)),
+    keyed AS MATERIALIZED (SELECT perm, {keys} FROM range(1, {count + 1}) g(perm)),
+    w0 AS (SELECT * FROM {bijection("(SELECT i, i AS y, n, a, b, perm, k0, k1, k2, k3, k4, k5 FROM base CROSS JOIN pairs CROSS JOIN keyed)")}){chain},
     perms AS (SELECT 0 AS perm, {f}, {v} FROM base
-      UNION ALL SELECT d.perm, {", ".join(f"b.{c}" for c in factors)}, {", ".join(f"d.{c}" for c in VEC)} FROM draws d JOIN base b USING (pos))"""
+      UNION ALL SELECT perm, {", ".join(f"c.{x}" for x in factors)}, {v} FROM (SELECT perm, y, {v} FROM w{walks} JOIN base USING (i)) d ASOF JOIN cells c ON d.y >= c.low)"""
 
 
 def group_ss(name: str, factors: str) -> str:
     sums = ", ".join(f"sum({c}) AS {c}" for c in VEC)
-    return f"""{name} AS (SELECT perm, sum(({" + ".join(f"{c} * {c}" for c in VEC)}) / n) AS ss, count(*) AS cells
+    return f"""{name} AS (SELECT perm, sum(({_SQUARE}) / n) AS ss, count(*) AS cells
       FROM (SELECT perm, {factors}, count(*) AS n, {sums} FROM perms GROUP BY perm, {factors}) GROUP BY perm)"""
 
 
 ORACLES["permanova"] = f"""
-WITH {permuted(SCALED, ["c_mktsegment"], 999)}, {group_ss("a", "c_mktsegment")},
-tot AS (SELECT sum({" + ".join(f"{c} * {c}" for c in VEC)}) AS sst, count(*) AS n FROM base),
-f AS (SELECT perm, ss, sst, cells - 1 AS df, n - cells AS dfr, n, (ss / (cells - 1)) / ((sst - ss) / (n - cells)) AS f FROM a CROSS JOIN tot),
+WITH {permuted(CUSTOMERS, ["c_mktsegment"], 999)}, {group_ss("g", "c_mktsegment")},
+tot AS (SELECT sum({_SQUARE}) AS sst, count(*) AS n FROM base),
+f AS (SELECT perm, ss, sst, cells - 1 AS df, n - cells AS dfr, n, (ss / (cells - 1)) / ((sst - ss) / (n - cells)) AS f FROM g CROSS JOIN tot),
 o AS (SELECT * FROM f WHERE perm = 0),
 p AS (SELECT (sum(CASE WHEN f.f >= o.f - 1.5e-8 THEN 1 ELSE 0 END) + 1) / (count(*) + 1) AS p FROM f CROSS JOIN o WHERE f.perm > 0)
 SELECT 'c_mktsegment' AS term, CAST(df AS INT) AS df, {rnd("ss", 6)}, {rnd("ss / sst", 6, "r2")}, {rnd("f", 6)}, {rnd("p", 6)} FROM o CROSS JOIN p
 UNION ALL SELECT 'residual', CAST(dfr AS INT), {rnd("sst - ss", 6, "ss")}, {rnd("(sst - ss) / sst", 6, "r2")}, NULL, NULL FROM o
 UNION ALL SELECT 'total', CAST(n - 1 AS INT), {rnd("sst", 6, "ss")}, 1.0, NULL, NULL FROM o"""
 
-# Sequential sums equal marginal ones here: the grid of segments and regions holds the same number of rows per cell.
+
+def eliminated(levels: int) -> str:
+    """``perm, ss``: what ``levels`` equations (matrix ``g``, right sides ``rhs`` per permutation) explain, one unknown eliminated after another."""
+    g = ", ".join(f"sum(v) FILTER (b = {i} AND c = {j}) AS g{i}_{j}" for i in range(levels) for j in range(levels))
+    r = ", ".join(f"sum({c}) FILTER (b = {i}) AS {c}{i}" for i in range(levels) for c in VEC)
+    out = f"(SELECT *, 0.0::DOUBLE AS ss FROM (SELECT {g} FROM g) CROSS JOIN (SELECT perm, {r} FROM rhs GROUP BY perm))"
+    for k in range(levels):
+        rest = range(k + 1, levels)
+        new = [f"ss + ({' + '.join(f'{c}{k} * {c}{k}' for c in VEC)}) / g{k}_{k} AS ss"]
+        new += [f"{c}{i} - g{i}_{k} / g{k}_{k} * {c}{k} AS {c}{i}" for i in rest for c in VEC]
+        new += [f"g{i}_{j} - g{i}_{k} * g{k}_{j} / g{k}_{k} AS g{i}_{j}" for i in rest for j in rest]
+        out = f"(SELECT perm, {', '.join(new)} FROM {out})"
+    return out
+
+
+# The second factor is eliminated down to one level less than it has, since the rows of its matrix add up to zero.
 _TERMS = ("c_mktsegment", "n_regionkey", "c_mktsegment:n_regionkey")
 ORACLES["permanova_two"] = f"""
-WITH src AS (SELECT s.*, n_regionkey FROM {SCALED} s JOIN nation ON c_nationkey = n_nationkey),
-{permuted("src", ["c_mktsegment", "n_regionkey"], 99)}, {group_ss("a", "c_mktsegment")}, {group_ss("b", "n_regionkey")}, {group_ss("c", "c_mktsegment, n_regionkey")},
-tot AS (SELECT sum({" + ".join(f"{c} * {c}" for c in VEC)}) AS sst, count(*) AS n FROM base),
-w AS (SELECT perm, a.ss AS s1, b.ss AS s2, c.ss - a.ss - b.ss AS s3, sst - c.ss AS sr, sst, n,
-      a.cells - 1 AS d1, b.cells - 1 AS d2, c.cells - a.cells - b.cells + 1 AS d3, n - c.cells AS dr
-      FROM a JOIN b USING (perm) JOIN c USING (perm) CROSS JOIN tot),
+WITH {permuted(CUSTOMERS, ["c_mktsegment", "n_regionkey"], 999)}, {group_ss("ga", "c_mktsegment")}, {group_ss("gc", "c_mktsegment, n_regionkey")},
+tot AS (SELECT sum({_SQUARE}) AS sst, count(*) AS n FROM base),
+level AS (SELECT n_regionkey, row_number() OVER (ORDER BY n_regionkey) - 1 AS b FROM (SELECT DISTINCT n_regionkey FROM cells)),
+sized AS (SELECT c_mktsegment, n_regionkey, b, m, sum(m) OVER (PARTITION BY c_mktsegment) AS ma, sum(m) OVER (PARTITION BY n_regionkey) AS mb FROM cells JOIN level USING (n_regionkey)),
+g AS (SELECT x.b, y.b AS c, -sum(x.m * y.m / x.ma) AS v FROM sized x JOIN sized y USING (c_mktsegment) GROUP BY ALL UNION ALL SELECT DISTINCT b, b, CAST(mb AS DOUBLE) FROM sized),
+summed AS (SELECT perm, c_mktsegment, n_regionkey, {", ".join(f"sum({c}) AS {c}" for c in VEC)} FROM perms GROUP BY ALL),
+of_a AS (SELECT perm, c_mktsegment, {", ".join(f"sum({c}) AS {c}" for c in VEC)} FROM summed GROUP BY ALL),
+rhs AS (
+  SELECT s.perm, z.b, {", ".join(f"sum(s.{c} - z.m / z.ma * a.{c}) AS {c}" for c in VEC)}
+  FROM summed s JOIN sized z USING (c_mktsegment, n_regionkey) JOIN of_a a ON a.perm = s.perm AND a.c_mktsegment = s.c_mktsegment GROUP BY ALL),
+gb AS (SELECT perm, ss FROM {eliminated(4)}),
+nb AS (SELECT count(*) AS levels FROM level),
+w AS (SELECT perm, ga.ss AS s1, gb.ss AS s2, gc.ss - ga.ss - gb.ss AS s3, sst - gc.ss AS sr, sst, n,
+      ga.cells - 1 AS d1, levels - 1 AS d2, gc.cells - ga.cells - levels + 1 AS d3, n - gc.cells AS dr
+      FROM ga JOIN gb USING (perm) JOIN gc USING (perm) CROSS JOIN tot CROSS JOIN nb),
 t AS ({" UNION ALL ".join(f"SELECT perm, '{n}' AS term, d{i} AS df, s{i} AS ss, sst, (s{i} / d{i}) / (sr / dr) AS f FROM w" for i, n in enumerate(_TERMS, 1))}
       UNION ALL SELECT perm, 'residual', dr, sr, sst, NULL FROM w UNION ALL SELECT perm, 'total', n - 1, sst, sst, NULL FROM w),
 p AS (SELECT t.term, (sum(CASE WHEN t.f >= o.f - 1.5e-8 THEN 1 ELSE 0 END) + 1) / (count(*) + 1) AS p

@@ -1,4 +1,4 @@
-"""Every query against its SQL in DuckDB; the smallest tables, and sf0.01 where a query needs a full grid."""
+"""Every query against its SQL in DuckDB on the smallest tables."""
 
 import os
 
@@ -9,8 +9,6 @@ import __spark_entry__ as entry_module
 
 ROOT = "/root/testdata"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-# sequential sums equal the SQL's marginal ones only where every cell of the grid is filled
-NEEDS_FULL_GRID = {"permanova_two"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test tables")
 
@@ -21,7 +19,7 @@ def key(row):
 
 @pytest.mark.parametrize("name", sorted(entry_module.queries()))
 def test_query(spark, name):
-    folder = f"{ROOT}/sf{'0.01' if name in NEEDS_FULL_GRID else '0.001'}"
+    folder = f"{ROOT}/sf0.001"
     df = entry_module.queries()[name](spark, folder)
     cols = sorted(df.columns)
     got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=key)

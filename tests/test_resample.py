@@ -1,5 +1,6 @@
 """Bootstrap, permutation tests, densities, cleaning and clusters."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -11,10 +12,43 @@ from driftline.operators import cleaning, clusters, density, resample
 from driftline.operators.cleaning import Clamp
 
 
-def test_poisson_weights(spark):
-    df = spark.range(200_000).select(resample.poisson_weight(F.substring(F.md5(F.col("id").cast("string")), 1, 8)).alias("w"))
-    r = df.agg(F.avg("w").alias("m"), F.var_samp("w").alias("v"), F.avg((F.col("w") == 0).cast("double")).alias("z")).first()
-    assert r.m == pytest.approx(1, abs=0.01) and r.v == pytest.approx(1, abs=0.02) and r.z == pytest.approx(math.exp(-1), abs=0.005)
+def test_poisson_counts():
+    rng = np.random.default_rng(1)
+    table = np.searchsorted(np.array(resample.poisson_limits()), np.arange(1 << 16), "right").astype(np.uint8)
+    seeds = rng.integers(0, 2**32, (2, 4000), dtype=np.uint32)
+    w = resample.poisson_counts(*seeds, 201, table).astype(float)
+    assert w.shape == (4000, 201)
+    assert w.mean() == pytest.approx(1, abs=0.005) and w.var() == pytest.approx(1, abs=0.01) and (w == 0).mean() == pytest.approx(math.exp(-1), abs=0.002)
+    r = np.corrcoef(w.T)  # replicates are independent of one another
+    assert np.abs(r[np.triu_indices(201, 1)]).max() < 0.09
+    assert np.array_equal(resample.poisson_counts(seeds[0][5:9], seeds[1][5:9], 200, table), w[5:9, :200])
+
+
+def test_bootstrap_against_drawn_weights(spark):
+    """Sums of every replicate, from weights written out row by row."""
+    data = [(None if i % 10 == 0 else "pq"[i % 2], i, i % 3 == 0, None if i % 7 == 0 else float(i * i % 101)) for i in range(300)] + [("r", 300, True, 1.0)]
+    df = spark.createDataFrame(data, "g string, id int, late boolean, x double")
+    got = {(r["g"], r["rep"]): r["diff"] for r in resample.bootstrap_replicates(df.repartition(3), ["g"], ["x"], F.col("late"), ["id"], 7).collect()}
+    limits = resample.poisson_limits()
+
+    def weight(i, rep):
+        digest = hashlib.md5(str(i).encode()).hexdigest()
+        x = (int(digest[:8], 16) + rep // 2 * resample.STEP) % 2**32
+        x = (x ^ x >> 16) * resample.FIRST % 2**32
+        x = ((x ^ x >> 15) + int(digest[8:16], 16)) % 2**32 * resample.SECOND % 2**32
+        x ^= x >> 16
+        return sum(limit <= (x >> 16 * (rep % 2)) % 2**16 for limit in limits)
+
+    for g in (None, "p", "q", "r"):
+        for rep in range(7):
+            mean = []
+            for side in (True, False):
+                some = [(weight(i, rep), x) for k, i, late, x in data if k == g and late == side and x is not None]
+                n = sum(w for w, _ in some)
+                mean.append(sum(w * x for w, x in some) / n if n else None)
+            assert got[g, rep] == (pytest.approx(mean[0] - mean[1]) if None not in mean else None)
+    assert resample.bootstrap_replicates(df.limit(0), ["g"], ["x"], F.col("late"), ["id"], 7).count() == 0
+    assert resample.bootstrap_replicates(df, [], ["x"], F.col("late"), ["id"], 7).count() == 7
 
 
 def test_bootstrap(spark):
@@ -117,13 +151,51 @@ def test_permanova_two_factors_sequential(plots):
     assert "a:b" not in plain and plain["residual"]["ss"] == pytest.approx(sst - s2) and plain["residual"]["df"] == 56
 
 
-def test_permutations_keep_the_labels(plots):
+@pytest.mark.parametrize("rows", [1, 2, 3, 7, 60, 1000])
+def test_bijection(rows):
+    keys = resample.permutation_keys(200)
+    to = resample.permuted_numbers(np.arange(rows), rows, keys)
+    assert (np.sort(to, axis=1) == np.arange(rows)).all()
+    again = resample.permuted_numbers(np.arange(rows)[::-1], rows, keys[5:6])
+    assert (again[0][::-1] == to[5]).all()
+    if rows == 60:
+        seen = np.array([np.bincount(to[:, i], minlength=rows) for i in range(rows)])
+        assert ((seen - 200 / 60) ** 2).sum() / (200 / 60) < 60 * 59 + 6 * math.sqrt(2 * 60 * 59)  # every place is equally likely
+
+
+@pytest.mark.parametrize("held, cells_at_once", [(1 << 22, 1 << 20), (10, 2)])
+def test_permuted_sums(plots, monkeypatch, held, cells_at_once):
+    """Sums of every permutation, written out; also with few sums held in a task and cells taken in several passes."""
+    monkeypatch.setattr(resample, "SUMS_HELD", held)
+    monkeypatch.setattr(resample, "CELLS_AT_ONCE", cells_at_once)
     df, data = plots
-    perms = resample.permuted_factors(df, "id", ["a", "b"], ["u"], 20, blocks=4)
-    counts = perms.groupBy("perm", "a", "b").count().groupBy("perm").agg(F.sort_array(F.collect_list(F.struct("a", "b", "count"))).alias("c"))
-    assert len({str(r.c) for r in counts.collect()}) == 1 and counts.count() == 21
-    moved = perms.filter("perm > 0").groupBy("perm").agg(F.avg(F.when(F.col("a") == "p", F.col("u"))).alias("m")).collect()
-    assert len({round(r.m, 9) for r in moved}) > 15
+    cells = resample.cell_bounds(df, ["a", "b"], 3)
+    got = {(r["perm"], r["cell"]): r["u"] for r in resample.permuted_sums(df, cells, "id", ["u"], 20, 4).collect()}
+    ordered = sorted((r[1], r[2]) for r in data)
+    number = {c: i for i, c in enumerate(sorted(set(ordered)))}
+    by_id = sorted(data)
+    to = resample.permuted_numbers(np.arange(len(data)), len(data), resample.permutation_keys(20))
+    for p in range(20):
+        want = dict.fromkeys(number.values(), 0.0)
+        for i, r in enumerate(by_id):
+            want[number[ordered[to[p, i]]]] += r[3]
+        for c, v in want.items():
+            assert got[p + 1, c] == pytest.approx(v)
+
+
+def test_two_factors_with_empty_cells_either_way_round(spark):
+    rng = np.random.default_rng(12)
+    data = [(i, "abcdefg"[int(rng.integers(7))], int(rng.integers(3)), float(rng.normal()), float(rng.normal())) for i in range(90)]
+    data = [r for r in data if (r[1], r[2]) not in {("a", 0), ("b", 2), ("c", 1)}]
+    df = spark.createDataFrame(data, "id int, p string, q int, u double, v double")
+    y = np.array([r[3:] for r in data])
+    for one, two in ((1, 2), (2, 1)):
+        names = [" pq"[one], " pq"[two]]
+        got = {r["term"]: r for r in rows(resample.permanova(df, "id", names, ["u", "v"], 19), "ord")}
+        s1, s2, s3 = (fitted_ss(design(data, *f), y) for f in (((one,),), ((one,), (two,)), ((one, two),)))
+        assert got[names[0]]["ss"] == pytest.approx(s1) and got[names[1]]["ss"] == pytest.approx(s2 - s1)
+        assert got[":".join(names)]["ss"] == pytest.approx(s3 - s2)
+        assert [got[t]["df"] for t in (*names, ":".join(names))] == [(6 if one == 1 else 2), (2 if one == 1 else 6), len({r[1:3] for r in data}) - 9]
 
 
 # --- densities ---------------------------------------------------------------------------------

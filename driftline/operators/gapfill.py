@@ -1,8 +1,8 @@
 """Filling gaps by regressions per calendar month, one dependency level at a time.
 
-All models of a level are fitted from one aggregate: counts, means and covariances of their complete
-cases per (key, target). What is left per model is a system of a few equations, solved
-on those rows. Coefficients are written, size-checked and joined back to the data rows.
+All models of a level are fitted from one aggregate of the data rows: counts, means and covariances per (key, pattern of missing values). The complete cases of a
+model are the patterns in which its columns are present, so its moments are put together from theirs and no data row is copied per model.
+What is left per model is a system of a few equations, solved on those rows. Coefficients are written and joined back to the data rows.
 """
 
 from __future__ import annotations
@@ -10,14 +10,16 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .joins import attach
 
 # the solver travels with the plan, so workers need no copy of this package
@@ -109,6 +111,29 @@ def solve_models(models: Sequence[Model], width: int) -> Callable[[Iterator[pd.D
     return solve
 
 
+def model_columns(models: Sequence[Model]) -> tuple[list[str], list[tuple[int, int]]]:
+    """All columns of the models in order, and the pairs of their numbers that stand in one model."""
+    columns = list(dict.fromkeys(c for m in models for c in (*m.predictors, m.target)))
+    at = columns.index
+    pairs = {tuple(sorted((at(a), at(b)))) for m in models for a, b in combinations_with_replacement((*m.predictors, m.target), 2)}
+    return columns, sorted(pairs)
+
+
+def pattern_moments(df: DataFrame, keys: Sequence[str], models: Sequence[Model]) -> DataFrame:
+    """``keys, there, n`` and ``m_i`` and ``c_i_j``, means and covariances of the rows of each pattern of present columns.
+
+    Columns are numbered in the order of :func:`model_columns`; only pairs that some model needs are computed.
+    """
+    columns, pairs = model_columns(models)
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)])
+    present = F.array(*[F.col(f"__x{i}").isNotNull() for i in range(len(columns))])
+    return rows.groupBy(*keys, present.alias("there")).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(f"__x{i}").alias(f"m_{i}") for i in range(len(columns))],
+        *[F.covar_pop(f"__x{i}", f"__x{j}").alias(f"c_{i}_{j}") for i, j in pairs],
+    )
+
+
 def fit_models(df: DataFrame, keys: Sequence[str], models: Sequence[Model]) -> DataFrame:
     """Fit all ``models`` per key from one aggregate: ``keys, target, n, coef, rss, aic``.
 
@@ -117,19 +142,25 @@ def fit_models(df: DataFrame, keys: Sequence[str], models: Sequence[Model]) -> D
     """
     models = list(models)
     width = max(len(m.predictors) for m in models)
-    names = [f"v{i}" for i in range(width + 1)]
-    num = lambda c: F.col(c).cast("double")
+    held = pattern_moments(df, keys, models)
+    at = model_columns(models)[0].index
+    zero = F.lit(0.0)
     cases = []
     for m in models:
-        # shorter models are padded with a constant, which the solver never selects
-        values = [num(p) for p in m.predictors] + [F.lit(0.0)] * (width - len(m.predictors)) + [num(m.target)]
-        cases.append(F.struct(F.lit(m.target).alias("target"), *[v.alias(c) for v, c in zip(values, names, strict=True)]))
-    rows = df.select(*keys, F.inline(F.array(*cases))).dropna(subset=names)
-    sums = rows.groupBy(*keys, "target").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(c) for c in names]).alias("mean"),
-        F.array(*[F.covar_pop(a, b) for a, b in combinations_with_replacement(names, 2)]).alias("cov"),
-    )
+        # shorter models are padded with zeros, which the solver never selects
+        slots = [at(p) for p in m.predictors] + [None] * (width - len(m.predictors)) + [at(m.target)]
+        mean = F.array(*[zero if i is None else F.col(f"m_{i}") for i in slots])
+        cov = [zero if None in (i, j) else F.col(f"c_{min(i, j)}_{max(i, j)}") for i, j in combinations_with_replacement(slots, 2)]
+        whole = reduce(lambda x, y: x & y, [F.col("there")[i] for i in slots if i is not None])
+        cases.append(F.when(whole, F.struct(F.lit(m.target).alias("target"), mean.alias("mean"), F.array(*cov).alias("cov"))))
+    parts = held.select(*keys, "n", F.inline(F.array_compact(F.array(*cases))))
+    n = F.sum("n")
+    model = Window.partitionBy(*keys, "target")  # rows are patterns of missing values
+    both = parts.withColumn("__mean", F.array(*[F.sum(F.col("n") * F.col("mean")[i]).over(model) / n.over(model) for i in range(width + 1)]))
+    apart = lambda i: F.col("mean")[i] - F.col("__mean")[i]
+    # what a pattern adds to a covariance: its own and the distance of its means from those of all
+    added = [F.sum(F.col("n") * (F.col("cov")[k] + apart(i) * apart(j))) / n for k, (i, j) in enumerate(combinations_with_replacement(range(width + 1), 2))]
+    sums = both.groupBy(*keys, "target").agg(n.alias("n"), F.first("__mean").alias("mean"), F.array(*added).alias("cov"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema.fields if f.name not in ("mean", "cov"))
     return sums.mapInPandas(solve_models(models, width), f"{kept}, {MODEL_SCHEMA}")
 
@@ -190,11 +221,12 @@ def cascade(df: DataFrame, keys: Sequence[str], steps: Sequence[Model],
             after: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """Run all steps level by level; ``after[target]`` is applied to the table once that target is filled.
 
-    Per level the data rows are read once, for the aggregate. The fitted coefficients are written, so
-    earlier levels are not fitted again.
+    Per level the data rows are read once, for the aggregate, and once to be filled and written, so the next level reads a written table: neither
+    fits nor joins of earlier levels are in its plan.
     """
     after = after or {}
-    for level in levels(steps):
+    for i, level in enumerate(levels(steps)):
+        df = materialize(df) if i else df
         df = fill(df, keys, level, fit_models(df, keys, level))
         for m in level:
             if m.target in after:

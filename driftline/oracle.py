@@ -1,11 +1,13 @@
 """SQL for the queries of :mod:`driftline.catalog`, with the same column names.
 
 Written for DuckDB over views named like the tables. Queries whose result depends on a library's random
-start (clusters) or on a solver (the cascade) have none.
+start (clusters) have none.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 ORACLES: dict[str, str] = {}
 
 
@@ -630,6 +632,55 @@ WITH g AS {GAPPY} SELECT month, {rnd("avg(coalesce(tax, (SELECT avg(tax) FROM g)
 
 
 
+def determinant(rows: list[list[str]]) -> str:
+    if len(rows) == 1:
+        return rows[0][0]
+    minors = [[r[:k] + r[k + 1 :] for r in rows[1:]] for k in range(len(rows))]
+    return "(" + " ".join(f"{'-' if k % 2 else '+'} {rows[0][k]} * {determinant(m)}" for k, m in enumerate(minors)) + ")"
+
+
+def backward(source: str, key: str, y: str, xs: list[str]) -> str:
+    """Subquery ``key, b0, b1, …``: backward selection by AIC from all predictors ``xs``, by Cramer's rule on the complete cases; a dropped predictor has NULL."""
+    k = len(xs)
+    subsets = [s for size in range(k, -1, -1) for s in combinations(range(k), size)]
+    name = lambda s: "".join(str(i + 1) for i in s) or "0"
+    c = lambda i, j: f"c{min(i, j) + 1}{max(i, j) + 1}"
+    moments = [f"covar_pop({xs[i]}, {xs[j]}) AS {c(i, j)}" for i in range(k) for j in range(i, k)]
+    moments += [f"covar_pop({x}, {y}) AS c{i + 1}y" for i, x in enumerate(xs)] + [f"avg({x}) AS m{i + 1}" for i, x in enumerate(xs)]
+    complete = " AND ".join(f"{x} IS NOT NULL" for x in [y, *xs])
+    gram = f"(SELECT {key}, count(*) AS n, avg({y}) AS my, var_pop({y}) AS cyy, {', '.join(moments)} FROM {source} WHERE {complete} GROUP BY {key})"
+    slopes = []
+    for s in subsets[:-1]:
+        matrix = [[c(i, j) for j in s] for i in s]
+        for at, i in enumerate(s):
+            swapped = [r[:at] + [f"c{s[row] + 1}y"] + r[at + 1 :] for row, r in enumerate(matrix)]
+            slopes.append(f"{determinant(swapped)} / {determinant(matrix)} AS b{name(s)}_{i + 1}")
+    left = lambda s: " ".join(f"- b{name(s)}_{i + 1} * c{i + 1}y" for i in s)
+    aics = [f"n * ln(cyy {left(s)}) + {2 * (len(s) + 1)} AS a{name(s)}" for s in subsets]
+
+    def chosen(s) -> str:
+        """Name of the subset that selection ends at from ``s``; of equal scores the one without the first predictor wins."""
+        if not s:
+            return f"'{name(s)}'"
+        trials = [tuple(i for i in s if i != gone) for gone in s]
+        best = f"least({', '.join('a' + name(t) for t in trials)})" if len(trials) > 1 else f"a{name(trials[0])}"
+        rest = " ".join(f"WHEN a{name(t)} = {best} THEN {chosen(t)}" for t in trials)
+        return f"CASE WHEN {best} >= a{name(s)} THEN '{name(s)}' {rest} END"
+
+    whens = lambda i: " ".join(f"WHEN '{name(s)}' THEN b{name(s)}_{i + 1}" for s in subsets if i in s)
+    picked = ", ".join(f"CASE sel {whens(i)} END AS b{i + 1}" for i in range(k))
+    b0 = "my " + " ".join(f"- coalesce(b{i + 1} * m{i + 1}, 0)" for i in range(k))
+    scored = f"(SELECT *, {', '.join(aics)} FROM (SELECT *, {', '.join(slopes)} FROM {gram}))"
+    ended = f"(SELECT *, {picked} FROM (SELECT *, {chosen(tuple(range(k)))} AS sel FROM {scored}))"
+    return f"(SELECT {key}, {b0} AS b0, {', '.join(f'b{i + 1}' for i in range(k))} FROM {ended})"
+
+
+def filled(source: str, fits: str, key: str, y: str, xs: list[str]) -> str:
+    """``source`` with the gaps of ``y`` filled from :func:`backward`."""
+    total = " ".join(f"+ CASE WHEN b{i + 1} IS NULL THEN 0 ELSE b{i + 1} * {x} END" for i, x in enumerate(xs))
+    return f"(SELECT s_.* REPLACE (coalesce({y}, b0 {total}) AS {y}) FROM {source} s_ LEFT JOIN {fits} f_ USING ({key}))"
+
+
 def two_predictors(source: str, key: str, y: str, x1: str, x2: str) -> str:
     """Subquery per key: slopes, residual sums and AIC of the model with both predictors, with either and with none."""
     gram = f"""(SELECT {key}, count(*) AS n, avg({x1}) AS m1, avg({x2}) AS m2, avg({y}) AS my,
@@ -662,6 +713,13 @@ h AS (SELECT g.* REPLACE (coalesce(price, i + s * l_quantity) AS price) FROM g L
 t AS (SELECT * FROM {stepwise("h", "month", "tax", "price", "l_discount")})
 SELECT {KEY}, {rnd("price", 2)}, {rnd("coalesce(tax, b0 + coalesce(b1 * price, 0) + coalesce(b2 * l_discount, 0))", 5, "tax")} FROM h LEFT JOIN t USING (month)"""
 
+ORACLES["cascade_fill"] = f"""
+WITH g AS {GAPPY}, f AS (SELECT month, regr_slope(price, l_quantity) AS s, regr_intercept(price, l_quantity) AS i FROM g GROUP BY month),
+h AS MATERIALIZED (SELECT g.* REPLACE (least(greatest(coalesce(price, i + s * l_quantity), 0), 1e6) AS price) FROM g LEFT JOIN f USING (month)),
+q AS MATERIALIZED (SELECT * FROM {filled("h", backward("h", "month", "qty", ["price", "l_discount"]), "month", "qty", ["price", "l_discount"])})
+SELECT {KEY}, {rnd("price", 2)}, {rnd("qty", 2)}, {rnd("tax", 4)}
+FROM {filled("q", backward("q", "month", "tax", ["price", "qty", "l_discount"]), "month", "tax", ["price", "qty", "l_discount"])}"""
+
 _RULES = f"""(SELECT (['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'])[r_regionkey % 4 + 1] AS variable,
   CASE WHEN r_regionkey % 2 = 0 THEN make_date(1996 + r_regionkey, 1, 1) END AS before,
   CASE WHEN r_regionkey <> 1 THEN 0.02::DOUBLE END AS lo, CASE WHEN r_regionkey <> 3 THEN r_regionkey * 10000 + 20.0::DOUBLE END AS hi FROM region)"""

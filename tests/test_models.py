@@ -254,3 +254,32 @@ def test_impute_and_single_predictor(sensor):
     filled = rows(gapfill.fill_from(df, ["m"], ["y", "x1"], "x1"), "id")
     _, b0, b, _ = lstsq(data, 1, [0])
     assert filled[0]["y"] == pytest.approx(b0 + b[0] * data[0][2])
+
+
+def test_moments_of_patterns(spark):
+    """Models of many missing-value patterns, far from zero, against least squares on their complete cases; plans hold no copies of rows and no earlier level."""
+    rng = np.random.default_rng(21)
+    data = []
+    for i in range(400):
+        x = [1e6 + float(v) for v in rng.normal(size=3)]
+        y = 2 * x[0] - x[1] + 0.5 * x[2] + float(rng.normal()) * 0.1
+        data.append((i, None if i % 50 == 0 else i % 2, *[None if rng.random() < 0.25 else v for v in (*x, y)]))
+    df = spark.createDataFrame(data, "id int, m int, x1 double, x2 double, x3 double, y double")
+    models = [Model("y", ("x1", "x2", "x3")), Model("x3", ("x1",)), Model("x2", ("x3", "x1"))]
+    got = {(r["m"], r["target"]): r for r in gapfill.fit_models(df, ["m"], models).collect()}
+    at = {"x1": 2, "x2": 3, "x3": 4, "y": 5}
+    for m in (None, 0, 1):
+        for model in models:
+            rows_ = [r for r in data if r[1] == m and all(r[at[c]] is not None for c in (*model.predictors, model.target))]
+            r = got.get((m, model.target))
+            if len(rows_) <= len(model.predictors) + 1:
+                continue
+            x = np.array([[r_[at[c]] - 1e6 for c in model.predictors] for r_ in rows_])
+            y = np.array([r_[at[model.target]] for r_ in rows_])
+            b = np.linalg.lstsq(np.column_stack([np.ones(len(x)), x]), y - y.mean(), rcond=None)[0]
+            assert r["n"] == len(rows_)
+            for c, v in zip(model.predictors, b[1:]):
+                assert r["coef"][c] == pytest.approx(v, rel=1e-6, abs=1e-6)
+    steps = [Model("x3", ("x1",)), Model("x2", ("x3", "x1")), Model("y", ("x1", "x2", "x3"), True)]
+    plan = gapfill.cascade(df, ["m"], steps)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 2 and "Generate" not in plan

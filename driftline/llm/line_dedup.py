@@ -3,7 +3,8 @@
 A line is the set of its lower-cased words. Tokens are ordered by rarity: how often they occur in the corpus is counted in a table of fixed size (the
 count of a token's hash bucket), the hash breaks ties, so every line sorts its tokens the same way without a join. Two lines that are similar enough must share
 a token of their prefixes; the length filter, the positional filter and a parity bitmap of the tokens thin out the pairs a shared prefix token proposes, and the words of
-what is left decide. Of similar lines the later ones, by document id and line number, are removed.
+what is left decide. Of similar lines the later ones, by document id and line number, are removed; a line without words
+is never one of them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from ..session import materialize
 from .common import SPACE, table
 
 SIMILARITY = 0.85
-LEAST_TOKENS = 5  # a line with fewer distinct words is never removed: headings and short sentences carry no evidence of copying
 BUCKETS = 1 << 20
 BROADCAST_LINES = 1_000_000  # line numbers of documents to look at again; more than that are joined by a shuffle
 
@@ -41,8 +41,11 @@ def rarity_table(docs: DataFrame) -> DataFrame:
     return packed.select(F.expr("transform(p, x -> cast(x & 255 AS tinyint))").alias("rarity"))
 
 
-def line_sets(docs: DataFrame, rarity: DataFrame, similarity: float, least_tokens: int) -> DataFrame:
-    """``doc_id, line_no, n, k1, k2, parity, prefix`` of every line with enough distinct tokens; ``k1, k2`` digest the token set."""
+def line_sets(docs: DataFrame, rarity: DataFrame, similarity: float) -> DataFrame:
+    """``doc_id, line_no, n, k1, k2, parity, prefix`` of every line with a word; ``k1, k2`` digest the token set.
+
+    A line so short that only an equal one is similar enough (one word more would already be too much) has no prefix: equal sets meet by ``k1, k2``.
+    """
     # A subquery may not stand in a lambda; as a column that is used once it is folded into one, so that no row carries the array.
     level = F.col("__level")
     lines = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -57,9 +60,9 @@ def line_sets(docs: DataFrame, rarity: DataFrame, similarity: float, least_token
         F.xxhash64("t").alias("k1"),
         F.xxhash64(F.lit(1), "t").alias("k2"),
         F.expr("aggregate(t, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 AS int)))").alias("parity"),
-        F.slice("t", 1, (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")).alias("prefix"),
+        F.slice("t", 1, F.when(n >= (n + 1) * similarity - 1e-9, n - F.ceil(n * similarity - 1e-9) + 1).otherwise(0).cast("int")).alias("prefix"),
     )
-    return step.select("doc_id", "line_no", F.inline(F.when(n >= least_tokens, F.array(found))))
+    return step.select("doc_id", "line_no", F.inline(F.when(n > 0, F.array(found))))
 
 
 def _posts(lines: DataFrame, tag: str) -> DataFrame:
@@ -106,14 +109,14 @@ def _similar(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return materialize(met.filter(good).select(F.col("l_doc_id").alias("doc_id"), F.col("l_line_no").alias("line_no")).distinct())
 
 
-def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, line_no`` of every line that is similar to an earlier one.
 
     Lines with one token set are one line from the start. In each list of a prefix token the earliest line is compared with all others
     first; a line found similar is settled and looks for no further match, though later lines may still match it. So a group of variants costs about its size.
     """
     docs = docs.select("doc_id", "text")
-    lines = materialize(line_sets(docs, materialize(rarity_table(docs)), similarity, least_tokens))
+    lines = materialize(line_sets(docs, materialize(rarity_table(docs)), similarity))
     first = F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("f")
     reps = materialize(lines.groupBy("k1", "k2").agg(first).select("k1", "k2", "f.*"))
     firsts = reps.select("k1", "k2", F.col("doc_id").alias("fd"), F.col("line_no").alias("fl"))
@@ -129,13 +132,13 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, least_tokens
     return copies.unionByName(settled).unionByName(more).distinct()
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with ``text`` without its repeated lines, and ``removed``, the numbers of those lines from 0 in order.
 
     A text of which every line repeats becomes empty. A NULL id or text is left as it is; in rows that share an id, a line number goes in all or none.
     Columns ``docs`` has besides stay; a column named ``removed`` is replaced.
     """
-    gone = materialize(repeated_lines(docs, similarity, least_tokens).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list("line_no")).alias("__gone")))
+    gone = materialize(repeated_lines(docs, similarity).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list("line_no")).alias("__gone")))
     size = gone.agg(F.count(F.lit(1)), F.sum(F.size("__gone"))).first()
     docs = docs.drop("removed")
     both = docs.join(F.broadcast(gone) if size[0] + (size[1] or 0) <= BROADCAST_LINES else gone, docs["doc_id"] == gone["__id"], "left")
@@ -160,7 +163,7 @@ WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)),
 sets AS (
   SELECT doc_id, line_no, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS w FROM lines),
-big AS (SELECT * FROM sets WHERE len(w) >= 5),
+big AS (SELECT * FROM sets WHERE len(w) > 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, line_no) AS r FROM big),
 reps AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS id, doc_id, line_no, w, len(w) AS n FROM ranked WHERE r = 1),
 tok AS (SELECT id, n, unnest(w) AS t FROM reps),

@@ -70,12 +70,17 @@ def quality_rules(docs: DataFrame, lost_share: float = LOST_SHARE, with_row: boo
         F.sort_array(F.expr("""CASE WHEN n < 3 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, n - 3),
             i -> shiftleft(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), bits) | cast(i AS bigint)) END""")),
     )
+    # windows whose shortened hashes meet, by a second hash; where that meets too, the words decide
     step = step.withColumn(
-        "again",
-        F.sort_array(F.expr("""transform(filter(windows, (x, j) ->
+        "met",
+        F.sort_array(F.expr("""transform(transform(filter(windows, (x, j) ->
             shiftright(x, bits) = shiftright(get(windows, j - 1), bits) OR shiftright(x, bits) = shiftright(get(windows, j + 1), bits)),
-            x -> x & (shiftleft(1L, bits) - 1))""")),
+            x -> cast(x & (shiftleft(1L, bits) - 1) AS int)),
+            i -> named_struct('h', xxhash64(1L, get(w, i), get(w, i + 1), get(w, i + 2)), 'i', i))""")),
     )
+    same = "(x.h = {y}.h AND get(w, x.i) = get(w, {y}.i) AND get(w, x.i + 1) = get(w, {y}.i + 1) AND get(w, x.i + 2) = get(w, {y}.i + 2))"
+    before, after = (same.replace("{y}", f"get(met, j {d} 1)") for d in "-+")
+    step = step.withColumn("again", F.sort_array(F.expr(f"transform(filter(met, (x, j) -> {before} OR {after}), x -> cast(x.i AS bigint))")))
     step = step.withColumns({
         "n_repeat_words": F.expr("""aggregate(transform(again, (p, j) -> least(3L, coalesce(get(again, j + 1) - p, 3L))), 0L, (a, x) -> a + x)"""),
         "judged": F.transform("lines", lambda x, j: F.struct(x.alias("line"), line_fails(x, F.get("line_words", j)).alias("fails"))),

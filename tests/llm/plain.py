@@ -47,7 +47,7 @@ def keep_clean(docs, phrases):
     return out
 
 
-def dedup_lines(docs, similarity=0.85, least=5):
+def dedup_lines(docs, similarity=0.85, least=1):
     earlier, out = [], []
     for i, text in sorted(docs):
         kept = []

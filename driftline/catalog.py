@@ -324,8 +324,7 @@ def history_join(spark, sf):
 def avg_rank(spark, sf):
     """Ranks with ties averaged, both ways, in groups of any size."""
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 100).alias("step"))
-    up = ranking.average_rank(c, ["c_mktsegment"], "step", "rank_up")
-    return ranking.average_rank(up, ["c_mktsegment"], "step", "rank_down", descending=True)
+    return ranking.average_ranks(c, ["c_mktsegment"], "step", {"rank_up": False, "rank_down": True})
 
 
 @query

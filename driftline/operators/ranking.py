@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +16,16 @@ from .ordered import distinct_ranks, ordered_blocks, running, value_counts
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank", descending: bool = False,
                  blocks: int | None = None) -> DataFrame:
     """Rank within the group with ties averaged; NULL values get a NULL rank."""
+    return average_ranks(df, keys, value, {name: descending}, blocks)
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, names: Mapping[str, bool], blocks: int | None = None) -> DataFrame:
+    """Ranks in several directions, ``names`` maps columns to whether they descend, from one index of counted values and one join."""
     ranks = distinct_ranks(df, keys, value, blocks)
-    before = F.col("total") - F.col("below") - F.col("cnt") if descending else F.col("below")
-    ranks = ranks.select(*keys, value, (before + (F.col("cnt") + 1) / 2.0).alias(name))
-    return null_safe_join(df, ranks, [*keys, value])
+    up, down = F.col("below"), F.col("total") - F.col("below") - F.col("cnt")
+    middle = (F.col("cnt") + 1) / 2.0
+    made = [((down if descending else up) + middle).alias(name) for name, descending in names.items()]
+    return null_safe_join(df, ranks.select(*keys, value, *made), [*keys, value])
 
 
 def adjust_fdr(df: DataFrame, p: str, name: str = "p_adj", family: Sequence[str] = (), blocks: int | None = None):

@@ -37,9 +37,9 @@ def sample_by_hash(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
 
 def without_ids(docs: DataFrame, ids: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
     """Rows of ``docs`` whose ``doc_id`` is not among ``ids`` (one column); a NULL id stays. Up to ``broadcast_ids`` ids go to the rows, more are joined by a shuffle."""
-    out = materialize(ids.toDF("__id").distinct())
+    out = materialize(ids.toDF("id").distinct())
     out = F.broadcast(out) if out.count() <= broadcast_ids else out
-    return docs.join(out, docs["doc_id"] == F.col("__id"), "left_anti")
+    return docs.alias("d").join(out.alias("i"), F.col("d.doc_id") == F.col("i.id"), "left_anti")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -138,16 +138,16 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     A text of which every line repeats becomes empty. A NULL id or text is left as it is; in rows that share an id, a line number goes in all or none.
     Columns ``docs`` has besides stay; a column named ``removed`` is replaced.
     """
-    gone = materialize(repeated_lines(docs, similarity).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list("line_no")).alias("__gone")))
-    size = gone.agg(F.count(F.lit(1)), F.sum(F.size("__gone"))).first()
+    gone = materialize(repeated_lines(docs, similarity).groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list("line_no")).alias("gone")))
+    size = gone.agg(F.count(F.lit(1)), F.sum(F.size("gone"))).first()
     docs = docs.drop("removed")
-    both = docs.join(F.broadcast(gone) if size[0] + (size[1] or 0) <= BROADCAST_LINES else gone, docs["doc_id"] == gone["__id"], "left")
-    both = both.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))
-    return both.select(
-        *[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.coalesce("__gone", F.expr("cast(array() AS array<int>)")).alias("removed")
-    )
+    # the document is one column here, so no name of its columns meets one of the steps
+    both = docs.select(F.struct(*docs.columns).alias("doc")).join(F.broadcast(gone) if size[0] + (size[1] or 0) <= BROADCAST_LINES else gone, F.col("doc.doc_id") == F.col("id"), "left")
+    both = both.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("doc.text", "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    own = [text.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns]
+    return both.select(*own, F.coalesce("gone", F.expr("cast(array() AS array<int>)")).alias("removed"))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def frame(spark, rows):
 LONG = " ".join(f"w{i % 4999}" for i in range(60_000))
 PROSE = " ".join(f"word{i}" for i in range(80)) + "."
 ODD = [(1, PROSE), (1, PROSE), (2, None), (None, PROSE), (3, ""), (4, " \n\t "), (5, LONG), (6, PROSE), (7, "a b"), (8, "For " * 300), (None, None), (9, PROSE.upper())]
-CLASHES = ["n", "w", "row", "lines", "score", "group", "sketch", "component", "node", "removed", "seed", "words", "k1", "text_", "__id_", "lang", "hub"]
+CLASHES = ["n", "w", "row", "lines", "score", "group", "sketch", "component", "node", "removed", "seed", "words", "k1", "text_", "__id_", "__id", "__gone", "__lines", "id", "gone", "doc", "lang", "hub"]
 
 
 def odd(spark, rows=ODD):

@@ -720,14 +720,14 @@ def clean_series(spark, sf):
 @query
 def pair_squares(spark, sf):
     """Squared distances over all pairs of each group, without forming pairs."""
-    out = clusters.pair_squares(ranking.zscores(nation_features(spark, sf), FEATURES), ["c_mktsegment"], FEATURES)
+    out = clusters.pair_squares(customer_features(spark, sf), ["c_mktsegment"], CUSTOMER_FEATURES)
     return rounded(out, 6, "sum_sq", "mean_sq")
 
 
 @query
 def centroid_distance(spark, sf):
     """Distance of each group's mean to the overall mean."""
-    out = clusters.centroid_distance(ranking.zscores(nation_features(spark, sf), FEATURES), ["c_mktsegment"], FEATURES)
+    out = clusters.centroid_distance(customer_features(spark, sf), ["c_mktsegment"], CUSTOMER_FEATURES)
     return rounded(out, 6, "distance")
 
 
@@ -748,15 +748,14 @@ def split_clusters(spark, sf):
 @query
 def elbow(spark, sf):
     """Within-cluster sum of squares for 1 to 10 clusters."""
-    out = clusters.elbow(spark, ranking.zscores(nation_features(spark, sf), FEATURES), FEATURES)
+    out = clusters.elbow(spark, customer_features(spark, sf), CUSTOMER_FEATURES)
     return rounded(out, 4, "wss")
 
 
 @query
 def gap_statistic(spark, sf):
     """Gap statistic for 1 to 10 clusters."""
-    rows = ranking.zscores(nation_features(spark, sf), FEATURES)
-    out = clusters.gap_statistic(spark, rows, FEATURES, ["c_nationkey", "c_mktsegment"])
+    out = clusters.gap_statistic(spark, customer_features(spark, sf), CUSTOMER_FEATURES, ["c_custkey"])
     return rounded(out, 4, "log_w", "expected", "gap", "se")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import floor_at, percent_difference
 from .joins import attach, null_safe_join
-from .ordered import distinct_ranks, quantiles, quantiles_of_ranks
+from .ordered import quantiles
 
 
 def means(df: DataFrame, keys: Sequence[str], cols: Sequence[str], suffix: str = "") -> DataFrame:
@@ -75,19 +75,18 @@ def date_range(df: DataFrame, date: str) -> DataFrame:
 
 def five_numbers(df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5, blocks: int | None = None):
     """Box summary per group: quartiles, fences, whisker ends inside the fences, count of outliers."""
-    ranked = distinct_ranks(df, keys, value, blocks)
-    q = quantiles_of_ranks(ranked, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    q = quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, blocks)
     iqr = F.col("q3") - F.col("q1")
     q = q.withColumns({"fence_low": F.col("q1") - reach * iqr, "fence_high": F.col("q3") + reach * iqr})
     v = F.col(value)
-    rows = attach(ranked.select(*keys, value, "cnt"), q, keys, "inner")
+    rows = attach(df.select(*keys, value).filter(v.isNotNull()), q, keys, "inner" if keys else "left")
     inside = (v >= F.col("fence_low")) & (v <= F.col("fence_high"))
     box = ["n", "q1", "median", "q3", "fence_low", "fence_high"]
     return rows.groupBy(*keys).agg(
         *[F.max(c).alias(c) for c in box],
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
-        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("cnt"))).alias("outliers"),
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.lit(1))).alias("outliers"),
     )
 
 

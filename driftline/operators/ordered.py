@@ -16,12 +16,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import WindowSpec
 
 from ..session import materialize
 from .joins import attach, null_safe_join
 
 BLOCK = "__block"
+SKETCH = 1000  # a quantile sketch is off by one rank in so many; three times that on either side is looked into exactly
+AT, PART = "__at", "__part"
 # A running aggregate is one of these; each can be continued from the same aggregate of the earlier blocks.
 _COMBINE = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -129,24 +132,60 @@ def quantiles_of_ranks(ranked: DataFrame, keys: Sequence[str], value: str, probs
     for name, p in probs.items():
         at = (F.col("n") - 1) * F.lit(float(p))
         share = at - F.floor(at)
-        result[name] = F.col(f"__lo_{name}") + share * (F.col(f"__hi_{name}") - F.col(f"__lo_{name}"))
+        low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        result[name] = F.when(low == high, low).otherwise(low + share * (high - low))  # equal infinities have no difference
     return ranked.groupBy(*keys).agg(*aggs).withColumns(result).select(*keys, "n", *probs)
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], blocks: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], blocks: int | None = None, sketch: int = SKETCH
 ) -> DataFrame:
-    """Exact quantiles per group, linear between the two nearest order statistics; no group is gathered.
+    """Exact quantiles per group, linear between the two nearest order statistics; no group is gathered or sorted.
 
-    ``probs`` maps output names to probabilities. Of a group that spans several blocks, only the blocks which
-    hold one of its order statistics are looked into.
+    ``probs`` maps output names to probabilities. Mergeable sketches give each probability a bracket, one counting pass keeps the values inside and
+    counts what lies between, and the order statistics come from those counts. A group whose statistic lies outside its bracket, and values
+    that are not numbers, are counted value by value and ordered in blocks. A group without a value has no row.
+    """
+    keys = list(keys)
+    if not isinstance(df.schema[value].dataType, NumericType):
+        return quantiles_of_counts(ordered_blocks(value_counts(df, keys, value), keys, [value], blocks), keys, value, probs)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    kept = ordered_blocks(bracket_counts(rows, keys, value, list(probs.values()), sketch), keys, [AT, PART], blocks)
+    found = materialize(quantiles_of_counts(kept, keys, value, probs, [AT, PART]))
+    missed = reduce(lambda a, b: a | b, [F.col(p).isNull() for p in probs]) & F.col("n").isNotNull()
+    if found.filter(missed).isEmpty():
+        return found
+    rest = null_safe_join(rows, found.filter(missed).select(*keys), keys, "left_semi") if keys else rows
+    again = quantiles_of_counts(ordered_blocks(value_counts(rest, keys, value), keys, [value], blocks), keys, value, probs)
+    return found.filter(~missed).unionByName(again)
+
+
+def bracket_counts(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], sketch: int = SKETCH) -> DataFrame:
+    """Counted values of :func:`quantiles`: every value inside a bracket; of a stretch outside, its ends and the number of rows between them.
+
+    The rows between have no ``value``; ``__at, __part`` order all. Whatever the sketch says, the counts are exact.
+    """
+    v, near = F.col(value), 3.0 / sketch
+    ends = [e for p in probs for e in (max(p - near, 0.0), min(p + near, 1.0))]
+    edges = rows.groupBy(*keys).agg(F.percentile_approx(value, ends, sketch).alias("__edges"))
+    edge = [F.get("__edges", F.lit(i)) for i in range(len(ends))]
+    inside = reduce(lambda a, b: a | b, [(v >= lo) & (v <= hi) for lo, hi in zip(edge[::2], edge[1::2])])
+    passed = reduce(lambda a, b: a + b, [((v >= e) if i % 2 == 0 else (v > e)).cast("int") for i, e in enumerate(edge)])
+    marked = attach(rows, edges, keys, "inner" if keys else "left").select(*keys, v, passed.alias("__passed"), F.when(inside, v).alias("__in"))
+    cells = marked.groupBy(*keys, "__passed", "__in").agg(F.count(F.lit(1)).alias("__n"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    lo, hi, n, one = F.col("__lo"), F.col("__hi"), F.col("__n"), F.lit(1).cast("long")
+    part = lambda x, at, number, cnt: F.struct(x.alias(value), at.alias(AT), F.lit(number).alias(PART), cnt.alias("cnt"))
+    flat = lo == hi
+    parts = F.array(part(lo, lo, 0, F.when(flat, n).otherwise(one)), part(F.when(flat, lo), lo, 1, F.when(flat, 0 * n).otherwise(n - 2)),
+                    part(hi, hi, 2, F.when(flat, 0 * n).otherwise(one)))
+    return cells.select(*keys, F.inline(parts)).filter("cnt > 0")
+
+
+def quantiles_of_counts(cut: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], order: Sequence[str] = ()) -> DataFrame:
+    """:func:`quantiles` of counted values that are already in blocks of ``order``, by default the value itself.
+
+    Of a group that spans several blocks, only the blocks which hold one of its order statistics are looked into.
     """
-    cut = ordered_blocks(value_counts(df, keys, value), keys, [value], blocks)
-    return quantiles_of_counts(cut, keys, value, probs)
-
-
-def quantiles_of_counts(cut: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """:func:`quantiles` of counted values that are already in blocks."""
     cnt = F.col("cnt")
     frames = group_frames(keys, [BLOCK], -1)
     spans = cut.groupBy(*keys, BLOCK).agg(F.sum("cnt").alias("__held")).withColumns(
@@ -158,7 +197,7 @@ def quantiles_of_counts(cut: DataFrame, keys: Sequence[str], value: str, probs:
         [(at >= F.col("__before")) & (at < F.col("__before") + F.col("__held")) for low in lows for at in (low, low + 1)],
     )
     rows = attach(cut, spans.filter(needed).drop("__held"), [*keys, BLOCK], "inner")
-    up = F.sum("cnt").over(group_frames([*keys, BLOCK], [value], 0)["up"])
+    up = F.sum("cnt").over(group_frames([*keys, BLOCK], list(order) or [value], 0)["up"])
     return quantiles_of_ranks(rows.withColumn("below", F.col("__before") + up - cnt), keys, value, probs)
 
 

@@ -773,15 +773,67 @@ SELECT event_id, user_id, {rnd("filled", 4, "cleaned")}, hit AND seen IS NOT NUL
 
 _D2 = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in VEC)
 ORACLES["pair_squares"] = f"""
-WITH s AS (SELECT *, row_number() OVER (ORDER BY c_nationkey, c_mktsegment) AS id FROM {SCALED}),
+WITH s AS (SELECT * FROM {CUSTOMERS}),
 d AS (SELECT a.c_mktsegment, {_D2} AS d2 FROM s a JOIN s b ON a.c_mktsegment = b.c_mktsegment AND a.id < b.id)
 SELECT c_mktsegment, (SELECT count(*) FROM s WHERE s.c_mktsegment = d.c_mktsegment) AS n, count(*) AS pairs,
   {rnd("sum(d2)", 6, "sum_sq")}, {rnd("avg(d2)", 6, "mean_sq")} FROM d GROUP BY c_mktsegment"""
 ORACLES["centroid_distance"] = f"""
-WITH s AS (SELECT * FROM {SCALED}), o AS (SELECT {", ".join(f"avg({c}) AS {c}" for c in VEC)} FROM s)
+WITH s AS (SELECT * FROM {CUSTOMERS}), o AS (SELECT {", ".join(f"avg({c}) AS {c}" for c in VEC)} FROM s)
 SELECT c_mktsegment, count(*) AS n, {rnd("sqrt(" + " + ".join(f"power(avg(s.{c}) - any_value(o.{c}), 2)" for c in VEC) + ")", 6, "distance")}
 FROM s CROSS JOIN o GROUP BY c_mktsegment"""
 
+_D2C = " + ".join(f"power(p.{c} - c.{c}, 2)" for c in VEC)
+_LARGEST = ", ".join(f"p.{c} DESC" for c in VEC)
+_CENTRES, _TURNS = 10, 10
+
+
+def _farthest(j: int) -> str:
+    """Starting centre ``j``: the row farthest from the mean, later from the centres before."""
+    before = "mean" if j == 1 else "(" + " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(1, j)) + ")"
+    return f"f{j} AS MATERIALIZED (SELECT {', '.join('p.' + c for c in VEC)} FROM p CROSS JOIN {before} c GROUP BY p.id, {', '.join('p.' + c for c in VEC)} ORDER BY min({_D2C}) DESC, {_LARGEST} LIMIT 1)"
+
+
+def _turn(t: int) -> str:
+    """One iteration: nearest centre of each row in each fit, then the centres' new places."""
+    return f"""a{t} AS MATERIALIZED (SELECT k, id, j FROM (SELECT c.k, c.j, p.id, row_number() OVER (PARTITION BY c.k, p.id ORDER BY {_D2C}, c.j) AS o FROM p CROSS JOIN c{t - 1} c) WHERE o = 1),
+c{t} AS MATERIALIZED (SELECT c.k, c.j, {', '.join(f'coalesce(avg(p.{c}), any_value(c.{c})) AS {c}' for c in VEC)}
+  FROM c{t - 1} c LEFT JOIN a{t} a ON a.k = c.k AND a.j = c.j LEFT JOIN p ON p.id = a.id GROUP BY c.k, c.j)"""
+
+
+ORACLES["elbow"] = f"""
+WITH p AS MATERIALIZED (SELECT id, {', '.join(VEC)} FROM {CUSTOMERS} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in VEC)}),
+mean AS MATERIALIZED (SELECT {', '.join(f'avg({c}) AS {c}' for c in VEC)} FROM p),
+{', '.join(_farthest(j) for j in range(1, _CENTRES + 1))},
+c0 AS MATERIALIZED (SELECT k, j, {', '.join(VEC)} FROM ({' UNION ALL '.join(f'SELECT {j} AS j, * FROM f{j}' for j in range(1, _CENTRES + 1))}) CROSS JOIN (SELECT unnest(range(1, {_CENTRES + 1})) AS k) WHERE j <= k),
+{', '.join(_turn(t) for t in range(1, _TURNS + 1))}
+SELECT CAST(k AS INT) AS k, {rnd("sum(d)", 4, "wss")} FROM (SELECT c.k, p.id, min({_D2C}) AS d FROM p CROSS JOIN c{_TURNS} c GROUP BY c.k, p.id) GROUP BY k"""
+
+
+
+def _vector_far(j: int) -> str:
+    before = "mean" if j == 1 else "(" + " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(1, j)) + ")"
+    return f"f{j} AS MATERIALIZED (SELECT p.v FROM p CROSS JOIN {before} c GROUP BY p.id, p.v ORDER BY min(list_distance(p.v, c.v)) DESC, p.v DESC LIMIT 1)"
+
+
+def _vector_mean(rows: str, keys: str) -> str:
+    return f"SELECT {keys} list(m ORDER BY i) AS v FROM (SELECT {keys} i, avg(v[i]) AS m FROM {rows} CROSS JOIN dims GROUP BY {keys} i) GROUP BY ALL"
+
+
+def _vector_turn(t: int) -> str:
+    return f"""a{t} AS MATERIALIZED (SELECT id, v, arg_min(j, d) AS j FROM (SELECT p.id, p.v, c.j, list_distance(p.v, c.v) AS d FROM p CROSS JOIN c{t - 1} c) GROUP BY id, v),
+c{t} AS MATERIALIZED ({_vector_mean(f"a{t}", "j,")})"""
+
+
+ORACLES["kmeans_clusters"] = f"""
+WITH p AS MATERIALIZED (SELECT row_number() OVER () AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+dims AS (SELECT unnest(range(1, (SELECT max(len(v)) FROM p) + 1)) AS i),
+mean AS MATERIALIZED ({_vector_mean("p", "")}),
+{', '.join(_vector_far(j) for j in (1, 2, 3))},
+c0 AS MATERIALIZED ({' UNION ALL '.join(f"SELECT {j} AS j, v FROM f{j}" for j in (1, 2, 3))}),
+{', '.join(_vector_turn(t) for t in range(1, _TURNS + 1))}
+SELECT CAST(j - 1 AS INT) AS cluster, count(*) AS n FROM (
+  SELECT p.id, arg_min(c.j, list_distance(p.v, c.v)) AS j FROM p CROSS JOIN c{_TURNS} c GROUP BY p.id) GROUP BY j"""
+
 # --- survey ------------------------------------------------------------------------------------
 
 ORACLES["survey_summary"] = f"""

@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from driftline.operators import aggregate, ranking
+from driftline.operators import aggregate, ordered, ranking
 from driftline.operators.cleaning import interpolate
 from driftline.operators.ordered import BLOCK, centred_window, distinct_ranks, numbered, ordered_blocks, quantiles, running
 
@@ -190,3 +190,37 @@ def test_empty(spark):
     assert quantiles(df, ["k"], "v", {"m": 0.5}).count() == 0
     assert ranking.adjust_fdr(df, "v").count() == 0
     assert ranking.average_rank(df, ["k"], "v").count() == 0
+
+
+@pytest.mark.parametrize("sketch", [1000, 20])
+def test_quantiles_by_brackets(spark, sketch):
+    """Ties, NULL keys and values, tiny groups and infinities; a coarse sketch must not change a result."""
+    rng = np.random.default_rng(12)
+    data = [("wide", float(v)) for v in rng.lognormal(3, 2, 20_000)] + [("ties", float(v)) for v in rng.integers(0, 3, 5_000)]
+    data += [(None, float(v)) for v in range(7)] + [("one", 4.0), ("none", None), ("wide", None)] + [("flat", 1.5)] * 500
+    data += [("odd", v) for v in [float("-inf"), -1.0, 0.0, 2.0, float("inf")] * 40]
+    probs = {"a": 0.0, "b": 0.025, "c": 0.5, "d": 0.975, "e": 1.0}
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    got = {r["g"]: r for r in ordered.quantiles(df, ["g"], "v", probs, sketch=sketch).collect()}
+    want = {g: np.array([v for k, v in data if k == g and v is not None]) for g in ("wide", "ties", None, "one", "flat")}
+    assert set(got) == {*want, "odd"} and got["odd"]["n"] == 200 and got["odd"]["c"] == 0.0 and got["odd"]["e"] == float("inf")
+    for g, v in want.items():
+        assert [got[g][p] for p in probs] == pytest.approx(list(np.quantile(v, list(probs.values()))), rel=1e-12) and got[g]["n"] == len(v)
+    whole = ordered.quantiles(df.filter("g = 'wide'"), [], "v", probs, sketch=sketch).collect()
+    assert [whole[0][p] for p in probs] == pytest.approx(list(np.quantile(want["wide"], list(probs.values()))), rel=1e-12)
+
+
+def test_bracket_missed_is_counted_in_full(spark, monkeypatch):
+    """A bracket in the wrong place costs a second pass, never the result."""
+    data = [(g, float(v)) for g, low in (("a", 0), ("b", 50)) for v in range(low, low + 999)]
+    df = spark.createDataFrame(data, "g string, v double")
+    monkeypatch.setattr(ordered.F, "percentile_approx", lambda *a: F.array(*[F.lit(3.0)] * 2, *[F.lit(4.0)] * 2))
+    got = {r["g"]: (r["n"], r["lo"], r["hi"]) for r in ordered.quantiles(df, ["g"], "v", {"lo": 0.5, "hi": 0.9}).collect()}
+    for g, low in (("a", 0), ("b", 50)):
+        assert got[g] == (999, *np.quantile(np.arange(low, low + 999), [0.5, 0.9]))
+
+
+def test_no_range_exchange_of_data_rows(spark):
+    """Of 40,000 different values only those in the brackets are ordered."""
+    df = spark.range(40_000).select((F.col("id") * 7919 % 40_009).cast("double").alias("v"))
+    assert ordered.bracket_counts(df, [], "v", [0.25, 0.75]).count() < 1_200

@@ -286,16 +286,56 @@ def test_clusters(points, bisecting):
     assert len(got) == 3
 
 
+def plain_squares(y, k, iterations=10):
+    """Farthest-first centres and Lloyd's iterations in plain numpy."""
+    far = lambda c: max(zip(((y[:, None] - c) ** 2).sum(-1).min(1), y.tolist()))[1]
+    c = np.array([far(y.mean(0)[None])])
+    while len(c) < k:
+        c = np.vstack([c, far(c)])
+    for _ in range(iterations):
+        near = ((y[:, None] - c) ** 2).sum(-1).argmin(1)
+        c = np.array([y[near == j].mean(0) if (near == j).any() else c[j] for j in range(k)])
+    return ((y[:, None] - c) ** 2).sum(-1).min(1).sum()
+
+
+def plain_bits(key, draw, i, d, seed):
+    """The generator in whole numbers."""
+    digest = hashlib.md5(f"{key}|{seed}".encode()).hexdigest()
+    mix = lambda v: int(resample.mixed(np.array([v % 2**32], np.uint32))[0])
+    return mix(mix(int(digest[:8], 16) + (draw * d + i) * resample.STEP) + int(digest[8:16], 16))
+
+
 def test_elbow_and_gap(spark, points):
     df, data = points
+    df = df.repartition(4)
     y = np.array([r[2:] for r in data])
     wss = [r["wss"] for r in rows(clusters.elbow(spark, df, ["x", "y"], 4), "k")]
     assert wss[0] == pytest.approx(((y - y.mean(0)) ** 2).sum()) and wss[0] > wss[1] > wss[2]
     assert wss[2] == pytest.approx(sum(((y[k::3] - y[k::3].mean(0)) ** 2).sum() for k in range(3)))
-    gap = rows(clusters.gap_statistic(spark, df, ["x", "y"], ["id"], 4, 2), "k")
+    assert wss == pytest.approx([plain_squares(y, k) for k in range(1, 5)])
+    array = df.select(F.array("x", "y").alias("v"))
+    assert [r["wss"] for r in rows(clusters.elbow(spark, array, ["v"], 4), "k")] == pytest.approx(wss)
+
+    gap = rows(clusters.gap_statistic(spark, df, ["x", "y"], ["id"], 4, 5), "k")
+    axes = np.linalg.eigh((y - y.mean(0)).T @ (y - y.mean(0)))[1]
+    z = (y - y.mean(0)) @ axes
+    logs = []
+    for b in range(1, 6):
+        u = np.array([[plain_bits(r[0], b, i, 2, 123) / 2**32 for i in range(2)] for r in data])
+        ref = y.mean(0) + (z.min(0) + (z.max(0) - z.min(0)) * u) @ axes.T
+        logs.append([np.log(plain_squares(ref, k) / 2) for k in range(1, 5)])
+    assert [r["expected"] for r in gap] == pytest.approx(list(np.mean(logs, 0)), rel=1e-6)
+    assert [r["se"] for r in gap] == pytest.approx(list(np.std(logs, 0, ddof=1) * np.sqrt(1 + 1 / 5)), rel=1e-4)
     assert max(gap, key=lambda r: r["gap"])["k"] in (3, 4) and gap[2]["gap"] > gap[0]["gap"]
 
 
+def test_elbow_odd_rows(spark):
+    """NULL and NaN rows take no part, equal rows leave centres without rows, an empty table gives none."""
+    df = spark.createDataFrame([(1.0, 2.0)] * 4 + [(5.0, 2.0), (None, 1.0), (float("nan"), 1.0)], "x double, y double")
+    assert [r["wss"] for r in rows(clusters.elbow(spark, df, ["x", "y"], 3), "k")] == pytest.approx([12.8, 0.0, 0.0])
+    assert clusters.elbow(spark, df.limit(0), ["x", "y"], 3).count() == 0
+
+
 def test_pair_squares(points):
     df, data = points
     got = {r["g"]: r for r in rows(clusters.pair_squares(df, ["g"], ["x", "y"]), "g")}

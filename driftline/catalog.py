@@ -6,11 +6,13 @@ the SQL each is compared with. The tables contain no NULL, so gaps are made by r
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sources
 from .functions.calendar import compact_date, micros, parse_date, season, season_year
 from .functions.missing import floor_at, if_else, percent_difference, round_even, row_mean, signif, to_number
 from .functions.text import extract, name_depth, name_site, labelled_text, name_stat, padded, signed_depth, title
@@ -19,7 +21,7 @@ from .operators import anomaly, cleaning, clusters, density, gapfill, joins, ord
 from .operators import trend as tr
 from .operators import twosample
 from .plans import survey, temperature
-from .session import materialize
+from .session import drop_at_exit, materialize, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -714,6 +716,22 @@ def clean_series(spark, sf):
     return out.select("event_id", "user_id", rnd("cleaned", 4).alias("cleaned"), F.col("cleaned_outlier").alias("outlier"))
 
 
+# --- text files --------------------------------------------------------------------------------
+
+
+@query
+def field_problems(spark, sf):
+    """Orders written as text with spoiled fields; the fields that do not fit, by column and content."""
+    o = table(spark, sf, "orders")
+    number = F.when(F.col("o_orderkey") % 50 == 3, F.concat(F.lit("n"), (F.col("o_orderkey") % 7).cast("string"))).otherwise(F.col("o_custkey").cast("string"))
+    day = F.when(F.col("o_orderkey") % 70 == 5, F.lit("1995-02-31")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    path = f"{shared_folder(spark)}/driftline-{uuid.uuid4().hex}"
+    o.select("o_orderkey", number.alias("o_custkey"), day.alias("o_orderdate"), "o_orderstatus").write.option("header", True).csv(path)
+    drop_at_exit(spark, path)
+    found = sources.field_problems(spark, path, "o_orderkey bigint, o_custkey int, o_orderdate date, o_orderstatus string")
+    return found.groupBy("column", "expected", "actual").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- clusters ----------------------------------------------------------------------------------
 
 

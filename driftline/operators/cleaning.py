@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import cap_at, floor_at
@@ -155,22 +155,26 @@ def clamp_columns(df: DataFrame, date: str, rules: Sequence[Clamp]) -> DataFrame
 def clamp_long(df: DataFrame, date: str, rules: DataFrame, variable: str = "variable", value: str = "value"):
     """Apply a rule table ``variable, before, lo, hi`` to a long table; NULL in a rule means open.
 
-    With several rules for one variable and date, the tightest bounds hold.
+    With several rules for one variable and date, the tightest bounds hold. A NULL date is bounded by the rules without a date only. The ends of the rules cut
+    the calendar of a variable into intervals, each with its bounds, and a row meets the one interval its date lies in.
     """
-    tables = rules.groupBy(F.col("variable").alias(variable)).agg(
-        F.sort_array(F.collect_list(F.struct("before", "lo", "hi"))).alias("__rules")
-    )
-    rows = attach(df, tables, [variable])
+    steps = materialize(rule_intervals(rules).withColumnsRenamed({"variable": "__v", "since": "__since", "until": "__until", "lo": "__lo", "hi": "__hi"}))
+    day = F.col(date)
+    begun = F.col("__since").isNull() | (day >= F.col("__since"))
+    inside = F.when(F.col("__until").isNull(), begun | day.isNull()).otherwise(begun & (day < F.col("__until")))
+    rows = df.join(steps, df[variable].eqNullSafe(steps["__v"]) & inside, "left")
+    v = F.greatest(F.col(value), F.col("__lo"))  # greatest and least skip a NULL bound
+    v = F.least(v, F.col("__hi"))
+    return rows.withColumn(value, F.when(F.col(value).isNotNull(), v)).drop("__v", "__since", "__until", "__lo", "__hi")
 
-    def tighten(bounds: Column, rule: Column) -> Column:
-        tighter = F.struct(
-            F.greatest(bounds["lo"], rule["lo"]).alias("lo"), F.least(bounds["hi"], rule["hi"]).alias("hi")
-        )
-        return F.when(rule["before"].isNull() | (F.col(date) < rule["before"]), tighter).otherwise(bounds)
-
-    none = F.lit(None).cast("double")
-    rows = rows.withColumn("__b", F.aggregate("__rules", F.struct(none.alias("lo"), none.alias("hi")), tighten))
-    low, high = F.col("__b.lo"), F.col("__b.hi")
-    v = F.greatest(F.col(value), low)  # greatest and least skip a NULL bound
-    v = F.least(v, high)
-    return rows.withColumn(value, F.when(F.col(value).isNotNull(), v)).drop("__rules", "__b")
+
+def rule_intervals(rules: DataFrame) -> DataFrame:
+    """``variable, since, until, lo, hi``: disjoint intervals of dates, ``until`` exclusive, with the tightest bounds of all rules ``variable, before, lo, hi`` that hold there.
+
+    Rules with one end are merged first, so the window over a variable has one row per date that any of its rules ends on: the calendar bounds it.
+    """
+    ends = rules.groupBy("variable", "before").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
+    by = Window.partitionBy("variable")
+    later = by.orderBy(F.col("before").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ends.select("variable", F.lag("before").over(by.orderBy(F.col("before").asc_nulls_last())).alias("since"), F.col("before").alias("until"),
+                       F.max("lo").over(later).alias("lo"), F.min("hi").over(later).alias("hi"))

@@ -115,11 +115,11 @@ def _totals(rows: DataFrame, tables: Callable, shape: tuple, step: Callable) ->
         for t, points_ in tables(x, first, second):
             step(held[t], t, points_)
 
-    sums = _per_task(rows, fold, lambda d: np.zeros(shape), "at bigint, v double", out).groupBy("at").agg(F.sum("v").alias("v")).toPandas()
-    if sums.empty:
+    sums = _per_task(rows, fold, lambda d: np.zeros(shape), "at bigint, v double", out).groupBy("at").agg(F.sum("v").alias("v")).collect()
+    if not sums:
         return None
     total = np.zeros(int(np.prod(shape)))
-    total[sums["at"].to_numpy()] = sums["v"].to_numpy()
+    total[[r["at"] for r in sums]] = [r["v"] for r in sums]
     return total.reshape(shape)
 
 

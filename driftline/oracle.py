@@ -771,6 +771,10 @@ SELECT event_id, user_id, {rnd("filled", 4, "cleaned")}, hit AND seen IS NOT NUL
 
 # --- clusters ----------------------------------------------------------------------------------
 
+ORACLES["field_problems"] = """
+SELECT 'o_custkey' AS "column", 'int' AS expected, 'n' || (o_orderkey % 7) AS actual, count(*) AS n FROM orders WHERE o_orderkey % 50 = 3 GROUP BY ALL
+UNION ALL SELECT 'o_orderdate', 'date', '1995-02-31', count(*) FROM orders WHERE o_orderkey % 70 = 5 GROUP BY ALL"""
+
 _D2 = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in VEC)
 ORACLES["pair_squares"] = f"""
 WITH s AS (SELECT * FROM {CUSTOMERS}),

@@ -4,6 +4,7 @@ from .tables import (
     latest_dated_file,
     most_recent_with_prefix,
     parse_problems,
+    field_problems,
     read_csv,
     read_points,
     write_dated,
@@ -14,6 +15,7 @@ __all__ = [
     "latest_dated_file",
     "most_recent_with_prefix",
     "parse_problems",
+    "field_problems",
     "read_csv",
     "read_points",
     "write_dated",

@@ -6,12 +6,13 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import compact_date
 from ..functions.missing import clean_missing
+from ..operators.joins import attach
 
 CORRUPT = "_corrupt_record"
 
@@ -46,6 +47,35 @@ def parse_problems(spark: SparkSession, path, schema: str, null: str = "NA") ->
     return named.filter(F.col(CORRUPT).isNotNull() & (parsed >= 0)).select("file", F.col(CORRUPT).alias("record"))
 
 
+def field_problems(spark: SparkSession, path, schema: str, null: str = "NA") -> DataFrame:
+    """``file, row, column, expected, actual``: one row per field that is not of its type, and per record with too few or too many fields.
+
+    ``row`` counts the records of a file from 1; header and blank lines are none. A file is read in several pieces, so records are numbered within a piece and the counts of the
+    pieces before are added. Of a record with a wrong number of fields, ``column`` is NULL and ``actual`` the record; its fields are judged as well. A field is of its
+    type if it can be cast; empty fields and ``null`` always are.
+    """
+    fields = spark.createDataFrame([], schema).schema.fields
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in fields] + [T.StructField(CORRUPT, T.StringType())])
+    options = {"header": True, "nullValue": null, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    piece = [F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__piece")]
+    lines = spark.read.schema(text).options(**options).csv(path)
+    lines = lines.select("*", *piece, F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("__id"))
+
+    pieces = lines.groupBy("__path", "__piece").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__path").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("__path", "__piece", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+
+    found = lambda column, expected, actual: F.struct(column.cast("string").alias("column"), F.lit(expected).alias("expected"), actual.alias("actual"))
+    judged = []
+    for f in fields:
+        field, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        judged.append(F.when(field.isNotNull() & field.try_cast(kind).isNull(), found(F.lit(f.name), kind, field)))
+    judged.append(F.when(F.col(CORRUPT).isNotNull(), found(F.lit(None), f"{len(fields)} columns", F.col(CORRUPT))))
+    bad = lines.select("file", "__path", "__piece", "__id", F.array_compact(F.array(*judged)).alias("__bad")).filter(F.size("__bad") > 0)
+    numbered = attach(bad, pieces, ["__path", "__piece"], "inner")
+    return numbered.select("file", (F.col("__before") + F.col("__id") - F.col("__first") + 1).alias("row"), F.inline("__bad"))
+
+
 def dated_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """Files and written folders in a folder whose name matches, with the last eight-digit date in the name: ``path, file, date``.
 

@@ -1,5 +1,6 @@
 """Bootstrap, permutation tests, densities, cleaning and clusters."""
 
+import datetime
 import hashlib
 import math
 
@@ -269,6 +270,24 @@ def test_clamps(spark):
     assert [r["value"] for r in got[:4]] == [7.0, 9.0, None, -40.0] and [r["value"] for r in got[4:]] == [9.0, 9.0, None, -50.0]
 
 
+def test_rule_intervals(spark):
+    """Random rules and dates against each rule on each row; NULL dates, NULL variables and rules of one end."""
+    rng = np.random.default_rng(21)
+    day = lambda i: datetime.date(2000, 1, 1) + datetime.timedelta(days=int(i))
+    pick = lambda v: None if rng.random() < 0.3 else float(v)
+    made = [(("a", "b", None)[i % 3], None if i % 7 == 0 else day(rng.integers(0, 12)), pick(rng.normal(-1)), pick(rng.normal(1))) for i in range(30)]
+    data = [(i, ("a", "b", "c", None)[i % 4], None if i % 11 == 0 else day(rng.integers(-2, 15)), None if i % 13 == 0 else float(rng.normal(0, 3))) for i in range(300)]
+    rules = spark.createDataFrame(made, "variable string, before date, lo double, hi double")
+    got = {r["id"]: r["value"] for r in cleaning.clamp_long(spark.createDataFrame(data, "id int, variable string, d date, value double"), "d", rules).collect()}
+    assert len(got) == 300
+    for i, variable, d, v in data:
+        held = [r for r in made if r[0] == variable and (r[1] is None or (d is not None and d < r[1]))]
+        if v is not None:
+            v = max([v] + [r[2] for r in held if r[2] is not None])
+            v = min([v] + [r[3] for r in held if r[3] is not None])
+        assert got[i] == v
+
+
 # --- clusters ----------------------------------------------------------------------------------
 
 

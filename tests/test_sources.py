@@ -115,3 +115,22 @@ def test_no_local_lineage_cuts():
 def test_corrupt_column_is_not_pruned(spark, tmp_path):
     put(tmp_path / "a.csv", "k,v\nx,1\n")
     assert sources.parse_problems(spark, str(tmp_path), "k int, v int").agg(F.count("*")).first()[0] == 1
+
+
+def test_field_problems(spark, tmp_path):
+    """Row numbers go on over the pieces a file is read in; short and long records; two files."""
+    bad = {17, 400, 1999, 2000}
+    body = "".join(f"{'x' if i in bad else i},{'2021-02-30' if i == 400 else '2021-02-03'},{i / 4}\n" for i in range(1, 2001))
+    put(tmp_path / "a.csv", "k,d,v\n" + body)
+    put(tmp_path / "b.csv", "k,d,v\n1,2020-01-01,NA\n\n2,2020-01-01\n3,,oops\n4,2020-01-01,1,1\n")
+    pieces = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = sources.field_problems(spark, str(tmp_path), "k int, d date, v double").collect()
+        assert spark.read.csv(str(tmp_path)).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", pieces)
+    a = sorted((r["row"], r["column"], r["expected"], r["actual"]) for r in got if r["file"] == "a.csv")
+    assert a == [(17, "k", "int", "x"), (400, "d", "date", "2021-02-30"), (400, "k", "int", "x"), (1999, "k", "int", "x"), (2000, "k", "int", "x")]
+    b = sorted(((r["row"], r["column"] or "", r["expected"], r["actual"]) for r in got if r["file"] == "b.csv"))
+    assert b == [(2, "", "3 columns", "2,2020-01-01"), (3, "v", "double", "oops"), (4, "", "3 columns", "4,2020-01-01,1,1")]

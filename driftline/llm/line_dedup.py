@@ -17,6 +17,7 @@ from .common import SPACE, table
 
 SIMILARITY = 0.85
 BUCKETS = 1 << 20
+SINGLE = 4  # rarity level of a bucket that holds one token of the whole corpus
 BROADCAST_LINES = 1_000_000  # line numbers of documents to look at again; more than that are joined by a shuffle
 
 
@@ -30,7 +31,7 @@ def line_words(line: Column) -> Column:
 
 
 def rarity_table(docs: DataFrame) -> DataFrame:
-    """One row, one array: for each bucket of token hashes the logarithm of its count, in quarter steps, as a byte."""
+    """One row, one array: for each bucket of token hashes the logarithm of its count, in quarter steps, as a byte; ``SINGLE`` for one token."""
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
     tokens = lines.select(F.explode(line_words(F.col("line"))).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
     counts = tokens.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -66,8 +67,8 @@ def line_sets(docs: DataFrame, rarity: DataFrame, similarity: float) -> DataFram
 
 
 def _posts(lines: DataFrame, tag: str) -> DataFrame:
-    """Prefix tokens of lines with their positions; columns but the token carry ``tag``."""
-    out = lines.select("doc_id", "line_no", "n", "parity", F.posexplode("prefix").alias("pos", "token"))
+    """Prefix tokens of lines with their positions, without those that occur once in the corpus; columns but the token carry ``tag``."""
+    out = lines.select("doc_id", "line_no", "n", "parity", F.posexplode("prefix").alias("pos", "token")).filter(F.shiftright("token", 48) > SINGLE)
     return out.withColumnsRenamed({c: f"{tag}_{c}" for c in out.columns if c != "token"})
 
 
@@ -118,8 +119,9 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     docs = docs.select("doc_id", "text")
     lines = materialize(line_sets(docs, materialize(rarity_table(docs)), similarity))
     first = F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("f")
-    reps = materialize(lines.groupBy("k1", "k2").agg(first).select("k1", "k2", "f.*"))
-    firsts = reps.select("k1", "k2", F.col("doc_id").alias("fd"), F.col("line_no").alias("fl"))
+    reps = materialize(lines.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("c")).select("k1", "k2", "c", "f.*"))
+    # sets of several lines only; written, so that the planner sees how few they are
+    firsts = materialize(reps.filter("c > 1").select("k1", "k2", F.col("doc_id").alias("fd"), F.col("line_no").alias("fl")))
     is_first = (F.col("doc_id") == F.col("fd")) & (F.col("line_no") == F.col("fl"))
     copies = lines.select("doc_id", "line_no", "k1", "k2").join(firsts, ["k1", "k2"]).filter(~is_first).select("doc_id", "line_no")
     later = _posts(reps, "l")

@@ -43,8 +43,9 @@ def rarity_table(docs: DataFrame) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, rarity: DataFrame, similarity: float) -> DataFrame:
-    """``doc_id, line_no, n, k1, k2, parity, prefix`` of every line with a word; ``k1, k2`` digest the token set.
+    """``doc_id, line_no, n, k1, k2, parity, skip, prefix`` of every line with a word; ``k1, k2`` digest the token set.
 
+    Tokens that occur once in the corpus come first in a prefix and meet nothing: ``skip`` counts them and ``prefix`` holds the others.
     A line so short that only an equal one is similar enough (one word more would already be too much) has no prefix: equal sets meet by ``k1, k2``.
     """
     # A subquery may not stand in a lambda; as a column that is used once it is folded into one, so that no row carries the array.
@@ -56,19 +57,22 @@ def line_sets(docs: DataFrame, rarity: DataFrame, similarity: float) -> DataFram
     coded = lambda h: F.shiftleft(F.get(level, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
     step = lines.select("doc_id", "line_no", F.sort_array(F.transform(hashes, coded)).alias("t"))
     n = F.size("t")
+    prefix = F.slice("t", 1, F.when(n >= (n + 1) * similarity - 1e-9, n - F.ceil(n * similarity - 1e-9) + 1).otherwise(0).cast("int"))
     found = F.struct(
         n.alias("n"),
         F.xxhash64("t").alias("k1"),
         F.xxhash64(F.lit(1), "t").alias("k2"),
         F.expr("aggregate(t, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 AS int)))").alias("parity"),
-        F.slice("t", 1, F.when(n >= (n + 1) * similarity - 1e-9, n - F.ceil(n * similarity - 1e-9) + 1).otherwise(0).cast("int")).alias("prefix"),
+        prefix.alias("prefix"),
     )
-    return step.select("doc_id", "line_no", F.inline(F.when(n > 0, F.array(found))))
+    out = step.select("doc_id", "line_no", F.inline(F.when(n > 0, F.array(found))))
+    met = F.filter("prefix", lambda x: F.shiftright(x, 48) > SINGLE)
+    return out.withColumn("met", met).select("doc_id", "line_no", "n", "k1", "k2", "parity", (F.size("prefix") - F.size("met")).alias("skip"), F.col("met").alias("prefix"))
 
 
 def _posts(lines: DataFrame, tag: str) -> DataFrame:
-    """Prefix tokens of lines with their positions, without those that occur once in the corpus; columns but the token carry ``tag``."""
-    out = lines.select("doc_id", "line_no", "n", "parity", F.posexplode("prefix").alias("pos", "token")).filter(F.shiftright("token", 48) > SINGLE)
+    """Prefix tokens of lines with their positions; columns but the token carry ``tag``."""
+    out = lines.select("doc_id", "line_no", "n", "parity", "skip", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("skip")).drop("skip")
     return out.withColumnsRenamed({c: f"{tag}_{c}" for c in out.columns if c != "token"})
 
 
@@ -118,7 +122,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """
     docs = docs.select("doc_id", "text")
     lines = materialize(line_sets(docs, materialize(rarity_table(docs)), similarity))
-    first = F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("f")
+    first = F.min(F.struct("doc_id", "line_no", "n", "parity", "skip", "prefix")).alias("f")
     reps = materialize(lines.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("c")).select("k1", "k2", "c", "f.*"))
     # sets of several lines only; written, so that the planner sees how few they are
     firsts = materialize(reps.filter("c > 1").select("k1", "k2", F.col("doc_id").alias("fd"), F.col("line_no").alias("fl")))

@@ -716,6 +716,15 @@ def clean_series(spark, sf):
     return out.select("event_id", "user_id", rnd("cleaned", 4).alias("cleaned"), F.col("cleaned_outlier").alias("outlier"))
 
 
+@query
+def clean_series_spans(spark, sf):
+    """Outliers against a smooth of variable span replaced by interpolation, twice."""
+    ev = gappy_events(spark, sf)
+    ev = ev.withColumn("value", F.when(F.col("event_id") % 101 == 0, F.col("value") * 50 + 500).otherwise(F.col("value")))
+    out = cleaning.clean_series_by_span(ev, ["user_id"], ["ts", "event_id"], "value")
+    return out.select("event_id", "user_id", rnd("cleaned", 6).alias("cleaned"), F.col("cleaned_outlier").alias("outlier"))
+
+
 # --- text files --------------------------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from ..session import materialize
 from .joins import attach, null_safe_join
 from .ordered import BLOCK, centred_window, ordered_blocks, quantiles, running
 from .reshape import to_long, to_wide
+from .smoothing import variable_span_smooth
 
 
 # Fixed value: residuals with a smaller interquartile range count as constant, and nothing is replaced.
@@ -109,11 +110,35 @@ def clean_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     )
 
 
-def clean_columns(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], **options) -> DataFrame:
-    """:func:`clean_series` on columns of a wide table with one row per (keys, order)."""
+def clean_series_by_span(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "cleaned",
+                         reach: float = 3.0, iterations: int = 2, blocks: int | None = None) -> DataFrame:
+    """:func:`clean_series` against a smooth of variable span, whose windows are shares of a series.
+
+    Only keys, row number and value go through the passes; the other columns are joined once, at the end.
+    """
+    keys = list(keys)
+    numbered = materialize(numbered_values(df, keys, order, blocks))
+    own = [*keys, BLOCK, "__pos", "__len"]
+    rows = numbered.select(*own, F.col(value).cast("double").alias("__work"), F.lit(False).alias("__out"))
+    for _ in range(iterations):
+        full = interpolate_numbered(rows, keys, ["__pos"], "__pos", "__work", "__full").drop("__work")
+        smooth = variable_span_smooth(full, keys, "__pos", "__len", "__full", "__smooth")
+        smooth = smooth.withColumn("__res", F.col("__full") - F.col("__smooth"))
+        q = quantiles(smooth, keys, "__res", {"__q1": 0.25, "__q3": 0.75}, blocks).drop("n")
+        iqr, res = F.col("__q3") - F.col("__q1"), F.col("__res")
+        hit = F.coalesce((iqr > FLAT) & ((res < F.col("__q1") - reach * iqr) | (res > F.col("__q3") + reach * iqr)), F.lit(False))
+        # written, so that the next pass neither repeats this one nor stands behind its join by keys
+        rows = materialize(attach(smooth, q, keys).select(*own, F.when(~hit, F.col("__full")).alias("__work"), (F.col("__out") | hit).alias("__out")))
+    done = interpolate_numbered(rows, keys, ["__pos"], "__pos", "__work", "__done").select(*keys, "__pos", "__done", "__out")
+    both = null_safe_join(numbered, materialize(done), [*keys, "__pos"])
+    return both.withColumns({name: F.col("__done"), f"{name}_outlier": F.col("__out") & F.col(value).isNotNull()}).drop("__pos", "__len", "__done", "__out", BLOCK)
+
+
+def clean_columns(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], by_span: bool = False, **options) -> DataFrame:
+    """:func:`clean_series`, or :func:`clean_series_by_span`, on columns of a wide table with one row per (keys, order)."""
     keys, cols = list(keys), list(cols)
     long = to_long(df, [*keys, order], cols)
-    cleaned = clean_series(long, [*keys, "variable"], [order], "value", **options)
+    cleaned = (clean_series_by_span if by_span else clean_series)(long, [*keys, "variable"], [order], "value", **options)
     wide = to_wide(cleaned, [*keys, order], "variable", ["cleaned"], cols).withColumnsRenamed(
         {c: f"__c_{c}" for c in cols} if len(cols) > 0 else {}
     )

@@ -769,6 +769,41 @@ hit AS (SELECT res.*, coalesce(q3 - q1 > 1e-14 AND (r < q1 - 3 * (q3 - q1) OR r
 again AS (SELECT event_id, user_id, ts, pos, hit, seen, CASE WHEN NOT hit THEN filled END AS value FROM hit)
 SELECT event_id, user_id, {rnd("filled", 4, "cleaned")}, hit AND seen IS NOT NULL AS outlier FROM {interpolated("again", "pos")}"""
 
+
+def _lines(source: str, value: str, span: float, fit: str, error: str = "") -> str:
+    """Rows of ``source`` with the line through each row's window, and what it misses the row by when fitted without it."""
+    h, wide = f"greatest(2, floor(0.5 * {span} * a.n + 0.5))", f"least(2 * greatest(2, floor(0.5 * {span} * a.n + 0.5)) + 1, a.n)"
+    low = f"least(greatest(a.pos - {h}, 1), a.n - {wide} + 1)"
+    left = "1 - 1 / w - coalesce(power(pos - xm, 2) / nullif(sxx, 0), 0)"
+    line = "ym + coalesce(sxy / nullif(sxx, 0), 0) * (pos - xm)"
+    miss = f", CASE WHEN {left} > 1e-9 THEN abs({value} - ({line})) / ({left}) ELSE 0 END AS {error}" if error else ""
+    return f"""(SELECT * EXCLUDE (k, w, xm, ym, sxx, sxy), {line} AS {fit}{miss} FROM {source} JOIN (
+      SELECT a.event_id AS k, count(*) AS w, avg(b.pos) AS xm, avg(b.{value}) AS ym, regr_sxx(b.{value}, b.pos) AS sxx, regr_sxy(b.{value}, b.pos) AS sxy
+      FROM {source} a JOIN {source} b ON a.user_id = b.user_id AND b.pos BETWEEN {low} AND {low} + {wide} - 1 GROUP BY a.event_id) ON k = event_id)"""
+
+
+def _span_pass(i: int, source: str) -> str:
+    """One pass of outlier replacement against the smooth of variable span: ``h{i}`` with what is left as ``value``."""
+    steps = [(f"y{i}", f"SELECT event_id, user_id, ts, pos, seen, gone, filled AS y, count(*) OVER (PARTITION BY user_id) AS n FROM {interpolated(source, 'pos')}")]
+    for k, (value, span, fit, error) in enumerate([("y", 0.05, "c0", "e0"), ("y", 0.2, "c1", "e1"), ("y", 0.5, "c2", "e2"),
+                                                   ("e0", 0.2, "m0", ""), ("e1", 0.2, "m1", ""), ("e2", 0.2, "m2", "")]):
+        steps.append((f"f{i}_{k}", f"SELECT * FROM {_lines(steps[-1][0], value, span, fit, error)}"))
+    steps.append((f"b{i}", f"SELECT *, CASE least(m0, m1, m2) WHEN m0 THEN 0.05::DOUBLE WHEN m1 THEN 0.2 ELSE 0.5 END AS best FROM {steps[-1][0]}"))
+    steps.append((f"s{i}", f"SELECT *, least(greatest(sp, 0.05::DOUBLE), 0.5) - 0.2 AS off FROM {_lines(f'b{i}', 'best', 0.2, 'sp')}"))
+    steps.append((f"x{i}", f"SELECT event_id, user_id, ts, pos, seen, gone, y, n, CASE WHEN off >= 0 THEN (1 - off / 0.3) * c1 + off / 0.3 * c2 ELSE (1 + off / 0.15) * c1 - off / 0.15 * c0 END AS z FROM s{i}"))
+    steps.append((f"r{i}", f"SELECT *, y - sm AS r FROM {_lines(f'x{i}', 'z', 0.05, 'sm')}"))
+    steps.append((f"q{i}", f"SELECT user_id, quantile_cont(r, 0.25) AS q1, quantile_cont(r, 0.75) AS q3 FROM r{i} GROUP BY user_id"))
+    hit = "coalesce(q3 - q1 > 1e-14 AND (r < q1 - 3 * (q3 - q1) OR r > q3 + 3 * (q3 - q1)), FALSE)"
+    steps.append((f"h{i}", f"SELECT event_id, user_id, ts, pos, seen, gone OR {hit} AS gone, CASE WHEN NOT {hit} THEN y END AS value FROM r{i} JOIN q{i} USING (user_id)"))
+    return ",\n".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in steps)
+
+
+ORACLES["clean_series_spans"] = f"""
+WITH start AS (SELECT event_id, user_id, ts, pos, value, value AS seen, FALSE AS gone FROM {_SPIKY}),
+{_span_pass(1, "start")},
+{_span_pass(2, "h1")}
+SELECT event_id, user_id, {rnd("filled", 6, "cleaned")}, gone AND seen IS NOT NULL AS outlier FROM {interpolated("h2", "pos")}"""
+
 # --- clusters ----------------------------------------------------------------------------------
 
 ORACLES["field_problems"] = """

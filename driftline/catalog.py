@@ -17,7 +17,7 @@ from .functions.calendar import compact_date, micros, parse_date, season, season
 from .functions.missing import floor_at, if_else, percent_difference, round_even, row_mean, signif, to_number
 from .functions.text import extract, name_depth, name_site, labelled_text, name_stat, padded, signed_depth, title
 from .operators import aggregate as agg
-from .operators import anomaly, cleaning, clusters, density, gapfill, joins, ordered, ranking, resample, reshape
+from .operators import anomaly, cleaning, clusters, density, gapfill, joins, mergetree, ordered, ranking, resample, reshape
 from .operators import trend as tr
 from .operators import twosample
 from .plans import survey, temperature
@@ -772,6 +772,20 @@ def split_clusters(spark, sf):
     return agg.row_counts(clusters.cluster(rows, FEATURES, 3, bisecting=True), ["cluster"])
 
 
+@query
+def ward_tree(spark, sf):
+    """Merges of a tree over the standardised (nation, segment) groups, with their heights."""
+    out = mergetree.merge_tree(ranking.zscores(nation_features(spark, sf), FEATURES), FEATURES)
+    return out.select("step", "a", "b", rnd("height", 5).alias("height"), "n", rnd("wss", 4).alias("wss"))
+
+
+@query
+def ward_cut(spark, sf):
+    """The tree cut into three clusters, described by size and means."""
+    out = mergetree.merge_cut(ranking.zscores(nation_features(spark, sf), FEATURES), FEATURES, 3)
+    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[rnd(F.avg(c), 5).alias(c) for c in FEATURES])
+
+
 @query
 def elbow(spark, sf):
     """Within-cluster sum of squares for 1 to 10 clusters."""

@@ -810,6 +810,23 @@ ORACLES["field_problems"] = """
 SELECT 'o_custkey' AS "column", 'int' AS expected, 'n' || (o_orderkey % 7) AS actual, count(*) AS n FROM orders WHERE o_orderkey % 50 = 3 GROUP BY ALL
 UNION ALL SELECT 'o_orderdate', 'date', '1995-02-31', count(*) FROM orders WHERE o_orderkey % 70 = 5 GROUP BY ALL"""
 
+# Each turn of the recursion merges the two clusters whose union adds least to the sum of squares; ``id`` of the merged one is the smaller.
+_PARTS = ("bal", "size", "spread")
+_ADDS = f"a.n * b.n / (a.n + b.n) * ({' + '.join(f'power(a.{c} - b.{c}, 2)' for c in _PARTS)})"
+_WARD = f"""WITH RECURSIVE start AS (SELECT row_number() OVER (ORDER BY {', '.join(_PARTS)}) - 1 AS id, {', '.join(_PARTS)} FROM {SCALED}),
+merged AS (SELECT 0 AS step, id, 1.0::DOUBLE AS n, {', '.join(_PARTS)}, NULL::BIGINT AS ia, NULL::BIGINT AS ib, 0.0::DOUBLE AS adds FROM start
+  UNION ALL
+  SELECT any_value(step) + 1, CASE WHEN id = best.ib THEN best.ia ELSE id END, sum(n), {', '.join(f'sum(n * {c}) / sum(n)' for c in _PARTS)}, any_value(best.ia), any_value(best.ib), any_value(best.adds)
+  FROM merged CROSS JOIN (SELECT a.id AS ia, b.id AS ib, {_ADDS} AS adds FROM merged a JOIN merged b ON a.id < b.id ORDER BY 3, 1, 2 LIMIT 1) best
+  GROUP BY CASE WHEN id = best.ib THEN best.ia ELSE id END)"""
+ORACLES["ward_tree"] = f"""
+{_WARD}, steps AS (SELECT step, ia, ib, any_value(adds) AS adds, CAST(max(CASE WHEN id = ia THEN n END) AS BIGINT) AS n FROM merged WHERE step > 0 GROUP BY ALL)
+SELECT CAST(step AS INTEGER) AS step, CAST(ia AS INTEGER) AS a, CAST(ib AS INTEGER) AS b, {rnd("sqrt(2 * adds)", 5, "height")}, n, {rnd("sum(adds) OVER (ORDER BY step)", 4, "wss")} FROM steps"""
+ORACLES["ward_cut"] = f"""
+{_WARD}
+SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS cluster, CAST(n AS BIGINT) AS n, {', '.join(rnd(c, 5) for c in _PARTS)}
+FROM merged WHERE step = (SELECT max(step) FROM merged) - 2"""
+
 _D2 = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in VEC)
 ORACLES["pair_squares"] = f"""
 WITH s AS (SELECT * FROM {CUSTOMERS}),

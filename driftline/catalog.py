@@ -6,6 +6,7 @@ the SQL each is compared with. The tables contain no NULL, so gaps are made by r
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -654,6 +655,38 @@ def cascade_fill(spark, sf):
     return out.select(*LINE_KEY, rnd("price", 2).alias("price"), rnd("qty", 2).alias("qty"), rnd("tax", 4).alias("tax"))
 
 
+SENSOR_SERIES = sorted({c for target, predictors, _ in temperature.SENSOR_STEPS for c in (target, *predictors)} - {temperature.STATION})
+
+
+def daily_sensors(spark, sf):
+    """Wide daily table of the standard cascade's sensors, each fed by the line items of some suppliers, with gaps of four days in forty."""
+    l = table(spark, sf, "lineitem").withColumn("day", F.datediff("l_shipdate", F.lit("1992-01-01")))
+    wave = F.sin(2 * math.pi * (F.col("day") - 100) / 365.25)
+    aggs = []
+    for i, name in enumerate(SENSOR_SERIES):
+        depth = name_depth_factor(name)
+        seen = (F.col("l_suppkey") % len(SENSOR_SERIES) == i) & ((F.col("day") + 17 * i) % 40 >= 4)
+        value = F.when(seen, 12 * depth * wave + (F.col("l_quantity") - 25) * depth / 10)
+        aggs += [f(value).alias(f"{name}_{s}") for s, f in (("avg", F.avg), ("max", F.max), ("min", F.min))]
+    return l.groupBy(F.col("l_shipdate").cast("date").alias("date")).agg(*aggs)
+
+
+def name_depth_factor(name: str) -> float:
+    """How much of the air's swing a sensor shows; less with its depth, which ends its name."""
+    depth = float(name.rsplit("_", 1)[1].replace("p", "."))
+    return 1.0 if depth == 150 else 0.6 / (1 + depth / 20)
+
+
+@query
+def sensor_fill(spark, sf):
+    """The whole gap fill: station join, air fills, outliers, bounds and the cascade of 36 models, most of them stepwise."""
+    o = table(spark, sf, "orders")
+    wave = F.sin(2 * math.pi * (F.datediff("o_orderdate", F.lit("1992-01-01")) - 100) / 365.25)
+    weather = o.select(F.col("o_orderdate").cast("timestamp_ntz").alias("datetime"), (12 * wave + (F.col("o_totalprice") % 1000) / 200 - 2.5).alias("station_temp"))
+    out = temperature.fill_sensor_table(materialize(daily_sensors(spark, sf)), weather)
+    return out.select("date", *[rnd(f"{c}_{s}", 3).alias(f"{c}_{s}") for c in SENSOR_SERIES for s in temperature.STATS])
+
+
 @query
 def cascade_pair(spark, sf):
     """Two dependent fills, the second one stepwise."""

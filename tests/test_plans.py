@@ -82,6 +82,59 @@ def test_fill_sensor_table(sensors, station):
     assert got[5]["station_temp"] is None and got[5][temperature.STATION] is not None
 
 
+def plain_fit(x, y, stepwise):
+    """Kept columns and coefficients of least squares; with ``stepwise``, columns go while the criterion falls."""
+    def score(cols):
+        m = np.column_stack([np.ones(len(y)), *[x[:, c] for c in cols]])
+        b = np.linalg.lstsq(m, y, rcond=None)[0]
+        return len(y) * math.log(((y - m @ b) ** 2).sum() / len(y)) + 2 * (len(cols) + 1), b
+
+    cols = list(range(x.shape[1]))
+    aic, b = score(cols)
+    while stepwise and cols:
+        low, drop = min((score([c for c in cols if c != d])[0], d) for d in cols)
+        if low >= aic:
+            break
+        cols = [c for c in cols if c != drop]
+        aic, b = score(cols)
+    return cols, b
+
+
+def plain_fill(table, month, target, predictors, stepwise):
+    out = table[target].copy()
+    x = np.column_stack([table[p] for p in predictors])
+    for m in range(1, 13):
+        known = (month == m) & ~np.isnan(x).any(1) & ~np.isnan(table[target])
+        if known.sum():
+            cols, b = plain_fit(x[known], table[target][known], stepwise)
+            empty = (month == m) & np.isnan(table[target])
+            out[empty] = b[0] + x[empty][:, cols] @ b[1:]
+    table[target] = out
+
+
+def test_fill_equals_plain(sensors, station):
+    """The whole cascade, without cleaning and bounds, against least squares month by month."""
+    models = temperature.sensor_models(STEPS)
+    got = rows(temperature.fill_sensor_table(sensors, station, models=models, clean_air=(), clean_ground=(), air_clamps=(), ground_clamps=()), "date")
+    seen = rows(sensors, "date")
+    number = lambda v: math.nan if v is None else float(v)
+    names = [c for c in sensors.columns if "_temp_" in c]
+    plain = {c: np.array([number(r[c]) for r in seen]) for c in names}
+    month = np.array([r["date"].month for r in seen])
+    days = {}
+    for r in station.collect():
+        days.setdefault(r["datetime"].date(), []).append(r["station_temp"])
+    daily = np.array([np.mean(days[r["date"]]) if r["date"] in days else math.nan for r in seen])
+    plain[temperature.STATION] = np.where(np.isnan(daily), np.nanmean(daily), daily)
+    for c in names:
+        if "_temp_150_" in c:
+            plain_fill(plain, month, c, [temperature.STATION], False)
+    for m in models:
+        plain_fill(plain, month, m.target, list(m.predictors), m.stepwise)
+    for c in [*names, temperature.STATION]:
+        assert [number(r[c]) for r in got] == pytest.approx(plain[c].tolist(), abs=1e-6, nan_ok=True), c
+
+
 def test_standard_steps():
     models = temperature.sensor_models()
     assert len(models) == 36 and sum(m.stepwise for m in models) == 30

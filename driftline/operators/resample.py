@@ -32,32 +32,55 @@ FIRST, SECOND, STEP = 0x7FEB352D, 0x5BD1E995, 0x9E3779B9
 ROWS_AT_ONCE = 256  # rows of a block of draws
 SUMS_HELD = 1 << 22  # sums a task keeps before it hands them on
 ROUNDS = 6  # of the keyed bijection
+UNSURE = 255  # in place of a count that needs all bits of its draw
 CELLS_AT_ONCE = 1 << 20  # cell bounds that travel to the tasks; more cells are taken in several passes
 
 
-def poisson_limits() -> list[int]:
-    """Upper limits of 0, 1, 2, … for a Poisson(1) count, in units of 2^-16."""
+def poisson_limits(bits: int = 16) -> list[int]:
+    """Upper limits of 0, 1, 2, … for a Poisson(1) count, in units of 2^-bits."""
     limits, mass = [], 0.0
     for k in range(20):
         mass += math.exp(-1.0) / math.factorial(k)
-        if round(mass * 2**16) >= 2**16:
+        if round(mass * 2**bits) >= 2**bits:
             break
-        limits.append(round(mass * 2**16))
+        limits.append(round(mass * 2**bits))
     return limits
 
 
-def poisson_counts(first: np.ndarray, second: np.ndarray, replicates: int, counts: np.ndarray) -> np.ndarray:
-    """Counts (rows x replicates) from two 32-bit seeds a row: each counter gives 32 bits, which are the draws of two replicates."""
-    x = first[:, None] + np.arange(-(-replicates // 2), dtype=np.uint32) * np.uint32(STEP)
+def random_numbers(first: np.ndarray, second: np.ndarray, counters: int) -> np.ndarray:
+    """32 bits for each row and counter from two 32-bit seeds a row."""
+    x = first[:, None] + np.arange(counters, dtype=np.uint32) * np.uint32(STEP)
     x ^= x >> np.uint32(16)
     x *= np.uint32(FIRST)
     x ^= x >> np.uint32(15)
     x += second[:, None]
     x *= np.uint32(SECOND)
     x ^= x >> np.uint32(16)
+    return x
+
+
+def poisson_counts(first: np.ndarray, second: np.ndarray, replicates: int, counts: np.ndarray) -> np.ndarray:
+    """Counts (rows x replicates) from two 32-bit seeds a row: each counter gives 32 bits, which are the draws of two replicates."""
+    x = random_numbers(first, second, -(-replicates // 2))
     return counts[x.astype("<u4", copy=False).view("<u2")][:, :replicates]
 
 
+def coarse_counts(limits: np.ndarray) -> np.ndarray:
+    """Count of a 32-bit draw by its upper 16 bits; ``UNSURE`` where a limit lies among the lower ones."""
+    steps = np.arange(1 << 16, dtype=np.int64) << 16
+    low, high = (np.searchsorted(limits, at, "right") for at in (steps, steps + 0xFFFF))
+    return np.where(low == high, low, UNSURE).astype(np.uint8)
+
+
+def fine_counts(first: np.ndarray, second: np.ndarray, replicates: int, limits: np.ndarray, coarse: np.ndarray) -> np.ndarray:
+    """Counts (rows x replicates) from two 32-bit seeds a row: each counter gives the 32-bit draw of one replicate."""
+    x = random_numbers(first, second, replicates)
+    out = coarse[x >> np.uint32(16)]
+    at = np.nonzero(out == UNSURE)
+    out[at] = np.searchsorted(limits, x[at].astype(np.int64), "right")
+    return out
+
+
 def key_text(row_key: Sequence[str]) -> Column:
     """One text per row key: parts are escaped and NULL parts marked, so different keys give different texts."""
     part = lambda c: F.coalesce(F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\N"))
@@ -68,7 +91,8 @@ def hex_number(digits: Column) -> Column:
     return F.conv(digits, 16, 10).cast("bigint")
 
 
-def bootstrap_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str], late: Column, row_key: Sequence[str], replicates: int, partitions: int | None) -> DataFrame:
+def bootstrap_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str], late: Column, row_key: Sequence[str], replicates: int, partitions: int | None,
+                   draw_bits: int = 16) -> DataFrame:
     """``keys, rep`` and for each value and side the weighted sum and count, one row per group and replicate and task.
 
     A task turns each block of rows into a block of counts and multiplies it with the values, group by group.
@@ -81,7 +105,15 @@ def bootstrap_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str], la
     fields = [rows.schema[k] for k in keys]
     sums = [f"__{kind}{i}_{side}" for side in ("early", "late") for kind in "sn" for i in range(m)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["rep int"] + [f"{c} double" for c in sums])
-    counts = np.searchsorted(np.array(poisson_limits()), np.arange(1 << 16), "right").astype(np.uint8)
+    if draw_bits not in (16, 32):
+        raise ValueError("a draw has 16 or 32 bits")
+    limits = np.array(poisson_limits(draw_bits))
+    if draw_bits == 16:
+        counts = np.searchsorted(limits, np.arange(1 << 16), "right").astype(np.uint8)
+        drawn = lambda first, second: poisson_counts(first, second, replicates, counts)
+    else:
+        coarse = coarse_counts(limits)
+        drawn = lambda first, second: fine_counts(first, second, replicates, limits, coarse)
     n_keys = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +152,7 @@ def bootstrap_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str], la
                 total = held[by_number[part[at] // 2]][:, 2 * m * (part[at] % 2) :][:, : 2 * m]
                 for low in range(at, end, ROWS_AT_ONCE):
                     high = min(end, low + ROWS_AT_ONCE)
-                    total += poisson_counts(first[low:high], second[low:high], replicates, counts).T.astype(float) @ columns[low:high]
+                    total += drawn(first[low:high], second[low:high]).T.astype(float) @ columns[low:high]
                 at = end
             if len(held) * replicates * 4 * m > SUMS_HELD:
                 yield from handed_on()
@@ -131,16 +163,16 @@ def bootstrap_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str], la
 
 
 def bootstrap_replicates(df: DataFrame, keys: Sequence[str], values: Sequence[str], late: Column,
-                         row_key: Sequence[str], replicates: int = 1000, partitions: int | None = None) -> DataFrame:
+                         row_key: Sequence[str], replicates: int = 1000, partitions: int | None = None, draw_bits: int = 16) -> DataFrame:
     """Replicated mean differences, late minus early: ``keys, metric, rep, diff``.
 
-    Resampling n rows with replacement is approximated by giving each row an independent Poisson(1) count (to 2^-16),
+    Resampling n rows with replacement is approximated by giving each row an independent Poisson(1) count (to 2^-16, or 2^-32 with ``draw_bits`` of 32),
     which agrees for growing n. A replicate in which a side has no rows is NULL. The rows are never copied
     to one place: each task adds up weighted sums per (group, side, replicate) before the shuffle.
     Rows with the same ``row_key`` would share their counts, so it has to be unique; NULL parts of a key count as a value of their own.
     ``partitions`` is the number of tasks that rows are dealt to, as many as the cluster runs at once if not given.
     """
-    sums = bootstrap_sums(df, keys, values, late, row_key, replicates, partitions)
+    sums = bootstrap_sums(df, keys, values, late, row_key, replicates, partitions, draw_bits)
     added = sums.groupBy(*keys, "rep").agg(*[F.sum(c).alias(c) for c in sums.columns[len(keys) + 1 :]])
     mean = lambda i, side: F.try_divide(F.col(f"__s{i}_{side}"), F.col(f"__n{i}_{side}"))
     cells = [F.struct(F.lit(v).alias("metric"), "rep", (mean(i, "late") - mean(i, "early")).alias("diff")) for i, v in enumerate(values)]
@@ -148,9 +180,10 @@ def bootstrap_replicates(df: DataFrame, keys: Sequence[str], values: Sequence[st
 
 
 def bootstrap_interval(df: DataFrame, keys: Sequence[str], values: Sequence[str], late: Column,
-                       row_key: Sequence[str], replicates: int = 1000, conf: float = 0.95, partitions: int | None = None) -> DataFrame:
+                       row_key: Sequence[str], replicates: int = 1000, conf: float = 0.95, partitions: int | None = None,
+                       draw_bits: int = 16) -> DataFrame:
     """Percentile interval of the mean difference: ``keys, metric, lower, upper, significant, linetype``."""
-    reps = bootstrap_replicates(df, keys, values, late, row_key, replicates, partitions)
+    reps = bootstrap_replicates(df, keys, values, late, row_key, replicates, partitions, draw_bits)
     tail = (1 - conf) / 2
     # each group holds exactly `replicates` rows, so the exact percentile is bounded
     out = reps.groupBy(*keys, "metric").agg(

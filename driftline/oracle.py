@@ -428,6 +428,8 @@ FROM {mean_tests(sample_sums("p_brand", "p_retailprice", "p_size > 25", "part"))
 
 # Shares of a Poisson(1) count of at most 0, 1, 2, …, in units of 2^-16.
 POISSON = [24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535]
+# The same in units of 2^-32, for draws of 32 bits.
+POISSON_FINE = [1580030169, 3160060337, 3950075422, 4213413783, 4279248374, 4292415292, 4294609778, 4294923276, 4294962463, 4294966817, 4294967253, 4294967292]
 MASK = "4294967295"
 
 
@@ -449,20 +451,22 @@ def seed(text: str, part: int = 0) -> str:
     return f"CAST('0x' || substr(md5({text}), {8 * part + 1}, 8) AS BIGINT)"
 
 
-def poisson(draw: str) -> str:
-    whens = " ".join(f"WHEN {draw} < {cut} THEN {k}.0::DOUBLE" for k, cut in enumerate(POISSON))
-    return f"CASE {whens} ELSE {len(POISSON)}.0::DOUBLE END"
+def poisson(draw: str, limits: list[int] = POISSON) -> str:
+    whens = " ".join(f"WHEN {draw} < {cut} THEN {k}.0::DOUBLE" for k, cut in enumerate(limits))
+    return f"CASE {whens} ELSE {len(limits)}.0::DOUBLE END"
 
 
-def replicates(source: str, keys: str, metrics: list[str], late: str, row_key: str, count: int) -> str:
-    """Subquery ``keys, metric, rep, diff`` of bootstrap differences: counter j of a row gives the draws of replicates 2 j and 2 j + 1."""
+def replicates(source: str, keys: str, metrics: list[str], late: str, row_key: str, count: int, fine: bool = False) -> str:
+    """Subquery ``keys, metric, rep, diff`` of bootstrap differences: counter j of a row gives the draws of replicates 2 j and 2 j + 1; ``fine``: of replicate j, with all its 32 bits."""
     x0 = f"((s1 + j * 2654435769) & {MASK})"
     x2 = f"((xor(x1, x1 >> 15) + s2) & {MASK})"
     lanes = " UNION ALL ".join(f"SELECT *, j * 2 + {i} AS rep, {poisson(f'((x >> {16 * i}) & 65535)')} AS w FROM x_" for i in (0, 1))
+    if fine:
+        lanes = f"SELECT *, j AS rep, {poisson('x', POISSON_FINE)} AS w FROM x_"
     sums = ", ".join(f"sum(w * {m}) / nullif(sum(w) FILTER ({m} IS NOT NULL), 0) AS {m}" for m in metrics)
     per = " UNION ALL ".join(f"SELECT {keys}, '{m}' AS metric, rep, max({m}) FILTER (late_) - max({m}) FILTER (NOT late_) AS diff FROM s_ GROUP BY {keys}, rep" for m in metrics)
     return f"""(WITH r_ AS MATERIALIZED (SELECT {keys}, {", ".join(metrics)}, {late} AS late_, {seed(f"CAST({row_key} AS VARCHAR)")} AS s1, {seed(f"CAST({row_key} AS VARCHAR)", 1)} AS s2 FROM {source}),
-      a_ AS (SELECT *, {mixing_start(x0)} AS x1 FROM r_ CROSS JOIN range(0, {-(-count // 2)}) g_(j)),
+      a_ AS (SELECT *, {mixing_start(x0)} AS x1 FROM r_ CROSS JOIN range(0, {count if fine else -(-count // 2)}) g_(j)),
       b_ AS (SELECT * EXCLUDE (x1), {x2} AS y FROM a_),
       c_ AS (SELECT * EXCLUDE (y), ((y * 1540483477) & {MASK}) AS z FROM b_),
       x_ AS (SELECT * EXCLUDE (z, s1, s2), xor(z, z >> 16) AS x FROM c_),
@@ -482,7 +486,7 @@ SELECT o_orderpriority, metric, {rnd("lower", 3)}, {rnd("upper", 3)}, significan
 
 _SURVEY = """(SELECT l_returnflag AS ecosystem, year(l_shipdate) >= 1998 AS is_late,
   l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS id, l_extendedprice AS swe, l_quantity AS htc FROM lineitem)"""
-_REP = replicates(_SURVEY, "ecosystem", ["swe", "htc"], "is_late", "id", 1000)
+_REP = replicates(_SURVEY, "ecosystem", ["swe", "htc"], "is_late", "id", 1000, fine=True)
 ORACLES["period_change"] = f"""
 WITH b AS (SELECT * FROM {bootstrap(_REP, "ecosystem")})
 SELECT ecosystem, {", ".join(rnd(f"any_value({m}_{t})", 3, f"{m}_{t}") for m in ("swe", "htc") for t in ("early", "late"))},

@@ -29,10 +29,10 @@ def prepare_survey(df: DataFrame, site_map: Mapping[str, str] | DataFrame, ecosy
 
 
 def period_change(df: DataFrame, group: str, early: str, late: str, cols: Sequence[str], metrics: Sequence[str],
-                  row_key: Sequence[str], replicates: int = 1000, conf: float = 0.95, partitions: int | None = None) -> DataFrame:
+                  row_key: Sequence[str], replicates: int = 1000, conf: float = 0.95, partitions: int | None = None, draw_bits: int = 32) -> DataFrame:
     """Early and late means per group with bootstrap bounds and line style of each metric."""
     inside = df.filter(F.col(group).isNotNull() & F.col("period").isin(early, late))
-    ci = bootstrap_interval(inside, [group], metrics, F.col("period") == late, row_key, replicates, conf, partitions)
+    ci = bootstrap_interval(inside, [group], metrics, F.col("period") == late, row_key, replicates, conf, partitions, draw_bits)
     wide = ci.groupBy(group).agg(
         *[
             F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")

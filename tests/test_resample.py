@@ -9,8 +9,10 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from driftline import oracle
 from driftline.operators import cleaning, clusters, density, resample
 from driftline.operators.cleaning import Clamp
+from driftline.plans import survey
 
 
 def test_poisson_counts():
@@ -365,3 +367,32 @@ def test_pair_squares(points):
     y = np.array([r[2:] for r in data])
     far = {r["g"]: r["distance"] for r in rows(clusters.centroid_distance(df, ["g"], ["x", "y"]), "g")}
     assert far["a"] == pytest.approx(np.linalg.norm(y[::2].mean(0) - y.mean(0)))
+
+
+def test_draws_of_32_bits():
+    """All 32 bits decide a count: as by searching every draw, beyond eight, and with the limits that the survey's SQL has."""
+    limits = np.array(resample.poisson_limits(32))
+    assert len(limits) == 12 and limits.tolist() == oracle.POISSON_FINE
+    coarse = resample.coarse_counts(limits)
+    seeds = np.random.default_rng(4).integers(0, 2**32, (2, 20_000), dtype=np.uint32)
+    w = resample.fine_counts(*seeds, 201, limits, coarse)
+    assert np.array_equal(w, np.searchsorted(limits, resample.random_numbers(*seeds, 201).astype(np.int64), "right"))
+    assert w.max() > 8 and w.mean() == pytest.approx(1, abs=0.005) and w.var() == pytest.approx(1, abs=0.01)
+    r = np.corrcoef(w.T)
+    assert np.abs(r[np.triu_indices(201, 1)]).max() < 0.04
+
+
+def test_survey_draws_all_bits(spark):
+    """A bound of the survey's change is a quantile of replicates whose draws have 32 bits, one for each counter."""
+    data = [(i, "ab"[i % 2], "late" if i % 3 == 0 else "early", float(i * i % 101)) for i in range(120)]
+    df = spark.createDataFrame(data, "id int, g string, period string, x double")
+    got = {r["g"]: r for r in survey.period_change(df, "g", "early", "late", ["x"], ["x"], ["id"], 50).collect()}
+    digests = [hashlib.md5(str(i).encode()).hexdigest() for i in range(120)]
+    seeds = (np.array([int(d[at : at + 8], 16) for d in digests], np.uint32) for at in (0, 8))
+    w = np.searchsorted(np.array(resample.poisson_limits(32)), resample.random_numbers(*seeds, 50).astype(np.int64), "right")
+    for g in "ab":
+        side = lambda p: np.array([k == g and period == p for _, k, period, _ in data])
+        x = np.array([r[3] for r in data])
+        mean = lambda p: (w[side(p)] * x[side(p), None]).sum(0) / w[side(p)].sum(0)
+        diff = mean("late") - mean("early")
+        assert (got[g]["x_lower"], got[g]["x_upper"]) == (pytest.approx(np.quantile(diff, 0.025)), pytest.approx(np.quantile(diff, 0.975)))

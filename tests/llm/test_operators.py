@@ -450,3 +450,48 @@ def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).schema.simpleString() == docs.schema.simpleString()
+
+
+def test_seeds_in_packed_lists(spark, monkeypatch):
+    """Rows are made of repeated seeds only, at ten bytes a seed in the lists; frequent ones come back whole from lists of their own."""
+    monkeypatch.setattr(passages, "OFTEN", 20)
+    monkeypatch.setattr(passages, "SEEDS_AT_ONCE", 3000)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 9 if k % 10 == 0 else 4000, 300)) for k in range(80)]
+    texts += ["all of one line " * 30, texts[3], "short", ""]
+    docs = frame(spark, [(1000 - 7 * k, t) for k, t in enumerate(texts)])
+    lists = passages._seed_lists(docs.repartition(3), 5).collect()
+    h, p, _, _ = passages.minimizers(texts, passages._Words())
+    assert sum(len(r.h) + len(r.x) for r in lists if r.bucket >= 0) == 8 * sum(len(np.frombuffer(r.x, np.uint16)) for r in lists if r.bucket >= 0)
+    assert sum(len(r.x) // 2 for r in lists) == sum(map(len, h)) and any(r.bucket < 0 for r in lists) and any(r.often for r in lists)
+    want = {}
+    for k, (hs, xs) in enumerate(zip(h, p)):
+        for seed, x in zip(hs.view(np.uint64).tolist(), xs.tolist()):
+            want.setdefault((seed >> 16, (seed & 0xFFFF) * 5 >> 16), []).append((1000 - 7 * k, x))
+    got = spark.createDataFrame(lists, passages._seed_lists(docs, 5).schema).groupBy("bucket").applyInArrow(
+        passages._repeated, "doc_id bigint, seed bigint, x int, source_id bigint, n bigint, ys array<int>, often boolean").collect()
+    found, far = {}, set()
+    for r in got:
+        key = ((r.seed % 2**64) >> 16, r.seed & 0xFFFF)
+        found.setdefault(key, []).append((r.doc_id, r.x))
+        if r.often:
+            far.add(key)
+            continue
+        first = min(want[key])[0]
+        assert (r.source_id, r.n) == (first, len(want[key]))
+        assert r.ys == ([] if r.doc_id == first else [x for d, x in sorted(want[key]) if d == first])
+    assert far and all(sorted(v) == sorted(want[k]) for k, v in found.items())
+    assert {k for k, v in want.items() if len({d for d, _ in v}) > 1} <= set(found)
+    assert all(len({d for d, _ in want[k]}) > 1 for k in set(found) - far)
+
+
+def test_common_words_of_long_lists():
+    rng = np.random.default_rng(9)
+    for n, m in ((0, 5), (70, 90), (200, 60)):
+        a, b = (rng.integers(0, 12, k).astype(str).tolist() for k in (n, m))
+        row = [0] * (m + 1)
+        for x in a:
+            last = 0
+            for j, z in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == z else max(row[j], row[j - 1])
+        assert passages.common_words(a, b) == row[-1]

@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -495,3 +496,37 @@ def test_common_words_of_long_lists():
             for j, z in enumerate(b, 1):
                 last, row[j] = row[j], last + 1 if x == z else max(row[j], row[j - 1])
         assert passages.common_words(a, b) == row[-1]
+
+
+def test_texts_travel_once_for_many_chains(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1000 + i, 1 if i < 1300 else 2 + i % 7, [3, 9 + 8000 * (i % 10 == 0)], [5, 11], 0, 0) for i in range(1500)]
+    chains = spark.createDataFrame(rows, "doc_id bigint, source_id bigint, xs array<int>, ys array<int>, a_lo int, b_lo int").repartition(3)
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(1, 9)], "__doc bigint, __text string")
+    got = passages._packed(chains, chains, "source_id", texts).withColumn("n", F.size("rows")).collect()
+    assert sorted((r["doc_id"], r["source_id"]) for g in got for r in g["rows"]) == sorted(r[:2] for r in rows)
+    assert all(g["__text"] == f"text {r['source_id']}" for g in got for r in g["rows"])
+    assert len(got) < 200 and max(g["n"] for g in got) <= passages.CHAINS_AT_ONCE
+    assert all(g["n"] <= 8 for g in got if g["rows"][0]["xs"][-1] > 8000)
+
+
+def test_documents_end_where_tables_end():
+    ids = [1, 1, 1, 2, 2, 3, 3, 3, 3, 3, 4, 5, 5]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": ids[i : i + 2]}) for i in range(0, len(ids), 2)]
+    tables = [t.column("doc_id").to_pylist() for t in passages._whole_documents(iter(batches))]
+    assert sum(tables, []) == ids
+    assert all(a[-1] != b[0] for a, b in zip(tables, tables[1:]))
+
+
+def test_first_chain_is_the_best():
+    """Against values by definition, in time that grows with the square."""
+    r = random.Random(5)
+    for _ in range(300):
+        x, y = ([r.randrange(40) for _ in range(20)] for _ in range(2))
+        top = {}
+        for i in sorted(range(20), key=lambda i: (x[i], -y[i])):
+            top[i] = 400 + max([0, *(v - 3 * (x[i] + y[i] - x[j] - y[j]) for j, v in top.items() if x[j] < x[i] and y[j] < y[i])])
+        if max(top.values()) > 400:
+            xs, ys = passages.chain(np.array(x), np.array(y))[0]
+            assert 400 * len(xs) - 3 * (xs[-1] - xs[0] + ys[-1] - ys[0]) == max(top.values())

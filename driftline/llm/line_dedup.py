@@ -45,7 +45,8 @@ def rarity_table(docs: DataFrame) -> DataFrame:
 def line_sets(docs: DataFrame, rarity: DataFrame, similarity: float) -> DataFrame:
     """``doc_id, line_no, n, k1, k2, parity, skip, prefix`` of every line with a word; ``k1, k2`` digest the token set.
 
-    Tokens that occur once in the corpus come first in a prefix and meet nothing: ``skip`` counts them and ``prefix`` holds the others.
+    Tokens that occur once in the corpus come first in a prefix and meet nothing: ``skip`` counts them and ``prefix`` holds the others, as hashes of 32 bits.
+    Two tokens of one hash only propose a pair more: similar lines still meet by the first token they share, with its right positions.
     A line so short that only an equal one is similar enough (one word more would already be too much) has no prefix: equal sets meet by ``k1, k2``.
     """
     # A subquery may not stand in a lambda; as a column that is used once it is folded into one, so that no row carries the array.
@@ -67,7 +68,8 @@ def line_sets(docs: DataFrame, rarity: DataFrame, similarity: float) -> DataFram
     )
     out = step.select("doc_id", "line_no", F.inline(F.when(n > 0, F.array(found))))
     met = F.filter("prefix", lambda x: F.shiftright(x, 48) > SINGLE)
-    return out.withColumn("met", met).select("doc_id", "line_no", "n", "k1", "k2", "parity", (F.size("prefix") - F.size("met")).alias("skip"), F.col("met").alias("prefix"))
+    short = F.transform(met, lambda x: F.hash(x))
+    return out.withColumn("met", short).select("doc_id", "line_no", "n", "k1", "k2", "parity", (F.size("prefix") - F.size("met")).alias("skip"), F.col("met").alias("prefix"))
 
 
 def _posts(lines: DataFrame, tag: str) -> DataFrame:

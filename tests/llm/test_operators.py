@@ -530,3 +530,22 @@ def test_first_chain_is_the_best():
         if max(top.values()) > 400:
             xs, ys = passages.chain(np.array(x), np.array(y))[0]
             assert 400 * len(xs) - 3 * (xs[-1] - xs[0] + ys[-1] - ys[0]) == max(top.values())
+
+
+def test_prefixes_are_short_hashes(spark, monkeypatch):
+    """Prefix tokens take four bytes; tokens that share a hash cost no pair and make none."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(60):
+        words = [f"w{rnd.randrange(200)}" for _ in range(24)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], f"x{i}"]))]
+    docs = frame(spark, rows)
+    lines = line_dedup.line_sets(docs, line_dedup.rarity_table(docs), 0.85)
+    assert lines.schema["prefix"].dataType.simpleString() == "array<int>"
+    want = sorted(tuple(r) for r in line_dedup.repeated_lines(docs).collect())
+    sets = [(d, set(t.split())) for d, t in rows]
+    assert want == sorted((d, 0) for i, (d, w) in enumerate(sets) if any(len(w & v) >= 0.85 * len(w | v) - 1e-9 for _, v in sets[:i]))
+    few = line_dedup.line_sets
+    crowded = lambda *a: few(*a).withColumn("prefix", line_dedup.F.transform("prefix", lambda x: x % 7))
+    monkeypatch.setattr(line_dedup, "line_sets", crowded)
+    assert sorted(tuple(r) for r in line_dedup.repeated_lines(docs).collect()) == want

@@ -549,3 +549,70 @@ def test_prefixes_are_short_hashes(spark, monkeypatch):
     crowded = lambda *a: few(*a).withColumn("prefix", line_dedup.F.transform("prefix", lambda x: x % 7))
     monkeypatch.setattr(line_dedup, "line_sets", crowded)
     assert sorted(tuple(r) for r in line_dedup.repeated_lines(docs).collect()) == want
+
+
+def test_chains_without_equal_words_around_are_not_aligned(spark):
+    """Of the chains on one diagonal only those from which a passage can come go on to alignment; whatever alignment finds, the codes let pass."""
+    rng = np.random.default_rng(11)
+    words, rows, chains = [f"w{i}" for i in range(40)], [], []
+    for i in range(300):
+        a = rng.choice(words, 130).tolist()
+        b = [w if rng.random() > (0.15, 0.25, 1.0)[i % 3] else str(rng.choice(words)) for w in a]
+        b[60:66] = a[60:66]
+        shift = int(rng.integers(0, 60))
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join([*rng.choice(words, shift).tolist(), *b]).upper())]
+        chains.append((2 * i, 2 * i + 1, [60, 61, 62], [60 + shift, 61 + shift, 62 + shift], shift))
+    chains.append((0, 1, [60, 62], [61, 64], None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(chains, "doc_id long, source_id long, xs array<int>, ys array<int>, shift int")
+    kept = {(r["doc_id"], tuple(r["xs"])) for r in passages._worth_aligning(table, passages._word_codes(docs), 50, 0.75).collect()}
+    text = {d: t.lower().split() for d, t in rows}
+    good = set()
+    for d, s, xs, ys, _ in chains:
+        a0, b0 = max(xs[0] - passages.FLANK, 0), max(ys[0] - passages.FLANK, 0)
+        a, b = text[d][a0 : xs[-1] + passages.K + passages.FLANK], text[s][b0 : ys[-1] + passages.K + passages.FLANK]
+        if any(e - s >= 50 and m >= 0.75 * max(e - s, f - t) for s, e, t, f, m in passages.align(a, b, [v - a0 for v in xs], [v - b0 for v in ys])):
+            good.add((d, tuple(xs)))
+    assert len(good) > 60 and good <= kept and (0, (60, 62)) in kept
+    assert not [d for d, _ in kept if d // 2 % 3 == 2]
+
+
+def test_word_codes():
+    texts = ["", "a b", "  a\tb\x0bc\n", "éa\xa0x y", "b", "xxx xxx", "ab ba " * 9]
+    n, codes = passages._coded(pa.array(["zz", *texts]).slice(1))
+    assert n.tolist() == [len(passages.WORD.findall(t)) for t in texts]
+    known = {}
+    for t, packed in zip(texts, codes):
+        assert len(packed) == -(-len(passages.WORD.findall(t)) // 4) + passages.FLANK_BYTES
+        for w, code in zip(passages.WORD.findall(t), [b >> k & 3 for b in packed for k in (0, 2, 4, 6)]):
+            assert known.setdefault(w, code) == code
+
+
+def test_chains_of_many_pairs_at_once():
+    rng = np.random.default_rng(5)
+    rows, want = [], set()
+    for pair in range(600):
+        k, span = int(rng.integers(1, 12)), int(rng.choice([6, 30, 300]))
+        places = {(int(a), int(b)) for a, b in zip(rng.integers(0, span, k), rng.integers(0, span, k))}
+        if pair % 2:
+            x, y = (np.sort(rng.choice(500, k, replace=False)).tolist() for _ in "xy")
+            places = set(zip(x, y if pair % 4 == 1 else [v + 7 for v in x]))
+        rows += [(pair // 3, pair, *at) for at in places]
+        x, y = (np.array(v) for v in zip(*places))
+        want |= {(pair, tuple(a), tuple(b)) for a, b in passages.chain(x, y)}
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.int32()) for i in range(4)], names=["doc_id", "source_id", "x", "y"])
+    got = [r for b in passages._chained(iter([batch.slice(i, 100) for i in range(0, len(rows), 100)])) for r in b.to_pylist()]
+    assert {(r["source_id"], tuple(r["xs"]), tuple(r["ys"])) for r in got} == want and len(got) == len(want)
+    for r in got:
+        by = {b - a for a, b in zip(r["xs"], r["ys"])}
+        assert r["shift"] == (by.pop() if len(by) == 1 else None)
+
+
+def test_written_tables_go_when_done(spark):
+    from driftline.session import free, materialize
+
+    table = materialize(spark.range(5))
+    folder = table.inputFiles()[0].rpartition("/")[0].removeprefix("file:").replace("///", "/")
+    assert os.path.isdir(folder)
+    free(spark, table)
+    assert not os.path.exists(folder)

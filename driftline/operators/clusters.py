@@ -28,7 +28,7 @@ from .resample import STEP, hex_number, key_text, mixed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FEATURES = "__features"
-ROWS_AT_ONCE = 512  # rows whose distances to the centres are held at a time
+ROWS_AT_ONCE = 1024  # rows whose distances to the centres are held at a time
 ITERATIONS = 10
 
 
@@ -81,8 +81,8 @@ def drawn(first: np.ndarray, second: np.ndarray, draw: int, box: tuple) -> np.nd
     mean, axes, low, high = box
     d = len(mean)
     counters = ((draw * d + np.arange(d)) * STEP % 2**32).astype(np.uint32)
-    bits = mixed(mixed(first[:, None] + counters[None]) + second[:, None])
-    return mean + (low + (high - low) * (bits / 2.0**32)) @ axes.T
+    bits = mixed(mixed(first[None] + counters[:, None]) + second[None])  # column by column, as distances are taken
+    return (mean[:, None] + axes @ (low[:, None] + (high - low)[:, None] * (bits / 2.0**32))).T
 
 
 def _per_task(rows: DataFrame, step: Callable, start: Callable, names: str, out: Callable) -> DataFrame:
@@ -93,7 +93,9 @@ def _per_task(rows: DataFrame, step: Callable, start: Callable, names: str, out:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array(batch.column(0).to_pylist(), dtype=float)
+            x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            if len(np.unique(np.diff(batch.column(0).offsets))) > 1:
+                raise ValueError("rows have different numbers of components")
             first, second = (batch.column(i).to_numpy().astype(np.uint32) for i in (1, 2))
             held = start(x.shape[1]) if held is None else held
             for low in range(0, len(x), ROWS_AT_ONCE):
@@ -124,7 +126,13 @@ def _totals(rows: DataFrame, tables: Callable, shape: tuple, step: Callable) ->
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((x[:, None, :] - centres[None]) ** 2).sum(-1)
+    """Squared distances (centres x rows), summed column by column in memory's order."""
+    far = None
+    for column, c in zip(np.ascontiguousarray(x.T), centres.T):
+        apart = column[None] - c[:, None]
+        apart *= apart
+        far = apart if far is None else np.add(far, apart, out=far)
+    return far
 
 
 def _farthest(rows: DataFrame, tables: Callable, chosen: list[np.ndarray]) -> np.ndarray:
@@ -132,7 +140,7 @@ def _farthest(rows: DataFrame, tables: Callable, chosen: list[np.ndarray]) -> np
 
     def fold(held, x, first, second):
         for t, y in tables(x, first, second):
-            d = _distances(y, chosen[t]).min(1)
+            d = _distances(y, chosen[t]).min(0)
             at = np.flatnonzero(d == d.max())
             best = max(([float(d[i])], y[i].tolist()) for i in at)
             held[t] = max(held[t], best) if t in held else best
@@ -190,16 +198,21 @@ def fits(rows: DataFrame, sizes: Sequence[int], iterations: int = ITERATIONS, sa
 
 
 def _assigned(centres: np.ndarray, spans: list[slice]) -> Callable:
-    """Adds to each centre of each fit the number, the squares and the coordinates of the rows it is nearest to; of centres as near, the first."""
+    """Adds to each centre of each fit the number and the coordinates of the rows it is nearest to, of centres as near the first, and to each fit's first centre the squares of all rows."""
 
     def step(held, t, y):
         far = _distances(y, centres[t])
-        mine = np.zeros_like(far)
+        mine = np.empty_like(far)
         for span in spans:
-            mine[np.arange(len(y)), span.start + far[:, span].argmin(1)] = 1.0
-        held[:, 0] += mine.sum(0)
-        held[:, 1] += (mine * far).sum(0)
-        held[:, 2:] += mine.T @ y
+            part = far[span]
+            near = part.min(0)
+            own = part == near
+            if np.count_nonzero(own) != len(y):  # some are as near to several
+                own = np.arange(len(part))[:, None] == part.argmin(0)
+            mine[span] = own
+            held[span.start, 1] += near.sum()
+        held[:, 0] += mine.sum(1)
+        held[:, 2:] += mine @ y
 
     return step
 

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -396,3 +397,24 @@ def test_survey_draws_all_bits(spark):
         mean = lambda p: (w[side(p)] * x[side(p), None]).sum(0) / w[side(p)].sum(0)
         diff = mean("late") - mean("early")
         assert (got[g]["x_lower"], got[g]["x_upper"]) == (pytest.approx(np.quantile(diff, 0.025)), pytest.approx(np.quantile(diff, 0.975)))
+
+
+def test_rows_go_to_the_first_of_the_nearest_centres():
+    """Counts, squares and sums as by definition, also where centres are as near; no array of rows x centres x columns is made."""
+    rng = np.random.default_rng(8)
+    spans = [slice(0, 1), slice(1, 4), slice(4, 10)]
+    y, centres = rng.integers(0, 3, (1000, 40)).astype(float), rng.integers(0, 3, (10, 40)).astype(float)
+    centres[6] = centres[5]
+    y[:20] = (centres[1] + centres[2]) / 2
+    held = np.zeros((10, 42))
+    tracemalloc.start()
+    clusters._assigned(centres[None], spans)(held, 0, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < y.size * len(centres) * 8 / 4
+    for span in spans:
+        d = ((y[:, None] - centres[None, span]) ** 2).sum(-1)
+        near = d.argmin(1)
+        for j in range(span.stop - span.start):
+            assert held[span.start + j, 0] == (near == j).sum() and held[span.start + j, 2:] == pytest.approx(y[near == j].sum(0))
+        assert held[span, 1].sum() == pytest.approx(d.min(1).sum())
